@@ -1,0 +1,38 @@
+"""Connected components of an edge table, by label lowering and pointer jumping over DataFrames."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import Stored
+
+
+def components(edges: DataFrame, store: Stored, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) for every node of ``edges``; component is the smallest node reachable.
+
+    Each round replaces every edge (x, y) by edges to the smaller end's best label and then
+    shortcuts chains (large-star, small-star).  A node's edges are never gathered: both steps
+    are a minimum by key, which Spark combines before the shuffle, and a join that it may split.
+    Nulls and self edges are ignored; repeated edges are harmless; no edges give no rows.
+    """
+    edges = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x <> y")
+    now = store.put(edges.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "edges")
+    while True:
+        # large-star: neighbours greater than x link to the smallest neighbour of x
+        both = now.unionByName(now.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        large = both.where("y > x").join(low, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+        # small-star: smaller neighbours of x and x itself link to the smallest of them
+        low = large.groupBy("x").agg(F.min("y").alias("m"))
+        joined = large.join(low, "x")
+        small = joined.select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").unionByName(low.select("x", F.col("m").alias("y"))).distinct()
+        after = store.put(small, "edges")
+        changed = after.join(now, ["x", "y"], "left_anti").limit(1).count() + now.join(after, ["x", "y"], "left_anti").limit(1).count()
+        store.drop(now)
+        now = after
+        if not changed:
+            break
+    stars = now.groupBy("x").agg(F.min("y").alias("component")).withColumnRenamed("x", "node")
+    roots = now.select(F.col("y").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    return stars.unionByName(roots)
