@@ -2,6 +2,42 @@
 
 from __future__ import annotations
 
+LINE_DEDUP = """
+with t as (select doc_id, md5(coalesce(text, '')) s, string_split(coalesce(text, ''), chr(10)) l from documents),
+w as (select doc_id, s, i, array_to_string(l[i + 1:i + 3], chr(10)) k from (select *, unnest(range(len(l) - 2)) i from t where len(l) >= 3)),
+d as (select distinct doc_id, s, i + j as line from (select *, row_number() over (partition by k order by doc_id, s, i) r from w), range(3) x(j) where r > 1),
+g as (select doc_id, s, list(line) m, count(*) n, count(*) filter (gap) runs from (
+    select *, coalesce(line > lag(line) over (partition by doc_id, s order by line) + 1, true) gap from d) group by all)
+select t.doc_id, len(l)::bigint n_lines, coalesce(n, 0)::bigint n_removed, coalesce(runs, 0)::bigint n_runs,
+    sha256(array_to_string(list_filter(l, lambda x, i: not coalesce(list_contains(m, i - 1), false)), chr(10))) kept_sha256
+from t left join g using (doc_id, s)
+"""
+
+CHAT_FORMAT = """
+with t as (select distinct conv_id, coalesce(turn, -1) turn, role, text from conversations where conv_id is not null),
+c as (select conv_id, list({'turn': turn, 'role': role, 'text': text} order by turn, role nulls first, text nulls first) l, count(*) n from t group by conv_id),
+m as (select conv_id from c where not exists (select 1 from c o where o.conv_id <> c.conv_id
+    and ((o.n > c.n and o.l[1:c.n] = c.l) or (o.l = c.l and o.conv_id < c.conv_id)))),
+r as (select conv_id, floor(turn / 256)::bigint piece, count(*) n_turns, string_agg('<|im_start|>' || coalesce(role, '') || chr(10)
+    || replace(coalesce(text, ''), '<|im_', '<| im_') || '<|im_end|>' || chr(10), '' order by turn, role nulls first, text nulls first) s
+    from t semi join m using (conv_id) group by all)
+select conv_id, piece, n_turns, length(s)::bigint n_chars, sha256(s) rendered_sha256 from r
+"""
+
+DECONTAMINATE = r"""
+with b as (select distinct item_id::varchar item, list_filter(regexp_split_to_array(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '') w from benchmark where item_id is not null and text is not null),
+v as (select distinct item, len(w[i + 1:i + 10]) n, array_to_string(w[i + 1:i + 10], ' ') k from (select *, unnest(range(greatest(len(w) - 9, 1))) i from b where len(w) > 0)),
+d as (select doc_id, list_filter(regexp_split_to_array(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '') w, row_number() over () r from documents),
+p as (select d.r, d.w, z.n, unnest(range(greatest(len(d.w) - z.n + 1, 0))) i from d, (select distinct n from v) z),
+h as (select p.r, p.i, v.n, v.item from p join v on v.n = p.n and v.k = array_to_string(p.w[p.i + 1:p.i + p.n], ' ')),
+s as (select r, count(distinct i + j) n_hit from h, range(10) x(j) where j < n group by r),
+q as (select r, count(*) n_items, string_agg(item, ',' order by item) t from (select distinct r, item from h) group by r)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(t, '')) items_sha256, n_hit is not null contaminated
+from d left join s using (r) left join q using (r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": LINE_DEDUP, "op4_chat_format": CHAT_FORMAT, "op6_decontaminate": DECONTAMINATE}

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, token_binary
+from . import chat_format, decontaminate, line_dedup, token_binary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +27,16 @@ def op1_token_binary(spark: SparkSession, folder: str) -> DataFrame:
     return token_binary.round_trip(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    done = line_dedup.deduplicated(table(spark, folder, "documents").select("doc_id", "text"))
+    return done.select("row.doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    done = chat_format.formatted(table(spark, folder, "conversations"))
+    return done.select("conv_id", "piece", "n_turns", F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, table(spark, folder, "benchmark"))
@@ -33,4 +44,4 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_binary, op6_decontaminate)}
+    return {f.__name__: f for f in (op1_token_binary, op2_line_dedup, op4_chat_format, op6_decontaminate)}
