@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, token_binary
+from . import chat_format, decontaminate, line_dedup, sentencepiece_sampling, token_binary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,5 +43,11 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    done = sentencepiece_sampling.sampled(docs, vocabulary("piece_bpe_32k.model"), with_ids=False)
+    return done.select("row.doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "lossless")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_binary, op2_line_dedup, op4_chat_format, op6_decontaminate)}
+    return {f.__name__: f for f in (op1_token_binary, op2_line_dedup, op4_chat_format, op6_decontaminate, op7_sentencepiece)}
