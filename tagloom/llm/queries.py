@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, sentencepiece_sampling, token_binary
+from . import chat_format, decontaminate, line_dedup, pii, sentencepiece_sampling, token_binary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,5 +49,9 @@ def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("row.doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "lossless")
 
 
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_binary, op2_line_dedup, op4_chat_format, op6_decontaminate, op7_sentencepiece)}
+    return {f.__name__: f for f in (op1_token_binary, op2_line_dedup, op4_chat_format, op6_decontaminate, op7_sentencepiece, op10_pii)}
