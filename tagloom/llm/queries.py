@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, pii, sentencepiece_sampling, token_binary
+from . import chat_format, decontaminate, language_id, line_dedup, pii, sentencepiece_sampling, token_binary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,9 +49,24 @@ def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("row.doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "lossless")
 
 
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = language_id.identify(docs, language_id.fit(docs, "lang"), declared=F.col("lang"), host=F.col("source"))
+    return found.select("doc_id", "lang", "text_lang", F.round("confidence", 6).alias("confidence"), "accepted")
+
+
+def language_id_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The same operator over web pages: declared markup language, address suffix and host."""
+    model = language_id.fit(table(spark, folder, "documents"), "lang")
+    found = language_id.identify(
+        table(spark, folder, "pages"), model, "page_id", language_id.visible(F.col("html")), declared=language_id.declared_in(F.col("html")), suffix=language_id.suffix_of(F.col("url")), host=language_id.host_of(F.col("url"))
+    )
+    return found.select("page_id", "lang", "text_lang", F.round("confidence", 6).alias("confidence"), "accepted")
+
+
 def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_binary, op2_line_dedup, op4_chat_format, op6_decontaminate, op7_sentencepiece, op10_pii)}
+    return {f.__name__: f for f in (op1_token_binary, op2_line_dedup, op4_chat_format, op6_decontaminate, op7_sentencepiece, op8_language_id, op10_pii, language_id_pages)}
