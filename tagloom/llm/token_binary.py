@@ -27,7 +27,8 @@ PERCENTILE = 90
 SEGMENT_TOKENS = 1 << 20
 DOCS_AT_ONCE = 4096
 END_ID = 0
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_800_000
+JOINED = 4096
 
 SEGMENTS = "part int, seq int, before bigint, first_id bigint, last_id bigint, n_docs bigint, n_tokens bigint, body binary"
 
@@ -44,11 +45,7 @@ def pack(ids: np.ndarray, ends: np.ndarray, percentile: int = PERCENTILE) -> byt
     grid = grid.reshape(blocks, BLOCK)
     low = grid.min(axis=1) if blocks else np.empty(0, np.uint64)
     grid = grid - low[:, None]
-    bits = np.zeros((blocks, BLOCK), np.uint8)
-    for k in range(32):
-        bits += grid >= np.uint64(1 << k)
-        if not blocks or not (grid >= np.uint64(1 << k)).any():
-            break
+    bits = np.frexp(grid.astype(np.float64))[1].astype(np.uint8)  # 0 for 0, else the number of binary digits
     rank = -(-BLOCK * percentile // 100) - 1
     width = np.partition(bits, rank, axis=1)[:, rank] if blocks else np.empty(0, np.uint8)
     late = np.argwhere(bits > width[:, None]) if blocks else np.empty((0, 2), np.int64)
@@ -117,60 +114,116 @@ def unpack(body: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 _SPLIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _ODD = re.compile(r"[^\S \n]")
+_LOOSE = ("  ", "\n\n", "\n ", " \n")
+_EDGE = {" ", "\n"}
+
+
+class _Index(dict):
+    """Numbers for keys, in order of arrival; ``fresh`` gets those not seen before."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.fresh.append(key)
+        return n
 
 
 class Encoder:
     """Ids of texts by the tokenizers library.
 
-    The tokenizer's pattern always starts a new piece at a space or line end that follows a visible character, so
-    text cut there gives the same ids piece by piece; ids of pieces seen before are kept, up to ``CACHE_WORDS``
-    of them.  Texts with any other white space go to the library whole.
+    The tokenizer's pattern always starts a new piece at a space or line feed that follows a visible character,
+    so text cut there has the same ids piece by piece.  Ids of pieces seen before are kept, up to
+    ``CACHE_WORDS`` pieces; new ones are encoded many at a time, end to end, and told apart by their bytes, as a
+    byte-level token spells as many bytes as its name has characters.  Texts with other white space go whole.
+
+    A piece's key is the word after a single space, or a line feed and a word; any other piece stands behind a space.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        known, cut, whole = self.known, [], []
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new: set[str] = set()
+        names = self.tokenizer.get_vocab()
+        self.spelt = np.zeros(max(names.values()) + 1, np.int64)
+        for name, k in names.items():
+            self.spelt[k] = len(name)
+        self.end_id = end_id
+        self.clear()
+
+    def clear(self) -> None:
+        self.index = _Index()
+        self.index[" "] = 0  # a document's end
+        self.flat = np.array([self.end_id], np.uint32)
+        self.start, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def learn(self, keys: list[str]) -> None:
+        raw = [k[1:] if k[0] == " " else k if k[0] == "\n" else " " + k for k in (k or " " for k in keys)]
+        length = np.array([len(r.encode()) for r in raw], np.int64)
+        joined = np.array([len(r) > 1 and r[0] in " \n" and not r[-1].isspace() for r in raw], bool)
+        own = {int(k): e.ids for k, e in zip(at, self.tokenizer.encode_batch_fast([raw[k] for k in at], add_special_tokens=False), strict=True)} if len(at := np.flatnonzero(~joined)) else {}
+        at = np.flatnonzero(joined)
+        texts = ["".join(raw[k] for k in at[j : j + JOINED]) for j in range(0, len(at), JOINED)]
+        ids = np.concatenate([np.empty(0, np.uint32), *(np.array(e.ids, np.uint32) for e in (self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []))])
+        reach, ends = np.cumsum(self.spelt[ids]), np.cumsum(length[at])
+        cut = np.searchsorted(reach, ends) + 1
+        if len(at) and not (reach[cut - 1] == ends).all():
+            raise ValueError("this tokenizer doesn't cut at spaces")
+        sizes = np.zeros(len(keys), np.int64)
+        sizes[at] = np.diff(cut, prepend=0)
+        starts = np.zeros(len(keys), np.int64)
+        starts[at] = cut - sizes[at] + len(self.flat)
+        if own:
+            flat = np.concatenate([np.array(x, np.uint32) for x in own.values()])
+            where = np.fromiter(own, np.int64, len(own))
+            sizes[where] = [len(x) for x in own.values()]
+            starts[where] = np.cumsum(sizes[where]) - sizes[where] + len(self.flat) + len(ids)
+            ids = np.concatenate([ids, flat])
+        self.flat = np.concatenate([self.flat, ids])
+        self.start, self.size = np.concatenate([self.start, starts]), np.concatenate([self.size, sizes])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, each text's followed by the end id; the texts' ends)."""
+        if len(self.index) > CACHE_WORDS or len(self.flat) > 8 * CACHE_WORDS:
+            self.clear()
+        keys: list[str] = []
+        count: list[int] = []
+        once: list[str] = []
         for text in texts:
             if _ODD.search(text):
-                whole.append(text)
-                cut.append(None)
-            else:
-                pieces = _SPLIT.findall(text)
-                cut.append(pieces)
-                new.update(pieces)
-        new.difference_update(known)
-        if new:
-            fresh = list(new)
-            known.update(zip(fresh, (e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)), strict=True))
-        rest = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else [])
-        out = []
-        for pieces in cut:
-            if pieces is None:
-                out.append(next(rest).ids)
-            else:
-                ids: list[int] = []
-                for piece in pieces:
-                    ids += known[piece]
-                out.append(ids)
-        return out
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+                once.append(" " + text)
+                keys.append(once[-1])
+            elif text[:1] in _EDGE or text[-1:] in _EDGE or any(x in text for x in _LOOSE):
+                keys += [" " + piece for piece in _SPLIT.findall(text)]
+            elif text:
+                words = text.replace("\n", " \n").split(" ")
+                words[0] = " " + words[0]
+                keys += words
+            keys.append(" ")
+            count.append(len(keys))
+        found = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+        if self.index.fresh:
+            self.learn(self.index.fresh)
+            self.index.fresh = []
+        size = self.size[found]
+        ends = np.cumsum(size)
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.start[found] - ends + size, size)]
+        for key in once:
+            self.index.pop(key, None)
+        if once:
+            self.clear()
+        return ids, ends[np.array(count) - 1]
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, end_id: int) -> Encoder:
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 def segments(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", end_id: int = END_ID, segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
@@ -188,30 +241,29 @@ def segments(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "t
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        known, seq = encoder(tokenizer), 0
+        own, seq = encoder(tokenizer, end_id), 0
         held: list[np.ndarray] = []
         names: list[int | None] = []
-        ends: list[int] = []
+        ends: list[np.ndarray] = []
         size = part = done = 0
 
         def flush() -> pa.RecordBatch:
-            body = struct.pack("<Q", len(names)) + b"".join(struct.pack("<?q", x is not None, x or 0) for x in names) + pack(np.concatenate(held), np.asarray(ends))
+            body = struct.pack("<Q", len(names)) + b"".join(struct.pack("<?q", x is not None, x or 0) for x in names) + pack(np.concatenate(held), np.concatenate(ends))
             row = {"part": [part], "seq": [seq], "before": [done], "first_id": [names[0]], "last_id": [names[-1]], "n_docs": [len(names)], "n_tokens": [size], "body": [body]}
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), types, strict=True)], names=list(row))
 
         for batch in slices(batches, "text"):
             part = batch.column("part")[0].as_py()
-            for name, ids in zip(batch.column("id").to_pylist(), known.encode(batch.column("text").to_pylist()), strict=True):
-                ids.append(end_id)
-                held.append(np.array(ids, np.uint32))
-                size += len(ids)
-                names.append(name)
-                ends.append(size)
-                if size >= segment_tokens:
-                    yield flush()
-                    seq, done, size = seq + 1, done + size, 0
-                    held.clear(), names.clear(), ends.clear()
+            ids, at = own.encode(batch.column("text").to_pylist())
+            held.append(ids)
+            ends.append(at + size)
+            names += batch.column("id").to_pylist()
+            size += len(ids)
+            if size >= segment_tokens:
+                yield flush()
+                seq, done, size = seq + 1, done + size, 0
+                held.clear(), names.clear(), ends.clear()
         if names:
             yield flush()
 
