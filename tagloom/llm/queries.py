@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, line_dedup, pii, sentencepiece_sampling, token_binary
+from . import chat_format, decontaminate, language_id, line_dedup, pii, sentencepiece_sampling, suffix_dedup, token_binary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,9 +64,14 @@ def language_id_pages(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "lang", "text_lang", F.round("confidence", 6).alias("confidence"), "accepted")
 
 
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return suffix_dedup.removal(docs).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_binary, op2_line_dedup, op4_chat_format, op6_decontaminate, op7_sentencepiece, op8_language_id, op10_pii, language_id_pages)}
+    return {f.__name__: f for f in (op1_token_binary, op2_line_dedup, op4_chat_format, op6_decontaminate, op7_sentencepiece, op8_language_id, op9_suffix_dedup, op10_pii, language_id_pages)}
