@@ -28,7 +28,7 @@ SEGMENT_TOKENS = 1 << 20
 DOCS_AT_ONCE = 4096
 END_ID = 0
 CACHE_WORDS = 1_800_000
-JOINED = 4096
+JOINED = 64
 
 SEGMENTS = "part int, seq int, before bigint, first_id bigint, last_id bigint, n_docs bigint, n_tokens bigint, body binary"
 
