@@ -74,8 +74,10 @@ class Model:
 
 
 def fit(rows: DataFrame, label: str, text: str = "text", id: str = "doc_id", most: int = SAMPLE_ROWS) -> Model:
-    """A model from at most ``most`` labelled rows, those with the smallest hashes of id and text."""
-    sample = rows.select(F.lower(F.substring(F.trim(F.col(f"`{label}`").cast("string")), 1, 2)).alias("label"), F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{id}`").cast("string")).alias("h"))
+    """A model from at most ``most`` labelled rows, those whose ids have the smallest hashes."""
+    hashed = F.xxhash64(F.col(f"`{id}`").cast("string"))
+    last = rows.select(hashed.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    sample = rows.where(hashed <= F.lit(last)).select(F.lower(F.substring(F.trim(F.col(f"`{label}`").cast("string")), 1, 2)).alias("label"), F.col(f"`{text}`").cast("string").alias("text"), hashed.alias("h"))
     sample = sample.where(f"label rlike '^[a-z]{{2}}$' and octet_length(text) between 1 and {SAMPLE_BYTES}").orderBy("h", "text").limit(most).select("text", "label").collect()
     return Model.fit([r.text for r in sample], [r.label for r in sample])
 
