@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, line_dedup, minhash, pii, sentencepiece_sampling, suffix_dedup, token_binary
+from . import chat_format, decontaminate, embedding_dedup, language_id, line_dedup, minhash, pii, sentencepiece_sampling, suffix_dedup, token_binary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("row.doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     done = chat_format.formatted(table(spark, folder, "conversations"))
     return done.select("conv_id", "piece", "n_turns", F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))
@@ -78,4 +82,4 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_binary, op2_line_dedup, op4_chat_format, op5_minhash_dedup, op6_decontaminate, op7_sentencepiece, op8_language_id, op9_suffix_dedup, op10_pii, language_id_pages)}
+    return {f.__name__: f for f in (op1_token_binary, op2_line_dedup, op3_embedding_dedup, op4_chat_format, op5_minhash_dedup, op6_decontaminate, op7_sentencepiece, op8_language_id, op9_suffix_dedup, op10_pii, language_id_pages)}
