@@ -27,7 +27,7 @@ LENGTH = 100
 SEED_BYTES = 32
 HOT_IN_TASK = 64  # classes of one hash in one map batch from which on its windows are dealt by their own hashes
 HOT_IN_BUCKET = 20_000  # the same where all runs of a hash meet
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
 _FIRST = -(1 << 63)
 
 RUN = np.dtype([("h", "<u8"), ("f", "<u8"), ("id", "<i8"), ("sum", "<i8"), ("pos", "<i4"), ("n", "<i4"), ("hot", "?")])
