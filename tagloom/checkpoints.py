@@ -21,15 +21,16 @@ class Stored:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tagloom/{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.count = 0
 
     def put(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        path = f"{self.root}/{len(self.paths):03d}-{name}"
+        self.count += 1
+        path = f"{self.root}/{self.count:03d}-{name}"
         df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        out._tagloom_path = path  # for drop()
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[id(df)])
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._tagloom_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,10 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     line = F.regexp_replace(F.col(value), r"[\r\n]+$", "")
     rows = lines.select(line.alias("line")).where(F.trim("line") != "")
     parts = F.split("line", "\t", 2)
-    return rows.select(parts[0].alias("image"), F.from_json(parts[1], BOXES, {"mode": "FAILFAST"}).alias("boxes"))
+    body = F.coalesce(F.get(parts, F.lit(1)), F.raise_error(F.concat(F.lit("no tab in the line "), F.col("line"))))
+    # Filters on the boxes may be tried before blank lines are gone.
+    boxes = F.when(F.trim("line") != "", F.from_json(body, BOXES, {"mode": "FAILFAST"}))
+    return rows.select(parts[0].alias("image"), boxes.alias("boxes"))
 
 
 def flatten(samples: DataFrame) -> DataFrame:
@@ -35,7 +39,7 @@ def read_recognition_labels(spark: SparkSession, path: str) -> DataFrame:
     """(crop, label) of tab-separated lines; leading spaces and quotes belong to the label."""
     rows = spark.read.text(path).where(F.length("value") > 0)
     parts = F.split("value", "\t", 2)
-    return rows.select(parts[0].alias("crop"), parts[1].alias("label"))
+    return rows.select(parts[0].alias("crop"), F.get(parts, F.lit(1)).alias("label"))
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
@@ -65,8 +69,6 @@ def read_images(spark: SparkSession, path: str, pattern: str = "*.jpg") -> DataF
 
 def jpeg_size(content: Column) -> Column:
     """[width, height] from the first frame header of a JPEG, null if there is none, by an Arrow kernel."""
-    import pandas as pd
-
     @F.pandas_udf("array<int>")
     def size(bodies: pd.Series) -> pd.Series:
         return bodies.map(_frame)
