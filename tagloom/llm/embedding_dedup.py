@@ -28,12 +28,13 @@ from .components import components
 COSINE = 0.95
 SAMPLE_ROWS = 16_384  # that centroids are fitted on, at most
 MAX_CENTROIDS = 2048
-SHARD_ROWS = 1000  # of the rows that are nearest to a centroid, on average
-BLOCK_ROWS = 4096  # shards of more rows are dealt in blocks, every two of which meet
-OVERLAP = 0.25
-DEGREE = 24
-CANDIDATES = 48
-BEAM = 32
+SHARD_ROWS = 2000  # of the rows that are nearest to a centroid, on average
+BLOCK_ROWS = 8192  # shards of more rows are dealt in blocks, every two of which meet
+OVERLAP = 0.1
+DEGREE = 16
+UNITED = 32  # neighbours in a shard, at most, after lists are united
+CANDIDATES = 32
+BEAM = 24
 ALPHA = 1.2
 AUDIT_ROWS = 256
 AUDIT_RECALL = 0.98
@@ -77,7 +78,8 @@ def build(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, alp
         order = np.argsort(-np.take_along_axis(sim, pool, axis=1), axis=1, kind="stable")
         pool = np.take_along_axis(pool, order, axis=1)
         near = 1 - np.take_along_axis(sim, pool, axis=1)  # half the squared distance
-        among = 1 - np.einsum("npd,nqd->npq", x[pool], x[pool])
+        around = x[pool].astype(np.float32)
+        among = 1 - around @ around.transpose(0, 2, 1)
         alive = np.ones(pool.shape, bool)
         count = np.zeros(len(sim), np.int64)
         for p in range(m):
@@ -225,7 +227,7 @@ def _linked(vectors: DataFrame, store: Stored, centroids: np.ndarray, dim: int,
         for _, rows in _groups(batches, ["shard", "own"]):
             x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, dim)
             ids = rows.column("id").to_numpy()
-            lists = reverse(build(x), DEGREE)
+            lists = reverse(build(x), DEGREE // 2)
             size = (lists >= 0).sum(axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(ids[lists[lists >= 0]]))], names=["id", "near"])
 
@@ -245,8 +247,8 @@ def _linked(vectors: DataFrame, store: Stored, centroids: np.ndarray, dim: int,
             here = ids[spot] == flat
             row, spot = np.repeat(np.arange(len(ids)), np.diff(at))[here], spot[here]
             nth = np.arange(len(row)) - np.searchsorted(row, row)
-            near = np.full((len(ids), int(nth.max(initial=0)) + 1), -1, np.int64)
-            near[row, nth] = spot
+            near = np.full((len(ids), min(int(nth.max(initial=0)) + 1, UNITED)), -1, np.int64)
+            near[row[nth < UNITED], nth[nth < UNITED]] = spot[nth < UNITED]
             starts = []
             for block in sorted({i, j}):
                 members = np.flatnonzero(own == block)
