@@ -25,7 +25,8 @@ from .common import arrow, as_text, ints, mix64, packed, slices
 
 SHARPNESS = 1.0
 SEED = 17
-CACHED_NODES = 1_500_000
+CACHED_NODES = 800_000
+TEXT_BYTES = 1 << 20  # sampled at a time
 
 _UNIT = re.compile(r" *[^ ]+| +")
 _SPACE, _LITERAL = 0x2581, 0x110000  # a space, and U+2581 as a text's own character
@@ -66,9 +67,10 @@ class Vocabulary:
         for length, found in keys.items():
             found.sort()
             hashes = np.array([h for h, _ in found], np.uint64)
-            sieve = np.zeros(1 << 18, bool)
-            sieve[(hashes >> np.uint64(46)).astype(np.int64)] = True
-            self.tables[length] = (hashes, np.array([k for _, k in found], np.int32), sieve)
+            # by its top bits a hash is found at once, or a few places on
+            top = np.arange((1 << 18) + 1, dtype=np.uint64)
+            first = np.searchsorted(hashes >> np.uint64(46), top)
+            self.tables[length] = (hashes, np.array([k for _, k in found], np.int32), first[:-1].astype(np.int32), np.diff(first).astype(np.int8))
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.size = np.array([len(b) for b in self.bytes], np.int64)
         self.start = np.cumsum(self.size) - self.size
@@ -98,9 +100,9 @@ class Lattice:
         self.last: dict[str, int] = {}  # a unit's last node
         self.first_arc = np.zeros(1, np.int64)
         self.root = np.zeros(0, bool)
-        self.chance = np.zeros(0)
+        self.chance = np.zeros(0, np.float32)
         self.back = np.zeros(0, np.int32)
-        self.piece = np.zeros(0, np.int64)  # an id, or less than 0: -1 - code point to be spelt in bytes
+        self.piece = np.zeros(0, np.int32)  # an id, or less than 0: -1 - code point to be spelt in bytes
 
     def add(self, units: list[str]) -> None:
         v = self.vocabulary
@@ -112,23 +114,33 @@ class Lattice:
         begin = np.repeat(ends - sizes, sizes)  # of the unit, for each character
         mixed = mix64(codes.astype(np.uint64))
         froms, tos, pieces = [], [], []
-        value = np.zeros(n, np.uint64)
+        stop = np.repeat(ends, sizes)
+        live, value = np.arange(n), np.zeros(n, np.uint64)
         covered = np.zeros(n, bool)
         for length in range(1, v.longest + 1):
-            # value[i]: hash of the length characters that start at i
-            value = value[: n - length + 1] * v.powers[1] + mixed[length - 1 :]
+            # value: hash of the length characters from each start whose unit is that long
+            if length > 1:
+                inside = stop[live] - live >= length
+                live, value = live[inside], value[inside]
+            if not len(live):
+                break
+            value = value * v.powers[1] + mixed[live + length - 1]
             if length not in v.tables:
                 continue
-            hashes, ids, sieve = v.tables[length]
-            maybe = np.flatnonzero(sieve[(value >> np.uint64(46)).astype(np.int64)])
-            maybe = maybe[begin[maybe] == begin[maybe + length - 1]]
-            at = np.minimum(np.searchsorted(hashes, value[maybe]), len(hashes) - 1)
-            hit = hashes[at] == value[maybe]
-            froms.append(maybe[hit])
-            tos.append(maybe[hit] + length)
-            pieces.append(ids[at[hit]].astype(np.int64))
-            if length == 1:
-                covered[maybe[hit]] = True
+            hashes, ids, first, count = v.tables[length]
+            top = (value >> np.uint64(46)).astype(np.int64)
+            maybe = np.flatnonzero(count[top])
+            at, rest = first[top[maybe]], count[top[maybe]]
+            while len(maybe):
+                hit = hashes[at] == value[maybe]
+                from_ = live[maybe[hit]]
+                froms.append(from_)
+                tos.append(from_ + length)
+                pieces.append(ids[at[hit]].astype(np.int64))
+                if length == 1:
+                    covered[from_] = True
+                more = ~hit & (rest > 1)
+                maybe, at, rest = maybe[more], at[more] + 1, rest[more] - 1
         bare = np.flatnonzero(~covered)
         froms.append(bare)
         tos.append(bare + 1)
@@ -142,23 +154,23 @@ class Lattice:
         unit = np.repeat(np.arange(len(units)), sizes)
         source, target = start + unit[start], end - 1 + unit[start] + 1
         depth = end - begin[start]
-        order = np.lexsort((target, depth))
+        order = np.argsort(target, kind="stable")
         source, target, weight, piece, depth = source[order], target[order], weight[order], piece[order], depth[order]
+        by_depth = np.argsort(depth.astype(np.uint16) if len(depth) and depth.max() < 1 << 16 else depth, kind="stable")
+        from_, to, cost = source[by_depth], target[by_depth], weight[by_depth]
         nodes = n + len(units)
         alpha = np.full(nodes, -np.inf)
         roots = ends - sizes + np.arange(len(units))
         alpha[roots] = 0.0
-        cuts = np.searchsorted(depth, np.arange(1, (int(sizes.max()) if len(sizes) else 0) + 2))
+        cuts = np.searchsorted(depth[by_depth], np.arange(1, (int(sizes.max()) if len(sizes) else 0) + 2))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if a < b:
-                x = alpha[source[a:b]] + weight[a:b]
-                head = np.flatnonzero(np.concatenate([[True], target[a + 1 : b] != target[a : b - 1]]))
+                x = alpha[from_[a:b]] + cost[a:b]
+                head = np.flatnonzero(np.concatenate([[True], to[a + 1 : b] != to[a : b - 1]]))
                 top = np.maximum.reduceat(x, head)
                 total = np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.append(head, b - a)))), head)
-                alpha[target[a:b][head]] = top + np.log(total)
+                alpha[to[a:b][head]] = top + np.log(total)
         chance = np.exp(alpha[source] + weight - alpha[target])
-        order = np.argsort(target, kind="stable")
-        source, target, chance, piece = source[order], target[order], chance[order], piece[order]
         arcs = np.bincount(target, minlength=nodes)
         first = np.cumsum(arcs) - arcs
         run = np.cumsum(chance)
@@ -169,9 +181,9 @@ class Lattice:
         root[roots] = True
         self.root = np.concatenate([self.root, root])
         self.first_arc = np.concatenate([self.first_arc[:-1], first + shift, [shift + len(chance)]])
-        self.chance = np.concatenate([self.chance, run])
+        self.chance = np.concatenate([self.chance, run.astype(np.float32)])
         self.back = np.concatenate([self.back, (source + base).astype(np.int32)])
-        self.piece = np.concatenate([self.piece, piece])
+        self.piece = np.concatenate([self.piece, piece.astype(np.int32)])
         self.last.update(zip(units, (roots + sizes + base).tolist(), strict=True))
 
     def sample(self, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,7 +261,7 @@ def sampled(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(model, sharpness)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXT_BYTES):
             texts = batch.column("text").to_pylist()
             ids, at = own.sample(texts, row_seeds(batch.column("key").to_pylist(), seed))
             back = own.vocabulary.decode(ids).tobytes()
@@ -265,6 +277,7 @@ def sampled(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
             if with_ids:
                 cols["ids"] = ints(ids, at, pa.int32())
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+        own.clear()  # workers live on; what other stages need isn't held
 
     kind = source.schema["row"].dataType.simpleString()
     return arrow(source, kernel, f"row {kind}, n_pieces bigint, ids_crc32 bigint, decoded_sha256 string, lossless boolean" + ", ids array<int>" * with_ids)
