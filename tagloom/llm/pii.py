@@ -57,7 +57,7 @@ def _luhn(digits: Column) -> Column:
 def _valid(kind: str, value: Column) -> Column:
     digits = F.regexp_replace(value, "[^0-9]", "")
     if kind == "ip":
-        return F.forall(F.split(value, r"\."), lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3) & (F.lpad(F.ltrim(F.lit("0"), p), 3, "0") <= "255"))
+        return F.forall(F.split(value, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.lpad(F.ltrim(p, F.lit("0")), 3, "0") <= "255"))
     if kind == "card":
         return F.length(digits).between(13, 19) & _luhn(digits)
     if kind == "phone":
