@@ -2,45 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-DEFAULT_SHARED_DIR = "file:///tmp/tagloom-shared"  # only where the session names none, as in tests
+from tagloom.checkpoints import Stored, shared_dir
 
-BATCH_BYTES = 2 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's own setting wins."""
-    return (spark.conf.get(CHECKPOINT_KEY, None) or DEFAULT_SHARED_DIR).rstrip("/")
-
-
-class Stored:
-    """Tables written to the shared folder to cut lineage; ``drop`` deletes one that is no longer read."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/tagloom/{name}-{uuid.uuid4().hex}"
-        self.count = 0
+__all__ = ["Rolling", "Stored", "arrow", "as_text", "ints", "mix64", "packed", "raw", "shared_dir", "slices"]
 
-    def put(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        self.count += 1
-        path = f"{self.root}/{self.count:03d}-{name}"
-        df.write.option("compression", codec).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._tagloom_path = path  # for drop()
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._tagloom_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+BATCH_BYTES = 2 << 20
 
 
 def packed(df: DataFrame, **extra: Column) -> DataFrame:
@@ -48,10 +22,6 @@ def packed(df: DataFrame, **extra: Column) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(k) for k, c in extra.items()])
 
 
-def unpacked(df: DataFrame) -> DataFrame:
-    return df.select("row.*")
-
-
 def as_text(df: DataFrame, name: str) -> Column:
     """The column as a string, null as empty."""
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))

@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.operators.graph import components
+
 from .common import Stored, arrow
-from .components import components
 
 COSINE = 0.95
 SAMPLE_ROWS = 16_384  # that centroids are fitted on, at most

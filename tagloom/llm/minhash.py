@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.operators.graph import components
+
 from .common import Rolling, Stored, arrow, as_text, mix64, packed, raw, slices
-from .components import components
 
 WORDS = 5
 SIMILARITY = (80, 100)
