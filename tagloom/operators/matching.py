@@ -2,42 +2,69 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.functions.text import normalized_distance, without_spaces
+from tagloom.functions.editdistance import distances
+from tagloom.functions.text import without_spaces
 
 SERIALS_IN_BLOCK = 512
-PREDICTIONS_IN_TASK = 256
+PREDICTIONS_IN_SLICE = 4096
+LEAST_SLICES = 16
 
 
-def _distance(a: tuple[str, str], b: tuple[str, str]) -> Column:
-    """The smaller of the distances of the upper-cased texts, as they are and without spaces."""
-    return F.least(normalized_distance(F.col(a[0]), F.col(b[0])), normalized_distance(F.col(a[1]), F.col(b[1])))
+def _normalized(a: list[str], b: list[str]) -> np.ndarray:
+    longest = np.maximum(np.array([len(x) for x in a])[:, None], np.array([len(x) for x in b])[None, :])
+    return distances(a, b) / np.maximum(longest, 1)
+
+
+def _nearest(k: int, exclude_self: bool):
+    """The k nearest serials of a block for each prediction of a slice."""
+
+    def kernel(preds: pa.Table, names: pa.Table) -> pa.Table:
+        texts, serials = preds.column("pred").to_pylist(), names.column("serial").to_pylist()
+        if not texts or not serials:
+            return pa.table({"pred": pa.array([], pa.string()), "serial": pa.array([], pa.string()), "su": pa.array([], pa.string()), "distance": pa.array([], pa.float64())})
+        upper = names.column("su").to_pylist()
+        order = sorted(range(len(serials)), key=lambda i: (upper[i].encode(), serials[i].encode()))
+        serials, upper, bare = ([col[i] for i in order] for col in (serials, upper, names.column("sn").to_pylist()))
+        far = np.minimum(_normalized(preds.column("pu").to_pylist(), upper), _normalized(preds.column("pn").to_pylist(), bare))
+        if exclude_self:
+            place = {s: j for j, s in enumerate(serials)}
+            own = [(i, place[t]) for i, t in enumerate(texts) if t in place]
+            if own:
+                far[tuple(np.array(own).T)] = np.inf
+        best = np.argsort(far, axis=1, kind="stable")[:, :k]
+        row, col = np.repeat(np.arange(len(texts)), best.shape[1]), best.reshape(-1)
+        near = far[row, col]
+        row, col, near = row[np.isfinite(near)], col[np.isfinite(near)], near[np.isfinite(near)]
+        return pa.table({"pred": pa.array([texts[i] for i in row], pa.string()), "serial": pa.array([serials[j] for j in col], pa.string()), "su": pa.array([upper[j] for j in col], pa.string()), "distance": pa.array(near, pa.float64())})
+
+    return kernel
 
 
 def top_k(predictions: DataFrame, serials: DataFrame, k: int = 5, prediction: str = "pred", serial: str = "serial", exclude_self: bool = False) -> DataFrame:
     """(pred, serial, distance, score, rank) of the k nearest serials of each distinct prediction.
 
-    Ties go to the serial that comes first in upper case.  Predictions are made distinct first.  The set of
-    serials is dealt in blocks and each prediction meets every block by an equi-join; a block keeps its own k
-    best before blocks are merged, so neither side is broadcast and k rows a block is all that is shuffled.
+    The distance is the smaller of those of the upper-cased texts as they are and without spaces; ties go to the
+    serial that comes first in upper case.  Predictions are made distinct first and dealt in slices, the set of
+    serials in blocks; each slice meets each block in one call of a bit-parallel kernel, which keeps the block's k
+    best.  Neither side is broadcast, a call's size is bounded, and k rows a block and prediction is all that is
+    shuffled after it.
     """
-    preds = predictions.select(F.col(prediction).alias("pred")).distinct().withColumn("pu", F.upper("pred")).withColumn("pn", without_spaces(F.col("pu")))
-    names = serials.select(F.col(serial).alias("serial")).distinct()
+    preds = predictions.select(F.col(prediction).alias("pred")).where("pred is not null").distinct()
+    names = serials.select(F.col(serial).alias("serial")).where("serial is not null").distinct()
     blocks = max(1, -(-names.count() // SERIALS_IN_BLOCK))
-    names = names.withColumn("su", F.upper("serial")).withColumn("sn", without_spaces(F.col("su"))).withColumn("block", F.pmod(F.xxhash64("serial"), F.lit(blocks)).cast("int"))
-    # Few rows cost much here: they are dealt by block and a slice of the predictions, so all cores have work.
-    spread = preds.withColumn("slice", F.pmod(F.xxhash64("pred"), F.lit(64)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    grid = names.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    pairs = spread.hint("shuffle_hash").join(grid, ["block", "slice"])
-    if exclude_self:
-        pairs = pairs.where("pred <> serial")
-    scored = pairs.select("pred", "serial", "su", "block", _distance(("pu", "pn"), ("su", "sn")).alias("distance"))
-    inside = Window.partitionBy("pred", "block").orderBy("distance", "su", "serial")
-    scored = scored.withColumn("r", F.row_number().over(inside)).where(F.col("r") <= k)
+    slices = max(LEAST_SLICES, -(-preds.count() // PREDICTIONS_IN_SLICE))
+    preds = preds.withColumn("pu", F.upper("pred")).withColumn("pn", without_spaces(F.col("pu")))
+    names = names.withColumn("su", F.upper("serial")).withColumn("sn", without_spaces(F.col("su")))
+    preds = preds.withColumn("slice", F.pmod(F.xxhash64("pred"), F.lit(slices)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    names = names.withColumn("block", F.pmod(F.xxhash64("serial"), F.lit(blocks)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    near = preds.groupBy("block", "slice").cogroup(names.groupBy("block", "slice")).applyInArrow(_nearest(k, exclude_self), "pred string, serial string, su string, distance double")
     whole = Window.partitionBy("pred").orderBy("distance", "su", "serial")
-    best = scored.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k)
+    best = near.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k)
     return best.select("pred", "serial", "distance", (1 - F.col("distance")).alias("score"), "rank")
 
 

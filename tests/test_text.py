@@ -55,3 +55,18 @@ def test_confusions():
     assert confusion_pairs("IABC", "1AB") == [("1", "I")]
     assert confusion_pairs("O", "0") == [("0", "O")] and confusion_pairs("0", "O") == [("O", "0")]
     assert confusion_pairs("A1BC", "AIC") == [("I", "B")]
+
+
+def test_edit_distances(spark):
+    import numpy as np
+
+    from tagloom.functions.editdistance import distances
+
+    rng = np.random.default_rng(0)
+    words = ["", "a", "ü·x", "A1BC", "x" * 64, "ab" * 32, "ab" * 40, "😀b" * 45] + ["".join(rng.choice(list("abc·1 "), int(n))) for n in rng.integers(0, 90, 40)]
+    rows = spark.createDataFrame([(i, j, a, b) for i, a in enumerate(words) for j, b in enumerate(words)], "i int, j int, a string, b string")
+    want = np.zeros((len(words), len(words)), int)
+    for r in rows.select("i", "j", F.levenshtein("a", "b").alias("d")).collect():
+        want[r.i, r.j] = r.d
+    assert (distances(words, words) == want).all()
+    assert distances([], words).shape == (0, len(words))
