@@ -39,5 +39,48 @@ from d left join s using (r) left join q using (r)
 """
 
 
+EMBEDDING_DEDUP = """
+with recursive f as (select vec_id, embedding::double[] e from embeddings where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+g as (select * from f where len(e) = (select len(e) from f group by len(e) order by count(*) desc, len(e) limit 1)),
+u as (select vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) e from g),
+l as (select a.vec_id a, b.vec_id b from u a join u b on a.vec_id <> b.vec_id and list_dot_product(a.e, b.e) >= 0.95),
+r as (select a, b from l union select r.a, l.b from r join l on l.a = r.b),
+c as (select a, min(b) m from r group by a), n as (select a, count(*) n from l group by a)
+select vec_id, coalesce(n, 0)::bigint n_links, coalesce(least(m, vec_id), vec_id) component_id, vec_id = component_id kept
+from embeddings left join c on c.a = vec_id left join n on n.a = vec_id
+"""
+
+MINHASH_DEDUP = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select distinct doc_id, array_to_string(w[i + 1:i + 5], ' ') x from (select *, unnest(range(greatest(len(w) - 4, 1))) i from w where len(w) > 0)),
+n as (select doc_id, count(*) n from s group by doc_id),
+p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.x = b.x and a.doc_id <> b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+r as (select a, b from l union select r.a, l.b from r join l on l.a = r.b),
+m as (select a, min(b) m from r group by a)
+select doc_id, coalesce(n, 0)::bigint n_shingles, coalesce(least(m, doc_id), doc_id) component_id, doc_id = component_id kept
+from w left join n using (doc_id) left join m on m.a = doc_id
+"""
+
+SUFFIX_DEDUP = """
+with h as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+p as (select doc_id, i, md5(substr(h, 2 * i + 1, 200)) k from (select *, unnest(range(greatest(length(h) // 2 - 99, 0))) i from h)),
+q as (select doc_id, i from (select doc_id, i, row_number() over (partition by k order by doc_id, i) r from p) where r > 1),
+g as (select doc_id, i, sum(gap::int) over (partition by doc_id order by i) g from (select *, coalesce(i > lag(i) over (partition by doc_id order by i) + 100, true) gap from q)),
+s as (select doc_id, g, min(i) a, max(i) + 100 b from g group by doc_id, g),
+t as (select doc_id, sum(b - a)::bigint removed, count(*) spans, list_prepend(0, list(b order by a)) a, list(a order by a) b from s group by doc_id),
+k as (select h.doc_id, h, coalesce(removed, 0) removed, coalesce(spans, 0) spans, coalesce(a, [0]) a, list_append(coalesce(b, []), length(h) // 2) b from h left join t using (doc_id))
+select doc_id, (length(h) // 2)::bigint n_bytes, removed::bigint n_removed, spans::bigint n_spans,
+    sha256(unhex(array_to_string(list_transform(range(1, len(a) + 1), lambda j: substr(h, 2 * a[j] + 1, 2 * (b[j] - a[j]))), ''))) kept_sha256 from k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINE_DEDUP, "op4_chat_format": CHAT_FORMAT, "op6_decontaminate": DECONTAMINATE}
+    return {
+        "op2_line_dedup": LINE_DEDUP,
+        "op3_embedding_dedup": EMBEDDING_DEDUP,
+        "op4_chat_format": CHAT_FORMAT,
+        "op5_minhash_dedup": MINHASH_DEDUP,
+        "op6_decontaminate": DECONTAMINATE,
+        "op9_suffix_dedup": SUFFIX_DEDUP,
+    }
