@@ -30,9 +30,11 @@ WORDS = 5
 SIMILARITY = (80, 100)
 SKETCH = 48
 MISS = 1e-6  # chance that two documents just as similar as asked for share too few sketch values
-LIST_BLOCK = 2048
-GROUP_BLOCK = 1500
-GROUP_BYTES = 24 << 20
+LIST_BLOCK = 1024
+GROUP_BLOCK = 1024
+GROUP_BYTES = 16 << 20
+TEXT_BYTES = 1 << 20  # shingled at a time
+PAIRS = 8192  # compared at a time
 _FIRST = -(1 << 63)
 
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -104,7 +106,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def _counts(values: np.ndarray, owner: np.ndarray, n: int, columns: int = 4096) -> np.ndarray:
+def _counts(values: np.ndarray, owner: np.ndarray, n: int, columns: int = 2048) -> np.ndarray:
     """How many values each two of n sets share (each set's values are distinct)."""
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
@@ -122,15 +124,14 @@ def _counts(values: np.ndarray, owner: np.ndarray, n: int, columns: int = 4096)
     return out
 
 
-def _needed(size: np.ndarray, top: np.ndarray, num: int, den: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+def _needed(size: np.ndarray, num: int, den: int, need: int) -> tuple[np.ndarray, np.ndarray]:
     """For all pairs: shared sketch values to be expected at least, and whether the sizes allow the similarity."""
-    both = size[:, None] + size[None, :]
-    whole = (size[:, None] <= SKETCH) & (size[None, :] <= SKETCH)
-    exact = -(-num * both // (num + den))
-    lost = np.maximum(np.maximum(size[:, None], size[None, :]) - SKETCH, 0)
-    small = np.minimum(size[:, None], size[None, :]) <= SKETCH
-    least = np.where(whole, exact, np.where(small, np.minimum(exact - lost, need), need))
-    fits = np.minimum(size[:, None], size[None, :]) * den >= num * np.maximum(size[:, None], size[None, :])
+    size = size.astype(np.int32)
+    low, high = np.minimum(size[:, None], size[None, :]), np.maximum(size[:, None], size[None, :])
+    fits = low.astype(np.int64) * den >= num * high.astype(np.int64)
+    exact = -(-num * (low + high).astype(np.int64) // (num + den)).astype(np.int32)
+    lost = np.maximum(high - SKETCH, 0)
+    least = np.where(high <= SKETCH, exact, np.where(low <= SKETCH, np.minimum(exact - lost, need), need))
     return least, fits
 
 
@@ -154,8 +155,8 @@ def _linked(sets: list[np.ndarray], label: np.ndarray, num: int, den: int, again
     for k, s in enumerate(sets):
         sketch[k, : min(SKETCH, len(s))] = s[:SKETCH]
     keep = np.zeros(len(a), bool)
-    for k in range(0, len(a), 20_000):
-        x, y = a[k : k + 20_000], b[k : k + 20_000]
+    for k in range(0, len(a), PAIRS):
+        x, y = a[k : k + PAIRS], b[k : k + PAIRS]
         union = np.sort(np.concatenate([sketch[x], sketch[y]], axis=1), axis=1)
         double = np.concatenate([union[:, 1:] == union[:, :-1], np.zeros((len(x), 1), bool)], axis=1) & (union != np.iinfo(np.uint64).max)
         single = np.concatenate([np.ones((len(x), 1), bool), union[:, 1:] != union[:, :-1]], axis=1) & (union != np.iinfo(np.uint64).max)
@@ -163,7 +164,7 @@ def _linked(sets: list[np.ndarray], label: np.ndarray, num: int, den: int, again
         within = np.minimum(rank[:, -1], SKETCH)
         both = (double & (rank <= within[:, None])).sum(axis=1)
         exact = size[x] + size[y] <= SKETCH
-        keep[k : k + 20_000] = both >= np.where(exact, 0, (num / den - doubt) * within)
+        keep[k : k + PAIRS] = both >= np.where(exact, 0, (num / den - doubt) * within)
     a, b = a[keep], b[keep]
     if len(a) > 64:
         shared = _counts(np.concatenate(sets), np.repeat(np.arange(n), size), n)[a, b].astype(np.int64)
@@ -179,7 +180,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         with np.errstate(over="ignore"):
-            for batch in slices(batches, "text"):
+            for batch in slices(batches, "text", TEXT_BYTES):
                 sets = shingler.sets(*raw(batch.column("text")))
                 s1 = np.array([mix64(s ^ np.uint64(1)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 s2 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
@@ -224,7 +225,7 @@ def candidate_groups(reps: DataFrame, store: Stored, num: int, den: int) -> Data
             top = np.minimum(n, SKETCH)
             owner = np.repeat(np.arange(len(ids)), top)
             count = _counts(np.frombuffer(b"".join(bodies), np.uint64), owner, len(ids))
-            least, fits = _needed(n, top, num, den, need)
+            least, fits = _needed(n, num, den, need)
             a, b = np.nonzero(np.triu((count >= least) & fits, 1))
             if len(a):
                 root = _roots(len(ids), a, b)
@@ -288,7 +289,7 @@ def links(docs: DataFrame, reps: DataFrame, groups: DataFrame, store: Stored, wo
         shingler = Shingler(words)
         keep = ["id", "group", "blocks", "own"]
         with np.errstate(over="ignore"):
-            for batch in slices(batches, "text"):
+            for batch in slices(batches, "text", TEXT_BYTES):
                 sets = shingler.sets(*raw(batch.column("text")))
                 yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array([s.tobytes() for s in sets], pa.binary())], names=[*keep, "set"])
 
@@ -312,7 +313,7 @@ def links(docs: DataFrame, reps: DataFrame, groups: DataFrame, store: Stored, wo
                 out.update(zip(ids[own].tolist(), ids[root[own]].tolist(), strict=True))
 
         now = None
-        for batch in batches:
+        for batch in slices(batches, "set", 4 << 20):
             cols = [batch.column(k).to_pylist() for k in ("group", "x", "y", "id", "label", "against", "set")]
             for group, x, y, *row in zip(*cols, strict=True):
                 if (group, x, y) != now:
