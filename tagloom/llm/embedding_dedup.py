@@ -1,5 +1,6 @@
 """Near-duplicate embeddings by search in robust-pruned graphs over overlapping cluster shards.
 
+0. Equal vectors make a class, which is one vector with a weight from here on, so exact copies cost nothing.
 1. Centroids are fitted on a bounded sample; every vector goes to its nearest one and to all whose cosine is
    within ``overlap`` of that, so close vectors share a shard.
 2. Each shard builds a graph: a vector's nearest candidates, pruned so that a kept neighbour hides those much
@@ -199,7 +200,7 @@ def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple
 
 
 def _linked(vectors: DataFrame, store: Stored, centroids: np.ndarray, dim: int, threshold: float, overlap: float) -> tuple[DataFrame, DataFrame]:
-    """(id, links) by vector and shard, and the edges (a, b) of each shard's components."""
+    """(id, links) of classes (id, m, v), and the edges (a, b) of each shard's components."""
     spark = vectors.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     sent = spark.sparkContext.broadcast(centroids)
@@ -209,17 +210,17 @@ def _linked(vectors: DataFrame, store: Stored, centroids: np.ndarray, dim: int,
             for k in range(0, batch.num_rows, 2048):
                 part = batch.slice(k, 2048)
                 x, ok = unit(_rows(part, "v"), dim)
-                ids, x = part.column("id").to_numpy()[ok], x[ok]
+                ids, x, m = part.column("id").to_numpy()[ok], x[ok], part.column("m").to_numpy()[ok]
                 sim = x @ sent.value.T
                 near = sim >= sim.max(axis=1, initial=-2)[:, None] - overlap
                 size = near.sum(axis=1)
                 row, shard = np.nonzero(near)
                 shards = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(shard, pa.int32()))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * dim, pa.int32()), pa.array(x.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), shards, flat], names=["id", "shards", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(m), shards, flat], names=["id", "m", "shards", "x"])
 
-    placed = store.put(arrow(vectors, assign, "id bigint, shards array<int>, x array<double>"), "placed")
-    spread = placed.select("id", "shards", "x", F.explode("shards").alias("shard"))
+    placed = store.put(arrow(vectors, assign, "id bigint, m bigint, shards array<int>, x array<double>"), "placed")
+    spread = placed.select("id", "m", "shards", "x", F.explode("shards").alias("shard"))
     blocks = spread.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     # One row a centroid, MAX_CENTROIDS at most.
     spread = spread.join(F.broadcast(blocks), "shard").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
@@ -235,13 +236,13 @@ def _linked(vectors: DataFrame, store: Stored, centroids: np.ndarray, dim: int,
     built = arrow(spread.select("shard", "own", "id", "x").repartition(parts, "shard", "own").sortWithinPartitions("shard", "own", "id"), graph, "id bigint, near array<bigint>")
     united = built.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
-    dealt = spread.join(united, "id").select("shard", "own", "id", "shards", "x", "near", F.explode(meets).alias("m")).select("shard", "m.i", "m.j", "own", "id", "shards", "x", "near")
+    dealt = spread.join(united, "id").select("shard", "own", "id", "m", "shards", "x", "near", F.explode(meets).alias("meet")).select("shard", "meet.i", "meet.j", "own", "id", "m", "shards", "x", "near")
     dealt = dealt.repartition(parts, "shard", "i", "j").sortWithinPartitions("shard", "i", "j", "id")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (shard, i, j), rows in _groups(batches, ["shard", "i", "j"]):
             x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, dim)
-            ids, own = rows.column("id").to_numpy(), rows.column("own").to_numpy()
+            ids, own, weight = rows.column("id").to_numpy(), rows.column("own").to_numpy(), rows.column("m").to_numpy()
             lists = rows.column("near").combine_chunks()
             flat, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
             spot = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
@@ -280,7 +281,7 @@ def _linked(vectors: DataFrame, store: Stored, centroids: np.ndarray, dim: int,
                     near &= lower[g] @ lower[group].T == 0
                     if i != j:
                         near &= own[g][:, None] != own[group]
-                    links[g] += near.sum(axis=1)
+                    links[g] += near @ weight[group]
             some = np.flatnonzero((links > 0) | (root != np.arange(len(ids))))
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some], pa.int64()), pa.array(ids[root[some]])], names=["id", "links", "root"])
 
@@ -288,9 +289,9 @@ def _linked(vectors: DataFrame, store: Stored, centroids: np.ndarray, dim: int,
     return found.groupBy("id").agg(F.sum("links").alias("n_links")), found.select(F.col("id").alias("a"), F.col("root").alias("b"))
 
 
-def _audit(vectors: DataFrame, dim: int, threshold: float, most: int = AUDIT_ROWS) -> dict[int, int]:
-    """Brute-force numbers of links of at most ``most`` vectors, those with the smallest hashes of their ids."""
-    picked = vectors.orderBy(F.xxhash64("id"), "id").limit(most).select("id", "v").collect()
+def _audit(rows: DataFrame, classes: DataFrame, dim: int, threshold: float, most: int = AUDIT_ROWS) -> dict[int, int]:
+    """Brute-force numbers of links of at most ``most`` classes, those with the smallest names."""
+    picked = classes.orderBy("id").limit(most).select("id", "v").collect()
     ids = np.array([r.id for r in picked], np.int64)
     x, ok = unit(np.array([r.v for r in picked], np.float64).reshape(-1), dim)
     ids, x = ids[ok], x[ok]
@@ -299,47 +300,59 @@ def _audit(vectors: DataFrame, dim: int, threshold: float, most: int = AUDIT_ROW
         total = np.zeros(len(ids), np.int64)
         for batch in batches:
             y, good = unit(_rows(batch, "v"), dim)
-            names = batch.column("id").to_numpy()[good]
-            total += ((x @ y[good].T >= threshold) & (ids[:, None] != names[None, :])).sum(axis=1)
+            total += (x @ y[good].T >= threshold).sum(axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["id", "n"])
 
-    rows = arrow(vectors, count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    return {r.id: r.n for r in rows}
+    found = arrow(rows.select("v"), count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    return {r.id: r.n - 1 for r in found}
 
 
 def near_duplicates(table: DataFrame, id: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, overlap: float = OVERLAP) -> DataFrame:
     """One row for each of ``table``: its id, n_links, component_id and kept.
 
-    Vectors link with a cosine of at least ``cosine``.  A vector that is null, empty, zero, or holds a null or a
-    non-finite number, or whose length isn't the most common one (the smallest of those), links with nothing.
-    component_id is the smallest id that links reach, kept says that it is the vector's own.  Rows that share
-    an id are one vector each but never links of each other.  A null id counts as the smallest and stays null.
-    No rows give no rows.  Other columns are not read.
+    Every row is a vector, and vectors link with a cosine of at least ``cosine``; rows that share an id or a
+    vector link like any others.  A vector that is null, empty, zero, or holds a null or a non-finite number, or
+    whose length isn't the most common one (the smallest of those), links with nothing.  component_id is the
+    smallest id that links reach, kept says that it is the vector's own.  A null id counts as the smallest and
+    stays null.  No rows give no rows.  Other columns are not read.
 
-    At most ``SAMPLE_ROWS`` rows (smallest hashes of the id) and ``MAX_CENTROIDS`` centroids are on the driver,
-    and ``AUDIT_ROWS`` vectors for the audit; both are sent to the tasks.
+    At most ``SAMPLE_ROWS`` vectors and ``MAX_CENTROIDS`` centroids are on the driver, and ``AUDIT_ROWS`` vectors
+    for the audit; centroids and these are sent to the tasks.
     """
     store = Stored(table.sparkSession, "embeddings")
     named = table.select(F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_FIRST)).alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
+    keys = ["k1", "k2"]
+    named = named.withColumn("k1", F.xxhash64("v")).withColumn("k2", F.xxhash64(F.lit(1), "v"))
     usable = named.where(F.size("v") > 0).where(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0))
     common = usable.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     shown = lambda c: F.when(F.col(c) != _FIRST, F.col(c))
     if common is None:
         return named.select(shown("id").alias(id), F.lit(0).cast("long").alias("n_links"), shown("id").alias("component_id"), F.lit(True).alias("kept"))
     dim, n = common
-    vectors = usable.where(F.size("v") == dim)
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("v").collect()
+    rows = usable.where(F.size("v") == dim)
+    classes = rows.groupBy(*keys).agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.any_value("v").alias("v"))
+    classes = store.put(classes.withColumn("id", F.xxhash64(*keys, "rep")), "classes")
+    last = classes.select("id").orderBy("id").limit(SAMPLE_ROWS).agg(F.max("id")).first()[0]
+    sample = classes.where(F.col("id") <= F.lit(last)).orderBy("id").limit(SAMPLE_ROWS).select("v").collect()
     x, ok = unit(np.array([r.v for r in sample], np.float64).reshape(-1), dim)
     x = x[ok]
     centroids = fit_centroids(x, max(1, min(MAX_CENTROIDS, len(x) // 8, -(-n // SHARD_ROWS))))
-    exact = _audit(vectors, dim, cosine)
+    exact = _audit(rows, classes, dim, cosine)
+    weight = {r.id: r.m for r in classes.where(F.col("id").isin(list(exact))).select("id", "m").collect()}
     while True:
-        links, edges = _linked(vectors, store, centroids, dim, cosine, overlap)
+        links, edges = _linked(classes.select("id", "m", "v"), store, centroids, dim, cosine, overlap)
         got = {r.id: r.n_links for r in links.where(F.col("id").isin(list(exact))).collect()}
-        recall = sum(min(got.get(k, 0), v) for k, v in exact.items()) / max(sum(exact.values()), 1)
+        recall = sum(min(got.get(k, 0) + weight[k] - 1, v) for k, v in exact.items()) / max(sum(exact.values()), 1)
         if recall >= AUDIT_RECALL or not any(exact.values()) or overlap >= 2:
             break
         overlap *= 2
-    label = components(edges, store)
-    out = named.join(links, "id", "left").join(label, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
-    return out.select(shown("id").alias(id), F.coalesce("n_links", F.lit(0)).alias("n_links"), shown("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    label = components(edges, store).select(F.col("node").alias("id"), "component")
+    named_classes = classes.select(*keys, "id", "rep", "m").join(label, "id", "left").join(links, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named_classes = store.put(named_classes, "named")
+    smallest = named_classes.groupBy("component").agg(F.min("rep").alias("low"))
+    found = named_classes.join(smallest, "component").select(*keys, "low", (F.coalesce("n_links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
+    valid = F.size("v") == dim
+    out = named.select("id", *keys, valid.alias("valid")).join(found, keys, "left")
+    own = F.col("valid") & F.col("low").isNotNull()
+    out = out.select("id", F.when(own, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"), F.when(own, F.col("low")).otherwise(F.col("id")).alias("component"))
+    return out.select(shown("id").alias(id), "n_links", shown("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))

@@ -119,18 +119,28 @@ def brute_vectors(rows, cosine):
     for _, v in good:
         size[len(v)] += 1
     dim = min((-n, d) for d, n in size.items())[1] if size else 0
-    good = [(i, v / np.abs(v).max()) for i, v in good if len(v) == dim]
+    good = [(i, v) for i, v in good if len(v) == dim]
+    named = [(i, v.tolist()) for i, v in good]
+    good = [(i, v / np.abs(v).max()) for i, v in good]
     good = [(i, v / np.linalg.norm(v)) for i, v in good]
     count, links = defaultdict(int), []
-    for a, (i, v) in enumerate(good):
-        for j, w in good[a + 1 :]:
-            if i != j and v @ w >= cosine:
-                count[i] += 1
-                count[j] += 1
-                links.append((i, j))
-    ids = [NONE if i is None else i for i, _ in rows]
-    root = roots(set(ids), links)
-    return sorted((str(i), count[i], str(root[i]), root[i] == i) for i in ids)
+    for a, (_, v) in enumerate(good):
+        for b, (_, w) in enumerate(good[a + 1 :], a + 1):
+            if v @ w >= cosine:
+                count[a] += 1
+                count[b] += 1
+                links.append((a, b))
+    part, low = roots(range(len(good)), links), {}
+    for k, (i, _) in enumerate(good):
+        low[part[k]] = min(low.get(part[k], i), i)
+    place = {(i, repr(v)): k for k, (i, v) in enumerate(named)}
+    out = []
+    for i, v in rows:
+        i = NONE if i is None else i
+        k = place.get((i, repr(v)))
+        root = i if k is None else low[part[k]]
+        out.append((str(i), 0 if k is None else count[k], str(root), root == i))
+    return sorted(out)
 
 
 def check_vectors(spark, rows, cosine=0.95):
@@ -153,6 +163,7 @@ def test_vectors(spark):
 def test_odd_vectors(spark):
     rows = clouds(30, 4)
     rows += [(None, rows[0][1]), (50, None), (51, []), (52, [0.0] * 4), (53, [1.0, None, 0.0, 0.0]), (54, [float("nan"), 1.0, 0.0, 0.0]), (55, [float("inf"), 1.0, 0.0, 0.0]), (56, [1.0, 2.0]), (57, [1e300, 2e300, 0.0, 0.0]), (58, [1e-300, 2e-300, 0.0, 0.0])]
+    rows += [(200 + k, rows[3][1]) for k in range(20)] + [(3, rows[3][1]), (3, rows[4][1])]  # copies, and an id used again
     check_vectors(spark, rows)
     empty = spark.createDataFrame([], "vec_id bigint, embedding array<double>")
     assert embedding_dedup.near_duplicates(empty).count() == 0
