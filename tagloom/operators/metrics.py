@@ -28,6 +28,20 @@ def share(flag: Column) -> Column:
     return F.avg(flag.cast("double"))
 
 
+def attach_outputs(records: DataFrame, outputs: DataFrame, tolerance: float = 1e-3) -> DataFrame:
+    """Records with a model's outputs by crop: text, char_confidences and score.
+
+    Every record needs its output, and the mean of an output's character confidences must agree with its score;
+    a row that breaks either rule is an error when it is read.
+    """
+    joined = records.join(outputs.select("crop", F.col("text").alias("pred"), "char_confidences", "score"), "crop", "left")
+    n = F.size("char_confidences")
+    mean = F.when(n > 0, F.aggregate("char_confidences", F.lit(0.0), lambda a, x: a + x) / n).otherwise(F.lit(0.0))
+    fault = F.when(F.col("pred").isNull(), F.concat(F.lit("no output for "), F.col("crop"))).when(F.abs(mean - F.col("score")) > tolerance, F.concat(F.lit("confidences and score differ for "), F.col("crop")))
+    checked = F.when(fault.isNotNull(), F.raise_error(fault)).otherwise(mean)
+    return joined.withColumn("mean_confidence", checked).drop("score")
+
+
 def failures(detected: Column, hit: Column) -> dict[str, Column]:
     """Exclusive failures; with the hits they sum up to all rows."""
     return {"fail_detection": F.count_if(~detected), "fail_recognition": F.count_if(detected & ~hit), "hits": F.count_if(detected & hit)}

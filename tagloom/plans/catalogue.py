@@ -491,14 +491,38 @@ def flip_policy(spark, d):
 @query
 def fragment_groups(spark, d):
     """Groups of fragments in reading order, by links and components within images."""
-    f, store = _fragments(spark, d), Stored(spark, "groups")
-    node = lambda c: F.struct("image", F.col(c).alias("k"))
-    found = graph.components(grouping.link_pairs(f, 1.5).select(node("i").alias("a"), node("j").alias("b")), store)
-    rows = f.join(found, F.struct("image", F.col("frag_index").alias("k")) == F.col("node"), "left").withColumn("g", F.coalesce(F.col("component.k"), F.col("frag_index")))
-    longest = F.max_by(F.struct("dx", "dy"), F.struct("length", -F.col("frag_index")))
-    lead = rows.groupBy("image", "g").agg(longest.alias("u"))
-    at = F.col("cx") * F.col("u.dx") + F.col("cy") * F.col("u.dy")
-    return rows.join(lead, ["image", "g"]).groupBy("image", "g").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(at.alias("at"), "frag_index"))), lambda x: x["frag_index"].cast("string")), ",").alias("members"))
+    members = grouping.groups(_fragments(spark, d), 1.5, Stored(spark, "groups"))
+    return members.groupBy("image", "g").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "frag_index"))), lambda x: x["frag_index"].cast("string")), ",").alias("members"))
+
+
+@query
+def link_sweep(spark, d):
+    """How many fragments link as the allowed gap grows, under each flip policy: one plan over all combinations."""
+    combos = sweep.grid(spark, policy=["none", "classifier", "confidence"], gap=[0.0, 0.3, 0.6, 1.0, 1.5, 2.0, 3.0])
+    policies = combos.select("policy").distinct()
+    flip = F.when(F.col("policy") == "none", grouping.resolve_flips("none")).when(F.col("policy") == "classifier", grouping.resolve_flips("classifier")).otherwise(grouping.resolve_flips("confidence"))
+    f = grouping.box_geometry(_fragments(spark, d).crossJoin(F.broadcast(policies)).withColumn("flipped", flip))
+    links = grouping.link_pairs(f.join(F.broadcast(combos.select("policy", "gap")), "policy"), F.col("gap"), ("policy", "gap"))
+    return combos.join(links.groupBy("policy", "gap").agg(F.count("*").alias("links")), ["policy", "gap"], "left").select("policy", "gap", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+@query
+def group_evaluation(spark, d):
+    """Groups without ground truth: their hulls matched to the true boxes, their texts to the serials."""
+    truth, store = V.boxes(spark, d), Stored(spark, "evaluation")
+    f = store.put(_fragments(spark, d), "fragments")
+    members = store.put(grouping.groups(f, 0.0, store).withColumnRenamed("g", "group_id"), "members")
+    corner = lambda x, y: F.array(F.col(x), F.col(y))
+    points = F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1")).alias("points")
+    hulls = grouping.group_hulls(members, f.select("image", "frag_index", points))
+    matched = D.greedy_match(D.polygon_pairs(truth.select("image", "box_index", points), hulls, "box_index", "group_id"))
+    reading = truth.where("found").select("image", F.col("box_index").alias("frag_index"), F.col("transcription").alias("text"), F.array(F.lit(0.9)).alias("conf"))
+    texts = grouping.group_texts(members.withColumnRenamed("group_id", "g"), reading)
+    items = truth.select("image", F.col("box_index").alias("gi"), F.upper("transcription").alias("gt"), X.kind(F.col("is_curved")).alias("kind")).join(matched.select("image", "gi", "pi"), ["image", "gi"], "left")
+    items = items.join(texts.withColumnRenamed("g", "pi"), ["image", "pi"], "left").withColumn("pred", F.coalesce("text", F.lit(""))).withColumn("rep", F.col("gt"))
+    names = items.select(F.col("rep").alias("serial")).distinct()
+    h = matching.hits(items, matching.top_k(items, names, 5), 5, "nonempty")
+    return metrics.sliced(h, {"n": F.count("*"), "coverage": r9(metrics.share(F.col("pi").isNotNull())), "top1": r9(metrics.share(F.col("hit1"))), "top5": r9(metrics.share(F.col("hit5")))}, ("kind",))
 
 
 @query

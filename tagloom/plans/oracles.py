@@ -283,6 +283,12 @@ def oracle_sql() -> dict[str, str]:
         "link_pairs": f"with {FRAGMENTS} select image, i, j from links",
         "flip_policy": f"""with {FRAGMENTS}, p as (select unnest(['none', 'classifier', 'confidence']) as policy) select policy, count(*) as fragments,
             count(*) filter (case policy when 'none' then false when 'classifier' then frag_index % 3 = 0 else y0 % 5 > x0 % 7 end) as flipped from fragments, p group by policy""",
+        "link_sweep": f"""with {FRAGMENTS}, c as (select * from (select unnest(['none', 'classifier', 'confidence']) as policy), (select unnest([0.0, 0.3, 0.6, 1.0, 1.5, 2.0, 3.0])::double as gap)),
+            s as (select policy, f.*, case when case policy when 'none' then false when 'classifier' then frag_index % 3 = 0 else y0 % 5 > x0 % 7 end then -1.0::double else 1.0::double end as sign from fragments f, (select distinct policy from c)),
+            q as (select a.policy, (a.dx * b.dx + a.dy * b.dy) * a.sign * b.sign as dot, abs((b.cx - a.cx) * case when a.length >= b.length then a.dy else b.dy end - (b.cy - a.cy) * case when a.length >= b.length then a.dx else b.dx end) as across,
+                abs((b.cx - a.cx) * case when a.length >= b.length then a.dx else b.dx end + (b.cy - a.cy) * case when a.length >= b.length then a.dy else b.dy end) - (a.length + b.length) / 2 as gap_now, (a.height + b.height) / 2 as mean
+                from s a join s b on a.policy = b.policy and a.image = b.image and a.frag_index < b.frag_index)
+            select c.policy, c.gap, count(q.mean) as links from c left join q on q.policy = c.policy and dot >= cos(radians(20)) and across <= 0.7::double * mean and gap_now <= c.gap * mean group by all""",
         "fragment_groups": f"with recursive {GROUPS}",
         "fragment_groups_kernel": f"with recursive {GROUPS}",
         "chain_segments": f"with {SEGMENTS} select chain_id, i, j, text from segments",

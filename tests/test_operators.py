@@ -166,3 +166,12 @@ def test_streaming_rescore(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     rescore(stream, serials(spark, "ABC 123", "ABD 123"), str(tmp_path / "out"), str(tmp_path / "ck"), 1).awaitTermination()
     assert {(r.crop, r.serial) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("c1", "ABC 123"), ("c2", "ABD 123")}
+
+
+def test_outputs_are_attached_by_crop(spark):
+    records = spark.createDataFrame([("a", "X"), ("b", "Y")], "crop string, gt string")
+    outputs = spark.createDataFrame([("b", "y", [0.5, 0.7], 0.6), ("a", "", [], 0.0)], "crop string, text string, char_confidences array<double>, score double")
+    assert {r.crop: (r.pred, round(r.mean_confidence, 9)) for r in metrics.attach_outputs(records, outputs).collect()} == {"a": ("", 0.0), "b": ("y", 0.6)}
+    for broken in (outputs.where("crop = 'a'"), outputs.withColumn("score", F.lit(0.9))):
+        with pytest.raises(Exception):
+            metrics.attach_outputs(records, broken).collect()
