@@ -131,49 +131,59 @@ def identify(docs: DataFrame, model: Model, id: str = "doc_id", text: Column | s
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             scores = sent.value.likelihoods(*raw(batch.column("text")))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(scores) + 1) * scores.shape[1], pa.int32()), pa.array(scores.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], flat], names=[*keep, "text_score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], _lists(scores), _lists(_posterior(scores + flat))], names=[*keep, "text_score", "own"])
 
-    store = Stored(spark, "language")
-    scored = store.put(arrow(source, kernel, "id bigint, sum string, declared string, suffix string, host string, text_score array<double>"), "scores")
-
-    def posterior(score: Column) -> Column:
-        top = F.array_max(score)
-        chance = F.transform(score, lambda x: F.exp(x - top))
-        return F.transform(chance, lambda x: x / F.aggregate(chance, F.lit(0.0), lambda a, y: a + y))
-
-    flat_prior = F.array(*[F.lit(float(np.log((1 - UNKNOWN_PRIOR) / max(len(names) - 1, 1)))) for _ in names[:-1]], F.lit(float(np.log(UNKNOWN_PRIOR))))
-    plain = scored.withColumn("own", posterior(F.zip_with("text_score", flat_prior, lambda a, b: a + b)))
-    sums = [F.sum(F.col("own")[k]) for k in range(len(names))]
-    by_declared = plain.groupBy("declared").agg(F.array(*sums).alias("d_sum"))
-    by_suffix = plain.groupBy("suffix").agg(F.array(*sums).alias("s_sum"))
-    by_host = plain.groupBy("suffix", "host").agg(F.array(*sums).alias("h_sum"))
-    whole = plain.agg(F.array(*[F.coalesce(s, F.lit(0.0)) for s in sums])).first()[0]
     kinds = len(names)
-    base = F.array(*[F.lit(float((w + 1) / (sum(whole) + kinds))) for w in whole])
-    total = F.array(*[F.lit(float(w)) for w in whole])
-
-    def lean(sums: Column, parent: Column) -> Column:
-        """The distribution of sums less the row's own share, leaning on the parent's."""
-        rest = F.zip_with(sums, "own", lambda s, o: F.greatest(s - o, F.lit(0.0)))
-        n = F.aggregate(rest, F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(rest, parent, lambda r, p: (r + HOST_STRENGTH * p) / (n + HOST_STRENGTH))
-
-    # Two letters or none: at most 677 rows.
-    joined = plain.join(F.broadcast(by_declared), "declared").join(by_suffix, "suffix").join(by_host, ["suffix", "host"])
-    joined = joined.withColumn("s_prior", F.when(F.col("suffix") == "", base).otherwise(lean(F.col("s_sum"), base)))
-    joined = joined.withColumn("h_prior", F.when(F.col("host") == "", F.col("s_prior")).otherwise(lean(F.col("h_sum"), F.col("s_prior"))))
-    rest = F.zip_with("d_sum", "own", lambda s, o: F.greatest(s - o, F.lit(0.0)))
-    said = F.zip_with(rest, F.zip_with(total, "own", lambda s, o: F.greatest(s - o, F.lit(0.0))), lambda d, t: F.log((d + 0.5) / (t + 0.5 * 677)))
-    score = F.zip_with("text_score", F.transform("h_prior", lambda p: F.log(p)), lambda a, b: a + b)
-    joined = joined.withColumn("score", F.when(F.col("declared") == "", score).otherwise(F.zip_with(score, said, lambda a, b: a + b)))
-    # Without evidence in the text nothing is accepted, whatever its host or markup say.
-    bare = F.forall("text_score", lambda x: x == 0)
-    out = joined.withColumn("post", posterior(F.col("score")))
-    labels = F.array(*[F.lit(x) for x in names])
-    best = lambda a: F.get(labels, (F.array_position(a, F.array_max(a)) - 1).cast("int"))
-    out = out.withColumn("lang", F.when(bare, F.lit(UNKNOWN)).otherwise(best(F.col("post")))).withColumn("confidence", F.when(bare, F.lit(0.0)).otherwise(F.array_max("post")))
-    return out.select(F.col("id").alias(id), "sum", "lang", "confidence", ((F.col("lang") != UNKNOWN) & (F.col("confidence") >= MIN_CONFIDENCE)).alias("accepted"), F.when(bare, F.lit(UNKNOWN)).otherwise(best(F.col("own"))).alias("text_lang"))
+    flat = np.log(np.array([(1 - UNKNOWN_PRIOR) / max(kinds - 1, 1)] * (kinds - 1) + [UNKNOWN_PRIOR]))
+    store = Stored(spark, "language")
+    scored = store.put(arrow(source, kernel, "id bigint, sum string, declared string, suffix string, host string, text_score array<double>, own array<double>"), "scores")
+    sums = [F.coalesce(F.sum(F.col("own")[k]), F.lit(0.0)) for k in range(kinds)]
+    whole = np.array(scored.agg(F.array(*sums)).first()[0])
+
+    joined = scored
+    if declared is not None:  # two letters or none: at most 677 rows
+        joined = joined.join(F.broadcast(scored.groupBy("declared").agg(F.array(*sums).alias("d_sum"))), "declared")
+    if suffix is not None or host is not None:
+        joined = joined.join(scored.groupBy("suffix").agg(F.array(*sums).alias("s_sum")), "suffix") if suffix is not None else joined
+        joined = joined.join(scored.groupBy("suffix", "host").agg(F.array(*sums).alias("h_sum")), ["suffix", "host"]) if host is not None else joined
+    has = [c for c in ("d_sum", "s_sum", "h_sum") if c in joined.columns]
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, text = _matrix(batch, "own", kinds), _matrix(batch, "text_score", kinds)
+            given = {k: np.array([x != "" for x in batch.column(k).to_pylist()], bool)[:, None] for k in ("declared", "suffix", "host")}
+            prior = np.repeat(((whole + 1) / (whole.sum() + kinds))[None, :], len(own), axis=0)
+            for name, at in (("s_sum", "suffix"), ("h_sum", "host")):
+                if name in has:
+                    rest = np.maximum(_matrix(batch, name, kinds) - own, 0)
+                    prior = np.where(given[at], (rest + HOST_STRENGTH * prior) / (rest.sum(axis=1, keepdims=True) + HOST_STRENGTH), prior)
+            score = text + np.log(prior)
+            if "d_sum" in has:
+                rest, total = np.maximum(_matrix(batch, "d_sum", kinds) - own, 0), np.maximum(whole - own, 0)
+                score = score + np.where(given["declared"], np.log((rest + 0.5) / (total + 0.5 * 677)), 0)
+            post, bare = _posterior(score), (text == 0).all(axis=1)  # without evidence in the text, host and markup decide nothing
+            label = lambda x: pa.array([UNKNOWN if b else names[k] for k, b in zip(x.argmax(axis=1), bare, strict=True)])  # noqa: B023, E731
+            confidence = np.where(bare, 0.0, post.max(axis=1))
+            keeps = ~bare & (post.argmax(axis=1) < kinds - 1) & (confidence >= MIN_CONFIDENCE)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("sum"), label(post), pa.array(confidence), pa.array(keeps), label(own)], names=["id", "sum", "lang", "confidence", "accepted", "text_lang"])
+
+    out = arrow(joined.select("id", "sum", "declared", "suffix", "host", "text_score", "own", *has), fuse, "id bigint, sum string, lang string, confidence double, accepted boolean, text_lang string")
+    return out.withColumnRenamed("id", id)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.reshape(-1)))
+
+
+def _matrix(batch: pa.RecordBatch, name: str, width: int) -> np.ndarray:
+    return batch.column(name).flatten().to_numpy().reshape(-1, width)
+
+
+def _posterior(score: np.ndarray) -> np.ndarray:
+    chance = np.exp(score - score.max(axis=1, keepdims=True))
+    return chance / chance.sum(axis=1, keepdims=True)
 
 
 def accepted(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text", **evidence: Column) -> DataFrame:
