@@ -15,7 +15,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, comb, sqrt
+from math import comb, sqrt
 
 import numpy as np
 import pyarrow as pa

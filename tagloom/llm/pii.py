@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stored, as_text, packed
+from .common import Stored, as_text
 
 KINDS = ("email", "ip", "card", "phone")
 
