@@ -26,8 +26,9 @@ BLOCK = 128
 PERCENTILE = 90
 SEGMENT_TOKENS = 1 << 20
 DOCS_AT_ONCE = 4096
+TEXT_BYTES = 1 << 20  # encoded at a time
 END_ID = 0
-CACHE_WORDS = 1_800_000
+CACHE_WORDS = 1_300_000
 JOINED = 64
 
 SEGMENTS = "part int, seq int, before bigint, first_id bigint, last_id bigint, n_docs bigint, n_tokens bigint, body binary"
@@ -114,7 +115,6 @@ def unpack(body: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 _SPLIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _ODD = re.compile(r"[^\S \n]")
-_LOOSE = ("  ", "\n\n", "\n ", " \n")
 _EDGE = {" ", "\n"}
 
 
@@ -123,9 +123,11 @@ class _Index(dict):
 
     def __init__(self):
         self.fresh: list[str] = []
+        self.following = 0
 
     def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
+        self[key] = n = self.following
+        self.following = n + 1
         self.fresh.append(key)
         return n
 
@@ -155,47 +157,44 @@ class Encoder:
 
     def clear(self) -> None:
         self.index = _Index()
-        self.index[" "] = 0  # a document's end
-        self.flat = np.array([self.end_id], np.uint32)
-        self.start, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.index[" "]  # a document's end
+        self.index.fresh = []
+        self.flat = np.array([self.end_id], np.uint16 if max(len(self.spelt), self.end_id + 1) <= 1 << 16 else np.uint32)
+        self.start, self.size = np.zeros(1, np.int32), np.ones(1, np.int32)
 
     def learn(self, keys: list[str]) -> None:
-        raw = [k[1:] if k[0] == " " else k if k[0] == "\n" else " " + k for k in (k or " " for k in keys)]
-        length = np.array([len(r.encode()) for r in raw], np.int64)
-        joined = np.array([len(r) > 1 and r[0] in " \n" and not r[-1].isspace() for r in raw], bool)
-        own = {int(k): e.ids for k, e in zip(at, self.tokenizer.encode_batch_fast([raw[k] for k in at], add_special_tokens=False), strict=True)} if len(at := np.flatnonzero(~joined)) else {}
-        at = np.flatnonzero(joined)
-        texts = ["".join(raw[k] for k in at[j : j + JOINED]) for j in range(0, len(at), JOINED)]
-        ids = np.concatenate([np.empty(0, np.uint32), *(np.array(e.ids, np.uint32) for e in (self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []))])
-        reach, ends = np.cumsum(self.spelt[ids]), np.cumsum(length[at])
+        """Ids of new keys; words are encoded end to end, other pieces one by one."""
+        plain = np.array([k[:1] != " " for k in keys], bool)
+        words = [k for k in keys if k[:1] != " "]
+        length = np.fromiter(map(len, map(str.encode, words)), np.int64, len(words))
+        length += np.fromiter((k[:1] != "\n" for k in words), bool, len(words))
+        texts = [(" " + " ".join(words[j : j + JOINED])).replace(" \n", "\n") for j in range(0, len(words), JOINED)]
+        other = [k[1:] for k in keys if k[:1] == " "]
+        encoded = self.tokenizer.encode_batch_fast(texts + other, add_special_tokens=False)
+        ids = np.concatenate([np.empty(0, np.uint32), *(np.array(e.ids, np.uint32) for e in encoded[: len(texts)])])
+        reach = np.cumsum(self.spelt[ids])
+        ends = np.cumsum(length)
         cut = np.searchsorted(reach, ends) + 1
-        if len(at) and not (reach[cut - 1] == ends).all():
+        if len(words) and not (reach[cut - 1] == ends).all():
             raise ValueError("this tokenizer doesn't cut at spaces")
-        sizes = np.zeros(len(keys), np.int64)
-        sizes[at] = np.diff(cut, prepend=0)
-        starts = np.zeros(len(keys), np.int64)
-        starts[at] = cut - sizes[at] + len(self.flat)
-        if own:
-            flat = np.concatenate([np.array(x, np.uint32) for x in own.values()])
-            where = np.fromiter(own, np.int64, len(own))
-            sizes[where] = [len(x) for x in own.values()]
-            starts[where] = np.cumsum(sizes[where]) - sizes[where] + len(self.flat) + len(ids)
-            ids = np.concatenate([ids, flat])
-        self.flat = np.concatenate([self.flat, ids])
-        self.start, self.size = np.concatenate([self.start, starts]), np.concatenate([self.size, sizes])
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids end to end, each text's followed by the end id; the texts' ends)."""
-        if len(self.index) > CACHE_WORDS or len(self.flat) > 8 * CACHE_WORDS:
-            self.clear()
+        rest = [np.array(e.ids, np.uint32) for e in encoded[len(texts) :]]
+        sizes = np.empty(len(keys), np.int64)
+        starts = np.empty(len(keys), np.int64)
+        sizes[plain] = np.diff(cut, prepend=0)
+        starts[plain] = cut - sizes[plain] + len(self.flat)
+        sizes[~plain] = [len(x) for x in rest]
+        starts[~plain] = np.cumsum(sizes[~plain]) - sizes[~plain] + len(self.flat) + len(ids)
+        self.flat = np.concatenate([self.flat, *(x.astype(self.flat.dtype) for x in (ids, *rest))])
+        self.start, self.size = np.concatenate([self.start, starts.astype(np.int32)]), np.concatenate([self.size, sizes.astype(np.int32)])
+
+    def _cut(self, texts: list[str], odd: bool) -> tuple[list[str], list[int]]:
+        """Keys of all pieces, each text's followed by the end's, and the texts' ends among them."""
         keys: list[str] = []
         count: list[int] = []
-        once: list[str] = []
         for text in texts:
-            if _ODD.search(text):
-                once.append(" " + text)
-                keys.append(once[-1])
-            elif text[:1] in _EDGE or text[-1:] in _EDGE or any(x in text for x in _LOOSE):
+            if odd and _ODD.search(text):
+                keys.append(" " + text)
+            elif text[:1] in _EDGE or text[-1:] in _EDGE or "  " in text or "\n\n" in text or "\n " in text or " \n" in text:
                 keys += [" " + piece for piece in _SPLIT.findall(text)]
             elif text:
                 words = text.replace("\n", " \n").split(" ")
@@ -203,17 +202,32 @@ class Encoder:
                 keys += words
             keys.append(" ")
             count.append(len(keys))
+        return keys, count
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, each text's followed by the end id; the texts' ends)."""
+        if len(self.index) > CACHE_WORDS or len(self.flat) > 8 * CACHE_WORDS:
+            self.clear()
+        keys, count = self._cut(texts, False)
         found = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+        odd = _ODD.search("".join(self.index.fresh)) is not None
+        if odd:  # other white space, which is only ever in new pieces: none of those may stay
+            for key in self.index.fresh:
+                del self.index[key]
+            self.index.following -= len(self.index.fresh)
+            self.index.fresh = []
+            keys, count = self._cut(texts, True)
+            found = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
         if self.index.fresh:
             self.learn(self.index.fresh)
             self.index.fresh = []
         size = self.size[found]
-        ends = np.cumsum(size)
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.start[found] - ends + size, size)]
-        for key in once:
-            self.index.pop(key, None)
-        if once:
-            self.clear()
+        ends = np.cumsum(size, dtype=np.int64)
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.start[found] - ends + size, size)].astype(np.uint32)
+        if odd:  # whole texts aren't kept
+            for text in texts:
+                if _ODD.search(text):
+                    self.index.pop(" " + text, None)
         return ids, ends[np.array(count) - 1]
 
 
@@ -253,7 +267,7 @@ def segments(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "t
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), types, strict=True)], names=list(row))
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXT_BYTES):
             part = batch.column("part")[0].as_py()
             ids, at = own.encode(batch.column("text").to_pylist())
             held.append(ids)
