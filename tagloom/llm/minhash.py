@@ -30,11 +30,12 @@ WORDS = 5
 SIMILARITY = (80, 100)
 SKETCH = 48
 MISS = 1e-6  # chance that two documents just as similar as asked for share too few sketch values
-LIST_BLOCK = 1024
-GROUP_BLOCK = 1024
+LIST_BLOCK = 2048
+GROUP_BLOCK = 2048
 GROUP_BYTES = 16 << 20
 TEXT_BYTES = 1 << 20  # shingled at a time
 PAIRS = 8192  # compared at a time
+ROWS = 256  # of a table of pairs at a time
 _FIRST = -(1 << 63)
 
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -124,15 +125,13 @@ def _counts(values: np.ndarray, owner: np.ndarray, n: int, columns: int = 2048)
     return out
 
 
-def _needed(size: np.ndarray, num: int, den: int, need: int) -> tuple[np.ndarray, np.ndarray]:
-    """For all pairs: shared sketch values to be expected at least, and whether the sizes allow the similarity."""
-    size = size.astype(np.int32)
-    low, high = np.minimum(size[:, None], size[None, :]), np.maximum(size[:, None], size[None, :])
-    fits = low.astype(np.int64) * den >= num * high.astype(np.int64)
-    exact = -(-num * (low + high).astype(np.int64) // (num + den)).astype(np.int32)
+def _needed(rows: np.ndarray, cols: np.ndarray, num: int, den: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """For sets of these sizes: shared sketch values to be expected at least, and whether the sizes allow the similarity."""
+    low, high = np.minimum(rows[:, None], cols[None, :]), np.maximum(rows[:, None], cols[None, :])
+    exact = -(-num * (low + high) // (num + den))
     lost = np.maximum(high - SKETCH, 0)
     least = np.where(high <= SKETCH, exact, np.where(low <= SKETCH, np.minimum(exact - lost, need), need))
-    return least, fits
+    return least, low * den >= num * high
 
 
 def _linked(sets: list[np.ndarray], label: np.ndarray, num: int, den: int, against: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -144,11 +143,16 @@ def _linked(sets: list[np.ndarray], label: np.ndarray, num: int, den: int, again
     size = np.array([len(s) for s in sets], np.int64)
     # Union sketch: of the k smallest values of the union, the share that both hold; five deviations of doubt.
     doubt = 5 * sqrt(num / den * (1 - num / den) / SKETCH)
-    a, b = np.triu_indices(n, 1)
-    ok = (label[a] != label[b]) & (np.minimum(size[a], size[b]) * den >= num * np.maximum(size[a], size[b])) & (size[a] > 0)
-    if against is not None:
-        ok &= ~(against[a] & against[b])
-    a, b = a[ok], b[ok]
+    first, second = [], []
+    for k in range(0, n, ROWS):
+        rows, part = np.arange(k, min(k + ROWS, n)), size[k : k + ROWS, None]
+        ok = (np.arange(n) > rows[:, None]) & (label[rows][:, None] != label) & (np.minimum(part, size) * den >= num * np.maximum(part, size)) & (part > 0)
+        if against is not None:
+            ok &= ~(against[rows][:, None] & against)
+        x, y = np.nonzero(ok)
+        first.append((x + k).astype(np.int32))
+        second.append(y.astype(np.int32))
+    a, b = np.concatenate(first), np.concatenate(second)
     if not len(a):
         return a, b
     sketch = np.full((n, SKETCH), np.iinfo(np.uint64).max, np.uint64)
@@ -225,8 +229,13 @@ def candidate_groups(reps: DataFrame, store: Stored, num: int, den: int) -> Data
             top = np.minimum(n, SKETCH)
             owner = np.repeat(np.arange(len(ids)), top)
             count = _counts(np.frombuffer(b"".join(bodies), np.uint64), owner, len(ids))
-            least, fits = _needed(n, num, den, need)
-            a, b = np.nonzero(np.triu((count >= least) & fits, 1))
+            first, second = [], []
+            for k in range(0, len(ids), ROWS):
+                least, fits = _needed(n[k : k + ROWS], n, num, den, need)
+                x, y = np.nonzero((count[k : k + ROWS] >= least) & fits)
+                first.append(x[y > x + k] + k)
+                second.append(y[y > x + k])
+            a, b = np.concatenate(first), np.concatenate(second)
             if len(a):
                 root = _roots(len(ids), a, b)
                 own = np.flatnonzero(root != np.arange(len(ids)))
