@@ -39,7 +39,7 @@ def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled piece ids of each document, and proof that they decode to its text."""
-    done = sentencepiece_sampling.sampled(docs, vocabulary("piece_bpe_32k.model"))
+    done = sentencepiece_sampling.sampled(docs, vocabulary("piece_bpe_32k.model"), keep=["doc_id"])
     return done.select("row.doc_id", "ids", "n_pieces", "ids_crc32", "decoded_sha256", "lossless")
 
 

@@ -25,8 +25,8 @@ from .common import arrow, as_text, ints, mix64, packed, slices
 
 SHARPNESS = 1.0
 SEED = 17
-CACHED_NODES = 800_000
-TEXT_BYTES = 1 << 20  # sampled at a time
+CACHED_NODES = 600_000
+TEXT_BYTES = 1 << 19  # sampled at a time
 
 _UNIT = re.compile(r" *[^ ]+| +")
 _SPACE, _LITERAL = 0x2581, 0x110000  # a space, and U+2581 as a text's own character
@@ -247,8 +247,8 @@ def row_seeds(keys: list, seed: int) -> np.ndarray:
     return mix64(np.array(raw, np.uint64) ^ mix64(np.array([seed], np.uint64)))
 
 
-def sampled(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", sharpness: float = SHARPNESS, seed: int = SEED, with_ids: bool = True) -> DataFrame:
-    """Every row of ``docs`` as a struct ``row`` beside ids, n_pieces, ids_crc32, decoded_sha256 and lossless.
+def sampled(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", sharpness: float = SHARPNESS, seed: int = SEED, with_ids: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """Every row of ``docs`` (or its columns ``keep``) as a struct ``row`` beside ids, n_pieces, ids_crc32, decoded_sha256 and lossless.
 
     ``ids`` is one segmentation drawn from the lattice, the same for the same key, text, seed and model however
     the rows are dealt.  The ids are decoded again and compared with the text: ``lossless`` says if all bytes
@@ -258,6 +258,8 @@ def sampled(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
     own; rows with equal key and text get equal ids.  Texts of any length are taken whole.  No rows give no rows.
     """
     source = packed(docs, key=F.col(f"`{key}`").cast("string"), text=as_text(docs, text))
+    if keep is not None:  # so that texts aren't sent twice
+        source = source.select(F.struct(*[F.col(f"row.`{c}`").alias(c) for c in keep]).alias("row"), "key", "text")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(model, sharpness)
