@@ -7,7 +7,7 @@
    closer to it than to the vector, and the reverse edges.  A vector's lists from all its shards are united.
 3. In each shard every vector searches the graph greedily from the medoid, then expands from what it found and
    from its own neighbours through everything within range.  Vectors that the search connects are verified
-   against each other in double precision.
+   against each other in double precision.  Rows of two blocks of a shard are compared by a matrix product.
 4. A pair counts in its smallest common shard only, so no pairs leave a task: it reports numbers of links and,
    for the components, each vector's root in the shard.
 5. The links of a bounded sample of vectors are counted by brute force over all rows; if the recall is too low,
@@ -175,6 +175,19 @@ def search(x: np.ndarray, neighbours: np.ndarray, starts: np.ndarray, threshold:
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
+def merged(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest row of each row's component, once the pairs (a, b) join those that ``root`` has."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def _rows(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).flatten().to_numpy(zero_copy_only=False)
 
@@ -251,37 +264,42 @@ def _linked(vectors: DataFrame, store: Stored, centroids: np.ndarray, dim: int,
             nth = np.arange(len(row)) - np.searchsorted(row, row)
             near = np.full((len(ids), min(int(nth.max(initial=0)) + 1, UNITED)), -1, np.int64)
             near[row[nth < UNITED], nth[nth < UNITED]] = spot[nth < UNITED]
-            starts = []
-            for block in sorted({i, j}):
-                members = np.flatnonzero(own == block)
-                if len(members):
-                    starts.append(members[np.argmax(x[members] @ x[members].mean(axis=0))])
-            a, b = search(x, near, np.array(starts), threshold)
-            root = np.arange(len(ids))
-            while len(a):
-                before = root.copy()
-                np.minimum.at(root, a, before[b])
-                np.minimum.at(root, b, before[a])
-                root = root[root]
-                if (root == before).all():
-                    break
-            # Verify: all cosines within what the search has connected, a block of rows at a time.  A pair counts
-            # where its smallest common shard is.
             sets = rows.column("shards").combine_chunks()
             has = np.zeros((len(ids), len(sent.value)), np.float32)
             has[np.repeat(np.arange(len(ids)), sets.value_lengths().to_numpy()), sets.flatten().to_numpy()] = 1
             lower = has[:, :shard]
+            lower = lower[:, lower.any(axis=0)]
             links = np.zeros(len(ids), np.int64)
-            order = np.argsort(root, kind="stable")
-            for group in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
-                for k in range(0, len(group) if len(group) > 1 else 0, 512):
-                    g = group[k : k + 512]
-                    near = x[g] @ x[group].T >= threshold
-                    near &= ids[g][:, None] != ids[group]
-                    near &= lower[g] @ lower[group].T == 0
-                    if i != j:
-                        near &= own[g][:, None] != own[group]
-                    links[g] += near @ weight[group]
+            root = np.arange(len(ids))
+            if i != j:  # lists end at a block, so its rows are compared with all of the other one
+                left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+                other = x[right].T
+                for k in range(0, len(left), 512):
+                    g = left[k : k + 512]
+                    near = x[g] @ other >= threshold
+                    near &= ids[g][:, None] != ids[right]
+                    p, q = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+                    if not len(p):
+                        continue
+                    g, h, near = g[p], right[q], near[np.ix_(p, q)]
+                    a, b = np.nonzero(near)
+                    root = merged(root, g[a], h[b])
+                    near &= lower[g] @ lower[h].T == 0
+                    links[g] += near @ weight[h]
+                    links[h] += weight[g] @ near
+            else:
+                start = np.argmax(x @ x.mean(axis=0))
+                root = merged(root, *search(x, near, np.array([start]), threshold))
+                # Verify: all cosines within what the search has connected, a block of rows at a time.  A pair counts
+                # where its smallest common shard is.
+                order = np.argsort(root, kind="stable")
+                for group in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
+                    for k in range(0, len(group) if len(group) > 1 else 0, 512):
+                        g = group[k : k + 512]
+                        near = x[g] @ x[group].T >= threshold
+                        near &= ids[g][:, None] != ids[group]
+                        near &= lower[g] @ lower[group].T == 0
+                        links[g] += near @ weight[group]
             some = np.flatnonzero((links > 0) | (root != np.arange(len(ids))))
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some], pa.int64()), pa.array(ids[root[some]])], names=["id", "links", "root"])
 

@@ -179,3 +179,13 @@ def test_vectors_in_blocks_and_shards(spark, monkeypatch):
     want = {int(i): n for i, n, _, _ in brute_vectors(rows, 0.95)}
     assert all(got[k] <= want[k] for k in want)
     assert sum(got.values()) >= 0.98 * sum(want.values())
+
+
+def test_pairs_across_blocks(spark, monkeypatch):
+    """One shard of two blocks, made of clusters of near copies and of pairs: a block's lists never lead into another."""
+    monkeypatch.setattr(embedding_dedup, "SHARD_ROWS", 10_000)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 1000)
+    rng = np.random.default_rng(6)
+    rows = [c + 0.03 * rng.normal(size=32) for c in rng.normal(size=(15, 32)) for _ in range(100)]
+    rows += [c + 0.1 * rng.normal(size=32) for c in rng.normal(size=(200, 32)) for _ in range(2)]
+    check_vectors(spark, [(k, v.tolist()) for k, v in enumerate(rows)])
