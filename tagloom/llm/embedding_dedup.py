@@ -10,8 +10,10 @@
    against each other in double precision.  Rows of two blocks of a shard are compared by a matrix product.
 4. A pair counts in its smallest common shard only, so no pairs leave a task: it reports numbers of links and,
    for the components, each vector's root in the shard.
-5. The links of a bounded sample of vectors are counted by brute force over all rows; if the recall is too low,
-   the overlap grows and the search is repeated.
+5. The links between different vectors are counted by brute force over all classes for a sample that is drawn
+   until enough of it has some; if the recall is too low, the search is repeated with a larger overlap and all
+   cosines of a shard, at last with the overlap at which two linked vectors always share a shard.  That misses
+   nothing and needs no audit.
 """
 
 from __future__ import annotations
@@ -38,7 +40,9 @@ UNITED = 32  # neighbours in a shard, at most, after lists are united
 CANDIDATES = 32
 BEAM = 24
 ALPHA = 1.2
-AUDIT_ROWS = 256
+AUDIT_ROWS = 256  # drawn at first, then eight times as many
+AUDIT_MOST = 16_384  # at most, which compares about as many pairs as the search does
+AUDIT_LINKED = 64  # classes with links that are enough
 AUDIT_RECALL = 0.98
 _FIRST = -(1 << 63)
 
@@ -212,8 +216,10 @@ def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple
         yield now, pa.Table.from_batches(held)
 
 
-def _linked(vectors: DataFrame, store: Stored, centroids: np.ndarray, dim: int, threshold: float, overlap: float) -> tuple[DataFrame, DataFrame]:
-    """(id, links) of classes (id, m, v), and the edges (a, b) of each shard's components."""
+def _linked(vectors: DataFrame, store: Stored, centroids: np.ndarray, dim: int, threshold: float, overlap: float, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """(id, links, others) of classes (id, m, v), and the edges (a, b) of each shard's components.
+
+    Links count rows and others classes.  ``whole`` compares all rows of a shard and not those a search connects."""
     spark = vectors.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     sent = spark.sparkContext.broadcast(centroids)
@@ -271,7 +277,8 @@ def _linked(vectors: DataFrame, store: Stored, centroids: np.ndarray, dim: int,
             lower = lower[:, lower.any(axis=0)]
             links = np.zeros(len(ids), np.int64)
             root = np.arange(len(ids))
-            if i != j:  # lists end at a block, so its rows are compared with all of the other one
+            others = np.zeros(len(ids), np.int64)
+            if i != j or whole:  # lists end at a block, so its rows are compared with all of the other one
                 left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
                 other = x[right].T
                 for k in range(0, len(left), 512):
@@ -286,7 +293,10 @@ def _linked(vectors: DataFrame, store: Stored, centroids: np.ndarray, dim: int,
                     root = merged(root, g[a], h[b])
                     near &= lower[g] @ lower[h].T == 0
                     links[g] += near @ weight[h]
-                    links[h] += weight[g] @ near
+                    others[g] += near.sum(axis=1)
+                    if i != j:
+                        links[h] += weight[g] @ near
+                        others[h] += near.sum(axis=0)
             else:
                 start = np.argmax(x @ x.mean(axis=0))
                 root = merged(root, *search(x, near, np.array([start]), threshold))
@@ -300,29 +310,52 @@ def _linked(vectors: DataFrame, store: Stored, centroids: np.ndarray, dim: int,
                         near &= ids[g][:, None] != ids[group]
                         near &= lower[g] @ lower[group].T == 0
                         links[g] += near @ weight[group]
+                        others[g] += near.sum(axis=1)
             some = np.flatnonzero((links > 0) | (root != np.arange(len(ids))))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some], pa.int64()), pa.array(ids[root[some]])], names=["id", "links", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some], pa.int64()), pa.array(others[some], pa.int64()), pa.array(ids[root[some]])], names=["id", "links", "others", "root"])
+
+    found = store.put(arrow(dealt, find, "id bigint, links bigint, others bigint, root bigint"), "found")
+    return found.groupBy("id").agg(F.sum("links").alias("n_links"), F.sum("others").alias("n_others")), found.select(F.col("id").alias("a"), F.col("root").alias("b"))
+
 
-    found = store.put(arrow(dealt, find, "id bigint, links bigint, root bigint"), "found")
-    return found.groupBy("id").agg(F.sum("links").alias("n_links")), found.select(F.col("id").alias("a"), F.col("root").alias("b"))
+def _audit(classes: DataFrame, dim: int, threshold: float) -> dict[int, int]:
+    """Brute-force numbers of linked classes, where there are any, of the classes with the smallest names.
+
+    Classes are drawn until ``AUDIT_LINKED`` of them have links, all are drawn or ``AUDIT_MOST`` are."""
+    out: dict[int, int] = {}
+    most, last = AUDIT_ROWS, None
+    while True:
+        rest = classes if last is None else classes.where(F.col("id") > F.lit(last))
+        picked = rest.orderBy("id").limit(most).select("id", "v").collect()
+        if not picked:
+            return out
+        ids = np.array([r.id for r in picked], np.int64)
+        x, ok = unit(np.array([r.v for r in picked], np.float64).reshape(-1), dim)
+        out.update(_counted(classes, ids[ok], x[ok], dim, threshold))
+        if len(out) >= AUDIT_LINKED or len(picked) < most or most >= AUDIT_MOST:
+            return out
+        most, last = min(8 * most, AUDIT_MOST), int(ids[-1])
 
 
-def _audit(rows: DataFrame, classes: DataFrame, dim: int, threshold: float, most: int = AUDIT_ROWS) -> dict[int, int]:
-    """Brute-force numbers of links of at most ``most`` classes, those with the smallest names."""
-    picked = classes.orderBy("id").limit(most).select("id", "v").collect()
-    ids = np.array([r.id for r in picked], np.int64)
-    x, ok = unit(np.array([r.v for r in picked], np.float64).reshape(-1), dim)
-    ids, x = ids[ok], x[ok]
+def _counted(classes: DataFrame, ids: np.ndarray, x: np.ndarray, dim: int, threshold: float) -> dict[int, int]:
+    sent = classes.sparkSession.sparkContext.broadcast((ids, x))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = sent.value
         total = np.zeros(len(ids), np.int64)
+        step = max(1, (2 << 20) // max(len(ids), 1))
         for batch in batches:
-            y, good = unit(_rows(batch, "v"), dim)
-            total += (x @ y[good].T >= threshold).sum(axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["id", "n"])
+            for k in range(0, batch.num_rows, step):
+                part = batch.slice(k, step)
+                y, good = unit(_rows(part, "v"), dim)
+                near = x @ y[good].T >= threshold
+                near &= ids[:, None] != part.column("id").to_numpy()[good]
+                total += near.sum(axis=1)
+        some = total > 0
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(total[some])], names=["id", "n"])
 
-    found = arrow(rows.select("v"), count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    return {r.id: r.n - 1 for r in found}
+    found = arrow(classes.select("id", "v"), count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    return {r.id: r.n for r in found}
 
 
 def near_duplicates(table: DataFrame, id: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, overlap: float = OVERLAP) -> DataFrame:
@@ -334,8 +367,9 @@ def near_duplicates(table: DataFrame, id: str = "vec_id", vector: str = "embeddi
     smallest id that links reach, kept says that it is the vector's own.  A null id counts as the smallest and
     stays null.  No rows give no rows.  Other columns are not read.
 
-    At most ``SAMPLE_ROWS`` vectors and ``MAX_CENTROIDS`` centroids are on the driver, and ``AUDIT_ROWS`` vectors
-    for the audit; centroids and these are sent to the tasks.
+    At most ``SAMPLE_ROWS`` vectors and ``MAX_CENTROIDS`` centroids are on the driver, and ``AUDIT_MOST`` vectors
+    for the audit; centroids and these are sent to the tasks.  Where no audited vector has a link, the recall is
+    unknown, and all rows of a shard are compared.
     """
     store = Stored(table.sparkSession, "embeddings")
     named = table.select(F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_FIRST)).alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
@@ -355,17 +389,19 @@ def near_duplicates(table: DataFrame, id: str = "vec_id", vector: str = "embeddi
     x, ok = unit(np.array([r.v for r in sample], np.float64).reshape(-1), dim)
     x = x[ok]
     centroids = fit_centroids(x, max(1, min(MAX_CENTROIDS, len(x) // 8, -(-n // SHARD_ROWS))))
-    exact = _audit(rows, classes, dim, cosine)
-    weight = {r.id: r.m for r in classes.where(F.col("id").isin(list(exact))).select("id", "m").collect()}
+    exact = _audit(classes, dim, cosine)
+    # Linked unit vectors are sqrt(2 - 2 * cosine) apart at most, and no cosine with a centroid differs by more.
+    enough, whole = 2 * float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-6, not exact
     while True:
-        links, edges = _linked(classes.select("id", "m", "v"), store, centroids, dim, cosine, overlap)
-        got = {r.id: r.n_links for r in links.where(F.col("id").isin(list(exact))).collect()}
-        recall = sum(min(got.get(k, 0) + weight[k] - 1, v) for k, v in exact.items()) / max(sum(exact.values()), 1)
-        if recall >= AUDIT_RECALL or not any(exact.values()) or overlap >= 2:
+        links, edges = _linked(classes.select("id", "m", "v"), store, centroids, dim, cosine, overlap, whole)
+        if not exact or whole and overlap >= enough:
+            break
+        got = {r.id: r.n_others for r in links.where(F.col("id").isin(list(exact))).collect()}
+        if np.mean([min(got.get(k, 0) / v, 1) for k, v in exact.items()]) >= AUDIT_RECALL:
             break
-        overlap *= 2
+        whole, overlap = True, max(overlap, min(max(2 * overlap, OVERLAP), enough))
     label = components(edges, store).select(F.col("node").alias("id"), "component")
-    named_classes = classes.select(*keys, "id", "rep", "m").join(label, "id", "left").join(links, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named_classes = classes.select(*keys, "id", "rep", "m").join(label, "id", "left").join(links.drop("n_others"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     named_classes = store.put(named_classes, "named")
     smallest = named_classes.groupBy("component").agg(F.min("rep").alias("low"))
     found = named_classes.join(smallest, "component").select(*keys, "low", (F.coalesce("n_links", F.lit(0)) + F.col("m") - 1).alias("n_links"))

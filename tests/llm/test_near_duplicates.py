@@ -189,3 +189,25 @@ def test_pairs_across_blocks(spark, monkeypatch):
     rows = [c + 0.03 * rng.normal(size=32) for c in rng.normal(size=(15, 32)) for _ in range(100)]
     rows += [c + 0.1 * rng.normal(size=32) for c in rng.normal(size=(200, 32)) for _ in range(2)]
     check_vectors(spark, [(k, v.tolist()) for k, v in enumerate(rows)])
+
+
+def test_audit_sees_past_exact_copies(spark, monkeypatch):
+    """Pairs that a small overlap parts, beside thousands of copies of one vector, which grouping finds."""
+    monkeypatch.setattr(embedding_dedup, "SHARD_ROWS", 10)
+    rng = np.random.default_rng(8)
+    rows = [(k, (c + 0.2 * rng.normal(size=32)).tolist()) for k, c in enumerate(np.repeat(rng.normal(size=(60, 32)), 2, axis=0))]
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((x @ x.T >= 0.95).sum(axis=1) - 1).tolist()
+    assert sum(want) > 40
+    copies = [(1000 + k, [1.0] * 32) for k in range(6000)]
+    df = spark.createDataFrame(rows + copies, "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df, overlap=0.01).collect()}
+    assert [got[k] for k in range(len(rows))] == want and got[1000] == 5999
+
+
+def test_audit_draws_until_it_finds_links(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 32))
+    classes = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(np.concatenate([x, x[2900:] + 0.01]))], "id bigint, v array<double>")
+    assert embedding_dedup._audit(classes, 32, 0.95) == {k: 1 for k in range(2900, 3100)}
