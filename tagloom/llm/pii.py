@@ -44,7 +44,6 @@ ROUNDS = 3
 MIN_SUPPORT = 3  # distinct seeds beside a pattern
 MIN_TRUST = 0.8  # of a pattern: share of its instances that are of the kind
 MIN_SCORE = 0.9  # of an instance: 1 less the product of its patterns' doubts
-MAX_PATTERNS = 2000  # the best of each kind are used, so that what is broadcast is bounded
 
 
 def _luhn(digits: Column) -> Column:
@@ -129,10 +128,8 @@ def discovered(seen: DataFrame, store: Stored, rounds: int = ROUNDS) -> DataFram
         unknown = graph if known is None else graph.join(known, "value", "left_anti")
         total = more.groupBy("side", "word").agg(F.count("*").alias("k")).join(unknown.groupBy("side", "word").agg(F.count("*").alias("u")), ["side", "word"], "left")
         trust = good.join(total, ["side", "word"]).withColumn("trust", F.col("n") / (F.col("k") + F.coalesce("u", F.lit(0))))
-        trust = trust.where((F.col("n") >= MIN_SUPPORT) & (F.col("trust") >= MIN_TRUST))
-        best = Window.partitionBy("kind").orderBy(F.desc(F.col("trust") * F.log2(F.col("n") + 1)), "side", "word")
-        trust = trust.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= MAX_PATTERNS).select("side", "word", "kind", "trust")
-        voted = unknown.join(F.broadcast(trust), ["side", "word"]).where(F.col("shape") == F.col("kind"))
+        trust = trust.where((F.col("n") >= MIN_SUPPORT) & (F.col("trust") >= MIN_TRUST)).select("side", "word", "kind", "trust")
+        voted = unknown.join(trust, ["side", "word"]).where(F.col("shape") == F.col("kind"))
         scored = voted.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(0.01)))))).alias("score"))
         fresh = scored.where(F.col("score") >= MIN_SCORE).select("value", "kind")
         after = store.put(fresh if known is None else known.unionByName(fresh), "known")

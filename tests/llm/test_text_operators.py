@@ -351,3 +351,11 @@ def test_context_finds_unseen_identifiers(spark):
         a, b = map(int, spans[0].split(":")[1:])
         assert out[100 + k].n_added == 1 and text[a:b] == f"user{k}(at)mail.example(dot)com" and out[100 + k].n_email == 0
     assert out[200].n_added == 0 and all(out[k].n_added == 0 for k in range(30))
+
+
+def test_all_trusted_contexts_count(spark):
+    """More trusted words than 2,000, of which those beside an unseen address score least."""
+    rows = [(k, f"w{chr(97 + k // 4 % 26)}{chr(97 + k // 104 % 26)}{chr(97 + k // 2704)}q user{k}@mail.example") for k in range(8400)]
+    rows += [(10_000 + k, f"zzzz last{k}@mail.example yyyy") for k in range(5)] + [(20_000, "zzzz k9(at)mail.example(dot)com yyyy")]
+    out = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert out[20_000].spans == "email:5:31" and sum(r.n_added for r in out.values()) == 1
