@@ -29,8 +29,9 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 DIGITS = r"[0-9]"
 
-#: Identifier-like tokens: those with a digit or an at sign.
-TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: What an identifier-like token has: a digit or an at sign, which may be spelt out.
+MARK = r"(?:[0-9@]|\(at\)|\[at\])"
+TOKEN = rf"(?<!\S)(?:[^\s0-9@(\[]++|(?!{MARK})[(\[])*+{MARK}\S*+"
 #: Shapes that an instance must have to be taken for a kind on the strength of its context.
 SHAPES = {
     "email": r"^[A-Za-z0-9._%+-]+(?:@|\(at\)|\[at\])[A-Za-z0-9.-]+(?:\.|\(dot\)|\[dot\])[A-Za-z]{2,}$",
@@ -67,7 +68,7 @@ def _valid(kind: str, value: Column) -> Column:
 def _found(text: Column, name: str, pattern: str, hint: str | None) -> Column:
     """The matches of a pattern with the length of the gap before each and the words beside it."""
     test = F.contains(text, F.lit(hint)) if hint else F.lit(True)
-    if name != "email":
+    if name not in ("email", "token"):
         test = test & text.rlike(DIGITS)
     parts, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     rows = F.transform(
@@ -89,7 +90,7 @@ def occurrences(keyed: DataFrame) -> DataFrame:
     """Distinct base matches and identifier-like tokens: id, sum, kind, start, end, value, left, right, valid."""
     text = F.col("text")
     found = [_found(text, k, PATTERNS[k], HINTS[k]) for k in KINDS]
-    found.append(F.when(text.rlike("[0-9@]"), _found(text, "token", TOKEN, None)))
+    found.append(F.when(text.rlike(MARK), _found(text, "token", TOKEN, None)))
     rows = keyed.select("id", "sum", F.inline(F.flatten(F.array_compact(F.array(*found))))).distinct()
     order = Window.partitionBy("id", "sum", "kind").orderBy("nth")
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(order))

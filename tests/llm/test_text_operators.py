@@ -359,3 +359,15 @@ def test_all_trusted_contexts_count(spark):
     rows += [(10_000 + k, f"zzzz last{k}@mail.example yyyy") for k in range(5)] + [(20_000, "zzzz k9(at)mail.example(dot)com yyyy")]
     out = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert out[20_000].spans == "email:5:31" and sum(r.n_added for r in out.values()) == 1
+
+
+def test_spelt_out_addresses_without_digits(spark):
+    names = ["jane", "john", "mary"]
+    rows = [(k, f"please reach me at user{k}@mail{k}.example.com whenever you like") for k in range(30)]
+    rows += [(100 + k, f"please reach me at {n}(at)mail.example(dot)com whenever you like") for k, n in enumerate(names)]
+    rows += [(200 + k, f"please reach me at ({n}[at]mail.example[dot]com) whenever you like") for k, n in enumerate(names)]
+    rows += [(300, "it is sold by jim(at)shop.example(dot)com only in this odd sentence"), (301, "( [ (a [at (at [at )")]
+    out = {r.doc_id: (r.n_added, r.spans) for r in pii.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for k in range(3):
+        assert out[100 + k] == (1, "email:19:47") and out[200 + k] == (1, "email:20:48")
+    assert out[300] == out[301] == (0, "")
