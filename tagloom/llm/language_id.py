@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Stored, as_text, arrow, packed, raw, slices
@@ -74,11 +74,18 @@ class Model:
 
 
 def fit(rows: DataFrame, label: str, text: str = "text", id: str = "doc_id", most: int = SAMPLE_ROWS) -> Model:
-    """A model from at most ``most`` labelled rows, those whose ids have the smallest hashes."""
-    hashed = F.xxhash64(F.col(f"`{id}`").cast("string"))
-    last = rows.select(hashed.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    sample = rows.where(hashed <= F.lit(last)).select(F.lower(F.substring(F.trim(F.col(f"`{label}`").cast("string")), 1, 2)).alias("label"), F.col(f"`{text}`").cast("string").alias("text"), hashed.alias("h"))
-    sample = sample.where(f"label rlike '^[a-z]{{2}}$' and octet_length(text) between 1 and {SAMPLE_BYTES}").orderBy("h", "text").limit(most).select("text", "label").collect()
+    """A model from at most ``most`` labelled rows of usable length, as evenly many of each label as there are.
+
+    Of each label those come first whose ids have the smallest hashes, then by a hash of the text; equal rows count once."""
+    lang, words = F.lower(F.substring(F.trim(F.col(f"`{label}`").cast("string")), 1, 2)), F.col(f"`{text}`").cast("string")
+    usable = rows.select(lang.alias("label"), F.struct(F.xxhash64(F.col(f"`{id}`").cast("string")).alias("h"), F.xxhash64(words).alias("t")).alias("at"), words.alias("text"))
+    usable = usable.where(f"label rlike '^[a-z]{{2}}$' and octet_length(text) between 1 and {SAMPLE_BYTES}")
+    # The rank is cut within each task before the shuffle, and texts are read for the chosen rows only.
+    ranked = usable.select("label", "at").withColumn("rank", F.dense_rank().over(Window.partitionBy("label").orderBy("at")))
+    chosen = ranked.where(F.col("rank") <= most).distinct().orderBy("rank", "at", "label").limit(most)
+    last = chosen.groupBy("label").agg(F.max("at").alias("last"))  # 676 labels at most
+    sample = usable.join(F.broadcast(last), "label").where(F.col("at") <= F.col("last")).groupBy("label", "at").agg(F.any_value("text").alias("text"))
+    sample = sample.orderBy("at", "label").limit(most).collect()
     return Model.fit([r.text for r in sample], [r.label for r in sample])
 
 

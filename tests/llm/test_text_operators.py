@@ -371,3 +371,17 @@ def test_spelt_out_addresses_without_digits(spark):
     for k in range(3):
         assert out[100 + k] == (1, "email:19:47") and out[200 + k] == (1, "email:20:48")
     assert out[300] == out[301] == (0, "")
+
+
+def test_sample_of_sparse_labels(spark, monkeypatch):
+    """Few labels among many rows, one language rare: all that is usable is fitted, as evenly as it can be."""
+    seen = []
+    monkeypatch.setattr(language_id.Model, "fit", classmethod(lambda cls, texts, labels: seen.append(Counter(labels))))
+    rows = [(k, {0: "en", 1: "en-GB", 2: "fr"}.get(k % 100), f"text {k}") for k in range(3000)] + [(5000, "de", "ein"), (5001, "de", ""), (5002, "de", None)]
+    df = spark.createDataFrame(rows + [(None, "en", "same")] * 50, "doc_id bigint, lang string, text string")
+    language_id.fit(df, "lang", most=60)
+    language_id.fit(df, "lang", most=20)
+    language_id.fit(df.limit(0), "lang")
+    assert seen[0] == {"en": 29, "fr": 30, "de": 1} or seen[0] == {"en": 30, "fr": 29, "de": 1}
+    assert sum(seen[1].values()) == 20 and seen[1]["de"] == 1 and abs(seen[1]["en"] - seen[1]["fr"]) <= 1
+    assert not seen[2]
