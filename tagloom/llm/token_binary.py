@@ -114,7 +114,7 @@ def unpack(body: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 _SPLIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_ODD = re.compile(r"[^\S \n]")
+_ODD = r"[^\S \n]"
 _EDGE = {" ", "\n"}
 
 
@@ -138,7 +138,8 @@ class Encoder:
     The tokenizer's pattern always starts a new piece at a space or line feed that follows a visible character,
     so text cut there has the same ids piece by piece.  Ids of pieces seen before are kept, up to
     ``CACHE_WORDS`` pieces; new ones are encoded many at a time, end to end, and told apart by their bytes, as a
-    byte-level token spells as many bytes as its name has characters.  Texts with other white space go whole.
+    byte-level token spells as many bytes as its name has characters.  Texts with other white space, or with the
+    string of a token that was added to the vocabulary, such as a special one, go whole.
 
     A piece's key is the word after a single space, or a line feed and a word; any other piece stands behind a space.
     """
@@ -147,7 +148,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.odd = re.compile("|".join([_ODD, *map(re.escape, added)]))
+        self.spaced = any(" " in t or "\n" in t for t in added)  # such a string may lie across pieces
         names = self.tokenizer.get_vocab()
         self.spelt = np.zeros(max(names.values()) + 1, np.int64)
         for name, k in names.items():
@@ -192,7 +195,7 @@ class Encoder:
         keys: list[str] = []
         count: list[int] = []
         for text in texts:
-            if odd and _ODD.search(text):
+            if odd and self.odd.search(text):
                 keys.append(" " + text)
             elif text[:1] in _EDGE or text[-1:] in _EDGE or "  " in text or "\n\n" in text or "\n " in text or " \n" in text:
                 keys += [" " + piece for piece in _SPLIT.findall(text)]
@@ -210,8 +213,8 @@ class Encoder:
             self.clear()
         keys, count = self._cut(texts, False)
         found = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
-        odd = _ODD.search("".join(self.index.fresh)) is not None
-        if odd:  # other white space, which is only ever in new pieces: none of those may stay
+        odd = self.spaced or self.odd.search("".join(self.index.fresh)) is not None
+        if odd:  # what sends a text whole is only ever in new pieces: none of those may stay
             for key in self.index.fresh:
                 del self.index[key]
             self.index.following -= len(self.index.fresh)
@@ -226,7 +229,7 @@ class Encoder:
         ids = self.flat[np.arange(ends[-1]) + np.repeat(self.start[found] - ends + size, size)].astype(np.uint32)
         if odd:  # whole texts aren't kept
             for text in texts:
-                if _ODD.search(text):
+                if self.odd.search(text):
                     self.index.pop(" " + text, None)
         return ids, ends[np.array(count) - 1]
 

@@ -41,16 +41,29 @@ def brute_ids(texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(BPE)
-    tokenizer.encode_special_tokens = True
     return [e.ids + [0] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_encoder_equals_library():
-    odd = ["", " ", "\n", "a  b", " a\n\nb ", "a\tb c", "x y z", "<|endoftext|> a", "a \n b", "it's we'll  'd", "\x1c a", "é ü 😀", "a b c", "end "]
+    odd = ["a <|endoftext|> b", "a<|endoftext|>b<|endoftext|>", "<|endof text|>", "", " ", "\n", "a  b", " a\n\nb ", "a\tb c", "x y z", "<|endoftext|> a", "a \n b", "it's we'll  'd", "\x1c a", "é ü 😀", "a b c", "end "]
     own = token_binary.Encoder(BPE, 0)
     for _ in range(2):
         ids, ends = own.encode(odd)
         assert [x.tolist() for x in np.split(ids, ends[:-1])] == brute_ids(odd)
+    assert 50256 in brute_ids(["a <|endoftext|> b"])[0]
+
+
+def test_added_tokens_with_spaces(tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    tokenizer = Tokenizer.from_file(BPE)
+    tokenizer.add_special_tokens([AddedToken("<end of turn>"), AddedToken("<x>", lstrip=True)])
+    tokenizer.save(str(tmp_path / "t.json"))
+    own, texts = token_binary.Encoder(str(tmp_path / "t.json"), 0), ["a <end of turn> b", "<end of", "b  <x> c", "of turn>", "plain <end of turn>"]
+    for _ in range(2):
+        ids, ends = own.encode(texts)
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [e.ids + [0] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
 
 
 def test_tokens_match_brute_force(spark, docs, texts):
