@@ -26,7 +26,7 @@ select conv_id, piece, n_turns, length(s)::bigint n_chars, sha256(s) rendered_sh
 
 DECONTAMINATE = r"""
 with b as (select distinct item_id::varchar item, list_filter(regexp_split_to_array(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '') w from benchmark where item_id is not null and text is not null),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '') w from benchmark where text is not null),
 v as (select distinct item, len(w[i + 1:i + 10]) n, array_to_string(w[i + 1:i + 10], ' ') k from (select *, unnest(range(greatest(len(w) - 9, 1))) i from b where len(w) > 0)),
 d as (select doc_id, list_filter(regexp_split_to_array(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '') w, row_number() over () r from documents),

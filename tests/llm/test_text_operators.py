@@ -154,26 +154,47 @@ def brute_contamination(text, items, window=10):
                 if words[j : j + n] == own[k : k + n]:
                     hit |= set(range(j, j + n))
                     found.add(item)
-    return len(words), len(hit), sorted(found)
+    return len(words), len(hit), sorted(x for x in found if x is not None), len(found)
 
 
 @pytest.mark.parametrize("shard", [decontaminate.SHARD_BYTES, 40])
 def test_contamination(spark, odd, shard):
-    items = [(1, "A b, C d"), (2, "one two three four five six seven eight nine ten eleven"), (10, "A b, C d"), (3, None), (4, "!!"), (None, "a"), (1, "A b, C d"), (5, "ünï")]
-    more = [(20, "zero One two-three four five six seven eight nine TEN and two three four five six seven eight nine ten eleven", "x"), (21, "xa b c d", "x"), (22, "one two three four five six seven eight nine", "x")]
+    items = [(None, "Nobody named This, item of more than ten words at all in it"), (None, "eight nine TEN"), (6, "of more than ten words at all in it and some more words"), (1, "A b, C d"), (2, "one two three four five six seven eight nine ten eleven"), (10, "A b, C d"), (3, None), (4, "!!"), (None, "a"), (1, "A b, C d"), (5, "ünï")]
+    more = [(20, "zero One two-three four five six seven eight nine TEN and two three four five six seven eight nine ten eleven", "x"), (21, "xa b c d", "x"), (22, "one two three four five six seven eight nine", "x"), (23, "so nobody named this item of more than ten words at all in it and", "x")]
     df = odd.select("doc_id", "text", "lang", "row", "n_words").unionByName(spark.createDataFrame(more, "doc_id bigint, text string, lang string").withColumn("row", F.lit(1)).withColumn("n_words", F.lit(0.5)))
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     rows = decontaminate.contamination(df, bench, shard_bytes=shard).collect()
     assert len(rows) == df.count()
     for r in rows:
-        n, hit, found = brute_contamination(r.row.text, [(str(i), t) for i, t in items if i is not None])
-        assert (r.n_words, r.n_hit, r["items"], r.contaminated) == (n, hit, found, hit > 0)
+        n, hit, found, n_items = brute_contamination(r.row.text, [(None if i is None else str(i), t) for i, t in items])
+        assert (r.n_words, r.n_hit, r["items"], r.n_items, r.contaminated) == (n, hit, found, n_items, hit > 0)
         assert r.items_sha256 == hashlib.sha256(",".join(found).encode()).hexdigest()
         assert sum(len(decontaminate.normal_words(r.row.text[s.start : s.end].encode())) for s in r.spans) == hit
     assert decontaminate.decontaminated(df, bench.limit(0)).count() == df.count()
     assert decontaminate.contamination(df.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("window", [1, 2, 3, 10])
+def test_contamination_of_random_words(spark, monkeypatch, window):
+    """Few words, so that windows overlap, repeat and share blocks; long items come in pieces."""
+    rng = np.random.default_rng(window)
+    words = lambda n, k: " ".join(rng.choice(list("abcde"[:k]), n))
+    items = [(k, words(int(rng.integers(1, 40)), 2 + k % 3)) for k in range(12)] + [(None, words(30, 4))]
+    rows = [(k, words(int(rng.integers(1, 200)), 5)) for k in range(40)] * 2
+    df, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = {k: brute_contamination(t, [(None if i is None else str(i), x) for i, x in items], window) for k, t in rows}
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(decontaminate)
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 5)
+    try:
+        for shard in (decontaminate.SHARD_BYTES, 100):
+            got = decontaminate.contamination(df, bench, window=window, shard_bytes=shard).collect()
+            assert len(got) == len(rows) and all((r.n_words, r.n_hit, r["items"], r.n_items) == want[r.row.doc_id] for r in got)
+    finally:
+        cloudpickle.unregister_pickle_by_value(decontaminate)
+
+
 # 7: sampled pieces
 
 
