@@ -1,8 +1,8 @@
 """Near-duplicate embeddings by search in robust-pruned graphs over overlapping cluster shards.
 
 0. Equal vectors make a class, which is one vector with a weight from here on, so exact copies cost nothing.
-1. Centroids are fitted on a bounded sample; every vector goes to its nearest one and to all whose cosine is
-   within ``overlap`` of that, so close vectors share a shard.
+1. Centroids are fitted on a bounded sample; every vector goes to its nearest one and to the next few whose
+   cosine is within ``overlap`` of that, so close vectors share a shard.  Large tables are divided so twice.
 2. Each shard builds a graph: a vector's nearest candidates, pruned so that a kept neighbour hides those much
    closer to it than to the vector, and the reverse edges.  A vector's lists from all its shards are united.
 3. In each shard every vector searches the graph greedily from the medoid, then expands from what it found and
@@ -11,18 +11,19 @@
 4. A pair counts in its smallest common shard only, so no pairs leave a task: it reports numbers of links and,
    for the components, each vector's root in the shard.
 5. The links between different vectors are counted by brute force over all classes for a sample that is drawn
-   until enough of it has some; if the recall is too low, the search is repeated with a larger overlap and all
-   cosines of a shard, at last with the overlap at which two linked vectors always share a shard.  That misses
-   nothing and needs no audit.
+   until enough of it has some; if the recall is too low, the search is repeated with a larger overlap, any
+   number of shards a vector and all cosines of a shard, at last with the overlap at which two linked vectors always share a shard.  That misses
+   nothing; if the audit still finds less, an error is raised.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.operators.graph import components
@@ -36,7 +37,8 @@ SHARD_ROWS = 2000  # of the rows that are nearest to a centroid, on average
 BLOCK_ROWS = 8192  # shards of more rows are dealt in blocks, every two of which meet
 OVERLAP = 0.1
 DEGREE = 16
-UNITED = 32  # neighbours in a shard, at most, after lists are united
+NEAREST = 3  # centroids that a vector goes to, at most, as long as the audit finds that enough
+SALTS = 16  # parts that rows of a shard are dealt in while it is divided
 CANDIDATES = 32
 BEAM = 24
 ALPHA = 1.2
@@ -192,8 +194,35 @@ def merged(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
-def _rows(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return batch.column(name).flatten().to_numpy(zero_copy_only=False)
+def _by_length(batch: pa.RecordBatch, name: str = "v") -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length of the vectors in ``name``: the rows that have a direction, and them scaled to length 1."""
+    column = batch.column(name)
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    for dim in np.unique(sizes):
+        rows = np.flatnonzero(sizes == dim)
+        same = column if len(rows) == len(sizes) else column.take(pa.array(rows))
+        x, ok = unit(same.flatten().to_numpy(zero_copy_only=False), int(dim))
+        yield rows[ok], x[ok]
+
+
+def chosen(x: np.ndarray, centroids: np.ndarray, overlap: float, most: int | None) -> np.ndarray:
+    """Which centroids each row goes to: its ``most`` nearest (None: all) of those within ``overlap`` of the nearest."""
+    sim = x @ centroids.T
+    near = sim >= sim.max(axis=1, initial=-2)[:, None] - overlap
+    if most is not None and most < sim.shape[1]:
+        nearest = np.zeros(sim.shape, bool)
+        np.put_along_axis(nearest, np.argpartition(-sim, most - 1, axis=1)[:, :most], True, axis=1)
+        near &= nearest
+    return near
+
+
+def _lists(flat: np.ndarray, size: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat))
+
+
+def _matrix(rows: pa.Table, name: str = "x") -> np.ndarray:
+    flat = rows.column(name).combine_chunks().flatten().to_numpy()
+    return flat.reshape(rows.num_rows, -1)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
@@ -216,41 +245,89 @@ def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple
         yield now, pa.Table.from_batches(held)
 
 
-def _linked(vectors: DataFrame, store: Stored, centroids: np.ndarray, dim: int, threshold: float, overlap: float, whole: bool) -> tuple[DataFrame, DataFrame]:
-    """(id, links, others) of classes (id, m, v), and the edges (a, b) of each shard's components.
+PLACED = "id bigint, m bigint, shards array<bigint>, x array<double>"
+
 
-    Links count rows and others classes.  ``whole`` compares all rows of a shard and not those a search connects."""
-    spark = vectors.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    sent = spark.sparkContext.broadcast(centroids)
+def _placed(vectors: DataFrame, store: Stored, centroids: np.ndarray | None, overlap: float, most: int | None) -> DataFrame:
+    """Classes (id, m, v) with the shards they go to; without centroids, one for each length of vector."""
+    sent = vectors.sparkSession.sparkContext.broadcast(centroids)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 2048):
                 part = batch.slice(k, 2048)
-                x, ok = unit(_rows(part, "v"), dim)
-                ids, x, m = part.column("id").to_numpy()[ok], x[ok], part.column("m").to_numpy()[ok]
-                sim = x @ sent.value.T
-                near = sim >= sim.max(axis=1, initial=-2)[:, None] - overlap
-                size = near.sum(axis=1)
-                row, shard = np.nonzero(near)
-                shards = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(shard, pa.int32()))
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * dim, pa.int32()), pa.array(x.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(m), shards, flat], names=["id", "m", "shards", "x"])
-
-    placed = store.put(arrow(vectors, assign, "id bigint, m bigint, shards array<int>, x array<double>"), "placed")
+                ids, m = part.column("id").to_numpy(), part.column("m").to_numpy()
+                for rows, x in _by_length(part):
+                    near = np.ones((len(x), 1), bool) if sent.value is None else chosen(x, sent.value, overlap, most)
+                    shard = np.nonzero(near)[1].astype(np.int64)
+                    if sent.value is None:
+                        shard += x.shape[1]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(m[rows]), _lists(shard, near.sum(axis=1)), _lists(x.reshape(-1), np.full(len(x), x.shape[1]))], names=["id", "m", "shards", "x"])
+
+    return store.put(arrow(vectors.select("id", "m", "v"), assign, PLACED), "placed")
+
+
+def _refined(placed: DataFrame, store: Stored, overlap: float, most: int | None) -> DataFrame:
+    """The same with each shard dealt to centroids of its own, fitted on a bounded sample of it in one task.
+
+    A shard's centroids travel to its rows ahead of them, once for each of ``SALTS`` parts of the shard."""
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    cells = placed.select("id", "m", "x", F.explode("shards").alias("cell"))
+    sizes = cells.groupBy("cell").agg(F.least(F.ceil(F.count("*") / SHARD_ROWS), F.lit(MAX_CENTROIDS)).cast("int").alias("k"))
+    sample = cells.select("cell", "x", F.row_number().over(Window.partitionBy("cell").orderBy("id")).alias("nth")).where(F.col("nth") <= SAMPLE_ROWS).join(sizes, "cell")
+    sample = sample.where(F.col("nth") <= F.greatest(F.lit(64), 64 * F.col("k"))).select("cell", "k", "x").repartition(parts, "cell").sortWithinPartitions("cell")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (cell, k), rows in _groups(batches, ["cell", "k"]):
+            x = _matrix(rows)
+            own = fit_centroids(x, min(k, -(-len(x) // 8)))
+            yield pa.RecordBatch.from_arrays([pa.array([cell]), _lists(own.reshape(-1), np.array([own.size]))], names=["cell", "x"])
+
+    fitted = store.put(arrow(sample, fit, "cell bigint, x array<double>"), "centroids")
+    heads = fitted.select("cell", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(None).cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("m"), "x")
+    rows = cells.select("cell", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"), "id", "m", "x")
+    dealt = heads.unionByName(rows).repartition(parts, "cell", "salt").sortWithinPartitions("cell", "salt", F.col("id").asc_nulls_first())
+    wide = MAX_CENTROIDS
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, own = None, None
+        for batch in batches:
+            begin, cell, salt, heads = 0, batch.column("cell").to_numpy(), batch.column("salt").to_numpy(), batch.column("id").is_null().to_numpy(zero_copy_only=False)
+            while begin < batch.num_rows:
+                if heads[begin]:
+                    name, own, begin = (cell[begin], salt[begin]), batch.column("x")[begin].values.to_numpy(), begin + 1
+                    continue
+                after = np.flatnonzero(heads[begin:])
+                end = min(begin + 2048, batch.num_rows, begin + int(after[0]) if len(after) else batch.num_rows)
+                part = batch.slice(begin, end - begin)
+                if not ((cell[begin:end] == name[0]) & (salt[begin:end] == name[1])).all():
+                    raise ValueError("vectors came without the centroids of their shard")
+                x = part.column("x").flatten().to_numpy().reshape(part.num_rows, -1)
+                near = chosen(x, own.reshape(-1, x.shape[1]), overlap, most)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("m"), _lists(np.nonzero(near)[1].astype(np.int64) + int(name[0]) * wide, near.sum(axis=1)), part.column("x")], names=["id", "m", "shards", "x"])
+                begin = end
+
+    out = arrow(dealt, assign, PLACED).groupBy("id").agg(F.any_value("m").alias("m"), F.flatten(F.collect_list("shards")).alias("shards"), F.any_value("x").alias("x"))
+    return store.put(out, "placed")
+
+
+def _linked(placed: DataFrame, store: Stored, threshold: float, whole: bool, few: bool) -> tuple[DataFrame, DataFrame]:
+    """(id, n_links, n_others) of placed classes, and the edges (a, b) of each shard's components.
+
+    Links count rows and others classes.  ``whole`` compares all rows of a shard and not those a search connects;
+    ``few`` says that there are at most ``MAX_CENTROIDS`` shards."""
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     spread = placed.select("id", "m", "shards", "x", F.explode("shards").alias("shard"))
     blocks = spread.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    # One row a centroid, MAX_CENTROIDS at most.
-    spread = spread.join(F.broadcast(blocks), "shard").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    spread = spread.join(F.broadcast(blocks) if few else blocks, "shard").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
 
     def graph(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches, ["shard", "own"]):
-            x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+            x = _matrix(rows)
             ids = rows.column("id").to_numpy()
             lists = reverse(build(x), DEGREE // 2)
             size = (lists >= 0).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(ids[lists[lists >= 0]]))], names=["id", "near"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), _lists(ids[lists[lists >= 0]], size)], names=["id", "near"])
 
     built = arrow(spread.select("shard", "own", "id", "x").repartition(parts, "shard", "own").sortWithinPartitions("shard", "own", "id"), graph, "id bigint, near array<bigint>")
     united = built.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
@@ -260,7 +337,7 @@ def _linked(vectors: DataFrame, store: Stored, centroids: np.ndarray, dim: int,
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (shard, i, j), rows in _groups(batches, ["shard", "i", "j"]):
-            x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+            x = _matrix(rows)
             ids, own, weight = rows.column("id").to_numpy(), rows.column("own").to_numpy(), rows.column("m").to_numpy()
             lists = rows.column("near").combine_chunks()
             flat, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
@@ -268,13 +345,13 @@ def _linked(vectors: DataFrame, store: Stored, centroids: np.ndarray, dim: int,
             here = ids[spot] == flat
             row, spot = np.repeat(np.arange(len(ids)), np.diff(at))[here], spot[here]
             nth = np.arange(len(row)) - np.searchsorted(row, row)
-            near = np.full((len(ids), min(int(nth.max(initial=0)) + 1, UNITED)), -1, np.int64)
-            near[row[nth < UNITED], nth[nth < UNITED]] = spot[nth < UNITED]
+            near = np.full((len(ids), int(nth.max(initial=0)) + 1), -1, np.int64)
+            near[row, nth] = spot
             sets = rows.column("shards").combine_chunks()
-            has = np.zeros((len(ids), len(sent.value)), np.float32)
-            has[np.repeat(np.arange(len(ids)), sets.value_lengths().to_numpy()), sets.flatten().to_numpy()] = 1
-            lower = has[:, :shard]
-            lower = lower[:, lower.any(axis=0)]
+            held, of = sets.flatten().to_numpy(), np.repeat(np.arange(len(ids)), sets.value_lengths().to_numpy())
+            earlier = np.unique(held[held < shard])
+            lower = np.zeros((len(ids), len(earlier)), np.float32)
+            lower[of[held < shard], np.searchsorted(earlier, held[held < shard])] = 1
             links = np.zeros(len(ids), np.int64)
             root = np.arange(len(ids))
             others = np.zeros(len(ids), np.int64)
@@ -331,13 +408,13 @@ def _audit(classes: DataFrame, dim: int, threshold: float) -> dict[int, int]:
             return out
         ids = np.array([r.id for r in picked], np.int64)
         x, ok = unit(np.array([r.v for r in picked], np.float64).reshape(-1), dim)
-        out.update(_counted(classes, ids[ok], x[ok], dim, threshold))
+        out.update(_counted(classes, ids[ok], x[ok], threshold))
         if len(out) >= AUDIT_LINKED or len(picked) < most or most >= AUDIT_MOST:
             return out
         most, last = min(8 * most, AUDIT_MOST), int(ids[-1])
 
 
-def _counted(classes: DataFrame, ids: np.ndarray, x: np.ndarray, dim: int, threshold: float) -> dict[int, int]:
+def _counted(classes: DataFrame, ids: np.ndarray, x: np.ndarray, threshold: float) -> dict[int, int]:
     sent = classes.sparkSession.sparkContext.broadcast((ids, x))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,10 +424,10 @@ def _counted(classes: DataFrame, ids: np.ndarray, x: np.ndarray, dim: int, thres
         for batch in batches:
             for k in range(0, batch.num_rows, step):
                 part = batch.slice(k, step)
-                y, good = unit(_rows(part, "v"), dim)
-                near = x @ y[good].T >= threshold
-                near &= ids[:, None] != part.column("id").to_numpy()[good]
-                total += near.sum(axis=1)
+                for rows, y in _by_length(part):
+                    near = x @ y.T >= threshold
+                    near &= ids[:, None] != part.column("id").to_numpy()[rows]
+                    total += near.sum(axis=1)
         some = total > 0
         yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(total[some])], names=["id", "n"])
 
@@ -358,32 +435,18 @@ def _counted(classes: DataFrame, ids: np.ndarray, x: np.ndarray, dim: int, thres
     return {r.id: r.n for r in found}
 
 
-def near_duplicates(table: DataFrame, id: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, overlap: float = OVERLAP) -> DataFrame:
-    """One row for each of ``table``: its id, n_links, component_id and kept.
+def _probed(x: np.ndarray, centroids: np.ndarray, overlap: float, most: int | None, cosine: float) -> float:
+    """The share of made-up pairs, each a sampled vector and one at just ``cosine`` from it, that go to a common shard."""
+    away = np.random.default_rng(len(x)).normal(size=x.shape)
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
+    other = cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * away
+    shared = [(chosen(x[k : k + 2048], centroids, overlap, most) & chosen(other[k : k + 2048], centroids, overlap, most)).any(axis=1) for k in range(0, len(x), 2048)]
+    return float(np.concatenate(shared).mean())
 
-    Every row is a vector, and vectors link with a cosine of at least ``cosine``; rows that share an id or a
-    vector link like any others.  A vector that is null, empty, zero, or holds a null or a non-finite number, or
-    whose length isn't the most common one (the smallest of those), links with nothing.  component_id is the
-    smallest id that links reach, kept says that it is the vector's own.  A null id counts as the smallest and
-    stays null.  No rows give no rows.  Other columns are not read.
 
-    At most ``SAMPLE_ROWS`` vectors and ``MAX_CENTROIDS`` centroids are on the driver, and ``AUDIT_MOST`` vectors
-    for the audit; centroids and these are sent to the tasks.  Where no audited vector has a link, the recall is
-    unknown, and all rows of a shard are compared.
-    """
-    store = Stored(table.sparkSession, "embeddings")
-    named = table.select(F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_FIRST)).alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
-    keys = ["k1", "k2"]
-    named = named.withColumn("k1", F.xxhash64("v")).withColumn("k2", F.xxhash64(F.lit(1), "v"))
-    usable = named.where(F.size("v") > 0).where(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0))
-    common = usable.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    shown = lambda c: F.when(F.col(c) != _FIRST, F.col(c))
-    if common is None:
-        return named.select(shown("id").alias(id), F.lit(0).cast("long").alias("n_links"), shown("id").alias("component_id"), F.lit(True).alias("kept"))
-    dim, n = common
-    rows = usable.where(F.size("v") == dim)
-    classes = rows.groupBy(*keys).agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.any_value("v").alias("v"))
-    classes = store.put(classes.withColumn("id", F.xxhash64(*keys, "rep")), "classes")
+def _searched(classes: DataFrame, store: Stored, dim: int, n: int, cosine: float, overlap: float) -> tuple[DataFrame, DataFrame]:
+    """``_linked`` of ``n`` classes of vectors of length ``dim``, with an audited recall."""
     last = classes.select("id").orderBy("id").limit(SAMPLE_ROWS).agg(F.max("id")).first()[0]
     sample = classes.where(F.col("id") <= F.lit(last)).orderBy("id").limit(SAMPLE_ROWS).select("v").collect()
     x, ok = unit(np.array([r.v for r in sample], np.float64).reshape(-1), dim)
@@ -391,22 +454,60 @@ def near_duplicates(table: DataFrame, id: str = "vec_id", vector: str = "embeddi
     centroids = fit_centroids(x, max(1, min(MAX_CENTROIDS, len(x) // 8, -(-n // SHARD_ROWS))))
     exact = _audit(classes, dim, cosine)
     # Linked unit vectors are sqrt(2 - 2 * cosine) apart at most, and no cosine with a centroid differs by more.
-    enough, whole = 2 * float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-6, not exact
+    enough, whole, most = 2 * float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-6, not exact, NEAREST
+    while not exact and overlap < enough and _probed(x, centroids, overlap, most, cosine) < AUDIT_RECALL:
+        overlap, most = (overlap, None) if most is not None else (min(max(2 * overlap, OVERLAP), enough), None)
+    two = n > MAX_CENTROIDS * SHARD_ROWS
     while True:
-        links, edges = _linked(classes.select("id", "m", "v"), store, centroids, dim, cosine, overlap, whole)
-        if not exact or whole and overlap >= enough:
-            break
+        placed = _placed(classes, store, centroids, overlap, most)
+        if two:
+            placed = _refined(placed, store, overlap, most)
+        links, edges = _linked(placed, store, cosine, whole, not two)
+        if not exact:
+            return links, edges
         got = {r.id: r.n_others for r in links.where(F.col("id").isin(list(exact))).collect()}
-        if np.mean([min(got.get(k, 0) / v, 1) for k, v in exact.items()]) >= AUDIT_RECALL:
-            break
-        whole, overlap = True, max(overlap, min(max(2 * overlap, OVERLAP), enough))
+        recall = np.mean([min(got.get(k, 0) / v, 1) for k, v in exact.items()])
+        if recall >= AUDIT_RECALL:
+            return links, edges
+        if whole and most is None and overlap >= enough:
+            raise RuntimeError(f"recall of {recall:.3f} where every linked pair shares a shard")
+        whole, most, overlap = True, None, max(overlap, min(max(2 * overlap, OVERLAP), enough))
+
+
+def near_duplicates(table: DataFrame, id: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, overlap: float = OVERLAP) -> DataFrame:
+    """One row for each of ``table``: its id, n_links, component_id and kept.
+
+    Every row is a vector, and vectors of one length link with a cosine of at least ``cosine``; those of two
+    lengths have none.  Rows that share an id or a vector link like any others, ties included.  A vector that is
+    null, empty, zero, or holds a null or a non-finite number links with nothing.  component_id is the smallest
+    id that links reach, kept says that it is the vector's own.  A null id counts as the smallest and stays null.
+    No rows give no rows.  Other columns are not read.
+
+    Lengths that at most ``SHARD_ROWS`` different vectors have are compared whole, all of them in one pass; the
+    others are searched one after another.  For each, at most ``SAMPLE_ROWS`` vectors, ``MAX_CENTROIDS``
+    centroids and ``AUDIT_MOST`` vectors for the audit are on the driver; centroids and these are sent to the
+    tasks.  Beyond ``MAX_CENTROIDS * SHARD_ROWS`` vectors a second level of centroids keeps the shards' size.
+    Where no audited vector has a link, all rows of a shard are compared, and the shards overlap so far that
+    made-up pairs at the threshold share one.
+    """
+    store = Stored(table.sparkSession, "embeddings")
+    named = table.select(F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_FIRST)).alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
+    keys = ["k1", "k2"]
+    named = named.withColumn("k1", F.xxhash64("v")).withColumn("k2", F.xxhash64(F.lit(1), "v"))
+    usable = named.where(F.size("v") > 0).where(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0))
+    classes = usable.groupBy(*keys).agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.any_value("v").alias("v"))
+    classes = store.put(classes.withColumn("id", F.xxhash64(*keys, "rep")), "classes")
+    large = classes.groupBy(F.size("v").alias("d")).count().where(F.col("count") > SHARD_ROWS).orderBy("d").collect()
+    rest = classes.where(~F.size("v").isin([r.d for r in large])) if large else classes
+    found = [_linked(_placed(rest, store, None, 0, None), store, cosine, True, False)]
+    found += [_searched(classes.where(F.size("v") == r.d), store, r.d, r["count"], cosine, overlap) for r in large]
+    links, edges = (reduce(DataFrame.unionByName, side) for side in zip(*found, strict=True))
     label = components(edges, store).select(F.col("node").alias("id"), "component")
     named_classes = classes.select(*keys, "id", "rep", "m").join(label, "id", "left").join(links.drop("n_others"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     named_classes = store.put(named_classes, "named")
     smallest = named_classes.groupBy("component").agg(F.min("rep").alias("low"))
-    found = named_classes.join(smallest, "component").select(*keys, "low", (F.coalesce("n_links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
-    valid = F.size("v") == dim
-    out = named.select("id", *keys, valid.alias("valid")).join(found, keys, "left")
-    own = F.col("valid") & F.col("low").isNotNull()
-    out = out.select("id", F.when(own, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"), F.when(own, F.col("low")).otherwise(F.col("id")).alias("component"))
+    joined = named_classes.join(smallest, "component").select(*keys, "low", (F.coalesce("n_links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
+    out = named.select("id", *keys).join(joined, keys, "left")
+    out = out.select("id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("low", "id").alias("component"))
+    shown = lambda c: F.when(F.col(c) != _FIRST, F.col(c))
     return out.select(shown("id").alias(id), "n_links", shown("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))

@@ -41,9 +41,8 @@ from d left join s using (r) left join q using (r)
 
 EMBEDDING_DEDUP = """
 with recursive f as (select vec_id, embedding::double[] e from embeddings where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
-g as (select * from f where len(e) = (select len(e) from f group by len(e) order by count(*) desc, len(e) limit 1)),
-u as (select vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) e from g),
-l as (select a.vec_id a, b.vec_id b from u a join u b on a.vec_id <> b.vec_id and list_dot_product(a.e, b.e) >= 0.95),
+u as (select vec_id, len(e) n, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) e from f),
+l as (select a.vec_id a, b.vec_id b from u a join u b on a.vec_id <> b.vec_id and case when a.n = b.n then list_dot_product(a.e, b.e) >= 0.95 else false end),
 r as (select a, b from l union select r.a, l.b from r join l on l.a = r.b),
 c as (select a, min(b) m from r group by a), n as (select a, count(*) n from l group by a)
 select vec_id, coalesce(n, 0)::bigint n_links, coalesce(least(m, vec_id), vec_id) component_id, vec_id = component_id kept

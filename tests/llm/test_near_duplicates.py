@@ -115,18 +115,13 @@ def test_overlap_bound():
 
 def brute_vectors(rows, cosine):
     good = [(NONE if i is None else i, np.array(v, float)) for i, v in rows if v and None not in v and np.isfinite(v).all() and any(v)]
-    size = defaultdict(int)
-    for _, v in good:
-        size[len(v)] += 1
-    dim = min((-n, d) for d, n in size.items())[1] if size else 0
-    good = [(i, v) for i, v in good if len(v) == dim]
     named = [(i, v.tolist()) for i, v in good]
     good = [(i, v / np.abs(v).max()) for i, v in good]
     good = [(i, v / np.linalg.norm(v)) for i, v in good]
     count, links = defaultdict(int), []
     for a, (_, v) in enumerate(good):
         for b, (_, w) in enumerate(good[a + 1 :], a + 1):
-            if v @ w >= cosine:
+            if len(v) == len(w) and v @ w >= cosine:
                 count[a] += 1
                 count[b] += 1
                 links.append((a, b))
@@ -170,6 +165,40 @@ def test_odd_vectors(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([(1, None)], "vec_id bigint, embedding array<double>")).first().kept
 
 
+def test_vectors_of_several_lengths(spark, monkeypatch):
+    """Lengths with few vectors are compared in one pass, those with many are searched; none link across."""
+    rows = [(3 * k, v) for k, v in clouds(90, 8)] + [(3 * k + 1, v) for k, v in clouds(60, 3, 2)] + [(1000 + k, [1.0] * (1 + k % 5)) for k in range(40)]
+    check_vectors(spark, rows)
+    monkeypatch.setattr(embedding_dedup, "SHARD_ROWS", 50)
+    check_vectors(spark, rows)
+
+
+def test_two_levels_of_centroids(spark, monkeypatch):
+    """More vectors than one level of centroids divides: shards are divided again, and links are counted once."""
+    monkeypatch.setattr(embedding_dedup, "SHARD_ROWS", 25)
+    monkeypatch.setattr(embedding_dedup, "MAX_CENTROIDS", 4)
+    sizes, linked = [], embedding_dedup._linked
+
+    def seen(placed, *rest):
+        sizes.append([r[1] for r in placed.select(F.explode("shards").alias("s")).groupBy("s").count().collect()])
+        return linked(placed, *rest)
+
+    monkeypatch.setattr(embedding_dedup, "_linked", seen)
+    rows = clouds(400, 24, 4)
+    check_vectors(spark, rows)
+    assert len(sizes[1]) > 8
+
+
+def test_shards_widen_where_no_link_is_audited():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centroids = embedding_dedup.fit_centroids(x, 60)
+    assert embedding_dedup._probed(x, centroids, 0.001, 1, 0.95) < 0.9
+    enough = 2 * np.sqrt(0.1)
+    assert embedding_dedup._probed(x, centroids, enough, None, 0.95) == 1
+
+
 def test_vectors_in_blocks_and_shards(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "SHARD_ROWS", 40)
     monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 60)
