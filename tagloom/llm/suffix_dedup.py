@@ -30,7 +30,10 @@ HOT_IN_BUCKET = 20_000  # the same where all runs of a hash meet
 CHUNK_BYTES = 1 << 20
 _FIRST = -(1 << 63)
 
+MEET_ROWS = 100_000  # runs that are looked at together; of a hash with more, one run of each class is held
+
 RUN = np.dtype([("h", "<u8"), ("f", "<u8"), ("id", "<i8"), ("sum", "<i8"), ("pos", "<i4"), ("n", "<i4"), ("hot", "?")])
+SENT = "settled boolean, target bigint, h bigint, f bigint, id bigint, sum bigint, pos int, n int, hot boolean"
 FOUND = "id bigint, sum bigint, pos int, n int, h bigint, hot boolean, mark boolean"
 
 
@@ -95,6 +98,77 @@ def _marks(found: np.ndarray, mark: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names=["id", "sum", "pos", "n", "h", "hot", "mark"])
 
 
+class _Hash:
+    """What ``meet`` holds: the rows of hashes that may go on in the next batch.
+
+    Rows come sorted by hash, summaries (no windows) first, then by class and place.  A hash with more rows than
+    ``MEET_ROWS`` is settled piece by piece: repeats leave, and one run of each class is held until there are
+    more than ``HOT_IN_BUCKET``; from then on the hash is hot, and its classes leave too.
+    """
+
+    def __init__(self):
+        self.held: list[np.ndarray] = []
+        self.size = 0
+        self.hot: np.uint64 | None = None  # the hash whose earlier classes have left
+        self.last: np.ndarray | None = None  # the first run of its latest class
+
+    def take(self, found: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(found):
+            return
+        self.held.append(found)
+        self.size += len(found)
+        if self.size < MEET_ROWS:
+            return
+        rows = np.concatenate(self.held)
+        same = rows["h"] == rows["h"][-1]
+        if not same.all():
+            yield from self._settle(rows[~same])
+        if self.hot is not None and self.hot != rows["h"][-1]:
+            self.hot = self.last = None
+        rest = rows[same]
+        self.held, self.size = [rest], len(rest)
+        if len(rest) >= MEET_ROWS:
+            yield from self._reduce(rest)
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            yield from self._settle(np.concatenate(self.held))
+
+    def _reduce(self, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Sheds what is decided of one hash, which may have more rows to come."""
+        told, seen = rows[rows["n"] == 0][:1], rows[rows["n"] > 0]
+        found, earliest = _classes(seen if self.last is None else np.concatenate([self.last, seen]))
+        own = np.arange(len(found))
+        yield _marks(found[(earliest != own) & ~_same_place(found, found[earliest])], True)
+        heads = found[earliest == own]
+        if len(told) or self.hot is not None or len(heads) > HOT_IN_BUCKET:
+            self.hot = rows["h"][0]
+            out = heads.copy() if self.last is None else heads[heads["f"] != self.last["f"][0]]
+            out["hot"] = True
+            yield _marks(out, False)
+            if len(seen):
+                self.last = heads[heads["f"] == seen["f"][-1]]
+            heads = heads[:0]
+        self.held = [np.concatenate([told, heads])]
+        self.size = len(self.held[0])
+
+    def _settle(self, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Decides rows whose hashes are complete; the hot one had rows before."""
+        if self.hot is not None and (going := rows["h"] == self.hot).any():
+            yield from self._reduce(rows[going])
+            rows = rows[~going]
+        told = np.unique(rows["h"][rows["n"] == 0])
+        found, earliest = _classes(rows[rows["n"] > 0])
+        own = np.arange(len(found))
+        yield _marks(found[(earliest != own) & ~_same_place(found, found[earliest])], True)
+        found = found[earliest == own]
+        if len(found):
+            head = np.flatnonzero(np.concatenate([[True], found["h"][1:] != found["h"][:-1]]))
+            size = np.diff(np.append(head, len(found)))
+            found["hot"] |= np.repeat(size > HOT_IN_BUCKET, size) | np.isin(found["h"], told)
+            yield _marks(found[np.repeat(size > 1, size) | found["hot"]], False)  # a hash that has one class is done
+
+
 def two_stage_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Starts of all suffixes of ``text`` (bytes; the end counts as smallest) in the order of their first ``depth`` bytes.
 
@@ -215,7 +289,7 @@ def repeated(docs: DataFrame, store: Stored, length: int = LENGTH, seed: int = S
         def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             found, earliest = _classes(np.concatenate(held))
             repeat = (earliest != np.arange(len(found))) & ~_same_place(found, found[earliest])
-            yield bucketed(np.full(int(repeat.sum()), -1), found[repeat])
+            yield sending(found[repeat], mix64(found["f"][repeat] ^ found["sum"][repeat].view(np.uint64)), True)  # settled: goes anywhere
             found = found[earliest == np.arange(len(found))]  # one of each class goes on
             if not len(found):
                 return
@@ -227,17 +301,11 @@ def repeated(docs: DataFrame, store: Stored, length: int = LENGTH, seed: int = S
             told = found[head[size > HOT_IN_TASK]].copy()  # tells where the hash's other runs meet that it is hot
             told["n"] = 0
             found, target = np.concatenate([found, told]), np.concatenate([target, told["h"]])
-            bucket = (target >> np.uint64(20)).astype(np.int64) % buckets
-            yield bucketed(bucket, found)
-
-        def bucketed(bucket: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
-            order = np.argsort(bucket, kind="stable")
-            bucket, found = bucket[order], found[order]
-            names, at = np.unique(bucket, return_index=True)
-            bodies = [part.tobytes() for part in np.split(found, at[1:])] if len(found) else []
-            # Repeats that are settled go anywhere, spread over the buckets.
-            spread = np.where(names < 0, np.random.default_rng(len(found)).integers(0, buckets, len(names)), names)
-            return pa.RecordBatch.from_arrays([pa.array(spread, pa.int32()), pa.array(names < 0), pa.array(bodies, pa.binary())], names=["bucket", "settled", "runs"])
+            yield sending(found, target, False)
+
+        def sending(found: np.ndarray, target: np.ndarray, settled: bool) -> pa.RecordBatch:
+            cols = [np.full(len(found), settled), target.view(np.int64), found["h"].view(np.int64), found["f"].view(np.int64), *(found[k] for k in ("id", "sum", "pos", "n", "hot"))]
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["settled", "target", "h", "f", "id", "sum", "pos", "n", "hot"])
 
         held: list[np.ndarray] = []
         size = 0
@@ -256,39 +324,23 @@ def repeated(docs: DataFrame, store: Stored, length: int = LENGTH, seed: int = S
         if size:
             yield from send(held)
 
-    sent = arrow(docs, first_pass, "bucket int, settled boolean, runs binary").repartition(buckets, "bucket")
+    sent = arrow(docs, first_pass, SENT).repartition(buckets, "target")
+    sent = sent.sortWithinPartitions("settled", "h", F.col("n") > 0, "f", "id", "sum", "pos", "n").drop("target")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        """Runs come sorted by hash, class and place, so only those of the last hash are held until the next."""
+        open_ = _Hash()
         for batch in batches:
-            for settled, body in zip(batch.column("settled").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                found = np.frombuffer(body, RUN)
-                if settled:
-                    yield _marks(found, True)
-                else:
-                    held.append(found)
-        if not held:
-            return
-        found = np.concatenate(held)
-        held.clear()
-        # A hash that occurs once is done; a summary alone is no occurrence.
-        order = np.argsort(found["h"], kind="stable")
-        h = found["h"][order]
-        again = np.concatenate([[False], h[1:] == h[:-1]]) if len(h) else np.empty(0, bool)
-        again[:-1] |= again[1:]
-        found = found[order[again | found["hot"][order]]]
-        told = np.unique(found["h"][found["n"] == 0])
-        found, earliest = _classes(found[found["n"] > 0])
-        own = np.arange(len(found))
-        repeat = (earliest != own) & ~_same_place(found, found[earliest])
-        yield _marks(found[repeat], True)
-        found = found[earliest == own]
-        if len(found):
-            head = np.flatnonzero(np.concatenate([[True], found["h"][1:] != found["h"][:-1]]))
-            size = np.diff(np.append(head, len(found)))
-            found["hot"] |= np.repeat(size > HOT_IN_BUCKET, size) | np.isin(found["h"], told)
-            found = found[np.repeat(size > 1, size) | found["hot"]]
-            yield _marks(found, False)
+            settled = batch.column("settled").to_numpy(zero_copy_only=False)
+            found = np.zeros(batch.num_rows, RUN)
+            for k in ("id", "sum", "pos", "n", "hot"):
+                found[k] = batch.column(k).to_numpy(zero_copy_only=False)
+            for k in ("h", "f"):
+                found[k] = batch.column(k).to_numpy().view(np.uint64)
+            if settled.any():
+                yield _marks(found[settled], True)
+            yield from open_.take(found[~settled])
+        yield from open_.close()
 
     found = store.put(arrow(sent, meet, FOUND), "runs")
     asked = found.where("not mark").groupBy("id", "sum").agg(F.collect_list(F.struct("pos", "n", "h", "hot")).alias("asked"))
@@ -322,7 +374,7 @@ def repeated(docs: DataFrame, store: Stored, length: int = LENGTH, seed: int = S
 
     texts = docs.join(asked, ["id", "sum"]).select("id", "sum", "text", "asked")
     bodies = arrow(texts, extract, "key bigint, id bigint, sum bigint, pos int, n int, body binary")
-    dealt = bodies.repartition(buckets, "key").sortWithinPartitions("key")
+    dealt = bodies.repartition(buckets, "key").sortWithinPartitions("key", "id", "sum", "pos")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {k: [] for k in ("key", "id", "sum", "pos", "n", "body")}
@@ -352,6 +404,12 @@ def repeated(docs: DataFrame, store: Stored, length: int = LENGTH, seed: int = S
                     size = 0
                     for x in held.values():
                         x.clear()
+                elif size > 8 * CHUNK_BYTES and set(held["n"]) == {1}:  # a window of very many runs: the first of each text stays
+                    yield done()
+                    first = list({body: j for j, body in reversed(list(enumerate(held["body"])))}.values())
+                    for x in held.values():
+                        x[:] = [x[j] for j in first]
+                    size = sum(map(len, held["body"]))
                 for name, x in held.items():
                     x.append(rows[name][k])
                 size += len(rows["body"][k])

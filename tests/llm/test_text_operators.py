@@ -321,6 +321,26 @@ def test_byte_repeats_of_hot_pieces(spark, monkeypatch):
         cloudpickle.unregister_pickle_by_value(suffix_dedup)
 
 
+@pytest.mark.parametrize("limits", [{"MEET_ROWS": 7, "HOT_IN_TASK": 4, "HOT_IN_BUCKET": 2}, {"MEET_ROWS": 2, "HOT_IN_BUCKET": 3}, {"MEET_ROWS": 5, "CHUNK_BYTES": 20, "HOT_IN_TASK": 2}])
+def test_byte_repeats_in_pieces(spark, monkeypatch, limits):
+    """Hashes of more runs than are held together, some with many classes, over many tasks and batches."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdef"), 12)) for _ in range(6)]
+    line = "".join(rng.choice(list("abcdefgh"), 150))
+    rows = [(k, " ".join(rng.choice(words, 12)) + (line if k % 3 else line[: 40 + k]) + " ".join(rng.choice(words, 9))) for k in range(150)] + [(200 + k, line * 3) for k in range(30)]
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(suffix_dedup)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for name, value in limits.items():
+            monkeypatch.setattr(suffix_dedup, name, value)
+        check_bytes(spark.createDataFrame(rows, "doc_id int, text string").repartition(5), length=50)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        cloudpickle.unregister_pickle_by_value(suffix_dedup)
+
+
 def test_two_stage_order():
     rng = np.random.default_rng(1)
     for trial in range(60):
