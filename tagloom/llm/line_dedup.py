@@ -17,38 +17,48 @@ def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
     return packed(docs, id=F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_FIRST)), sum=F.md5(value), text=value)
 
 
-def windows(keyed: DataFrame, run: int = RUN_LINES) -> DataFrame:
-    """One row for each window of ``run`` lines: its document, start, fingerprint and content key.
+def fingerprints(keyed: DataFrame, run: int = RUN_LINES) -> DataFrame:
+    """Winnowing's choice for every window of ``run`` lines: id, sum, print, place and the windows around it.
 
-    The fingerprint is winnowing's choice: the smallest line hash of the window and the position of its
-    rightmost occurrence.  Equal windows choose alike, so every repeated run of ``run`` lines shares one.
+    A window chooses its smallest line hash, at its rightmost occurrence.  Neighbouring windows mostly choose the
+    same place, so there are about half as many rows as windows.  Equal windows choose alike, so every repeated
+    run of ``run`` lines shares a fingerprint at the same place.  ``around`` extends it both ways: for each
+    window that chose the place, how far above it starts and what it holds.
     """
     lines = keyed.select("id", "sum", F.split("text", "\n", -1).alias("lines")).where(F.size("lines") >= run)
     hashed = lines.withColumn("h", F.expr("transform(lines, x -> xxhash64(x))"))
-    picked = F.expr(f"""transform(sequence(0, size(h) - {run}), i -> named_struct(
-        'start', i,
-        'print', array_min(slice(h, i + 1, {run})),
-        'place', i + {run} - cast(array_position(reverse(slice(h, i + 1, {run})), array_min(slice(h, i + 1, {run}))) as int),
-        'content', unhex(md5(array_join(slice(lines, i + 1, {run}), '\\n')))))""")
-    return hashed.select("id", "sum", F.inline(picked))
+    least = hashed.withColumn("low", F.expr(f"transform(sequence(0, size(h) - {run}), i -> array_min(slice(h, i + 1, {run})))"))
+    places = F.expr(f"transform(low, (m, i) -> i + {run} - cast(array_position(reverse(slice(h, i + 1, {run})), m) as int))")
+    placed = least.withColumn("places", places)
+    # A place's windows are neighbours, as chosen places never go back; each group begins where the place is new.
+    begins = F.expr("filter(sequence(0, size(places) - 1), i -> i = 0 or places[i] <> places[i - 1])")
+    picked = F.expr(f"""transform(begins, (b, k) -> named_struct(
+        'print', low[b],
+        'place', places[b],
+        'around', transform(sequence(b, if(k + 1 < size(begins), begins[k + 1], size(places)) - 1), i -> named_struct(
+            'above', places[b] - i,
+            'content', unhex(md5(array_join(slice(lines, i + 1, {run}), '\\n')))))))""")
+    return placed.withColumn("begins", begins).select("id", "sum", F.inline(picked))
 
 
 def repeated_runs(docs: DataFrame, id: str = "doc_id", text: str = "text", run: int = RUN_LINES) -> DataFrame:
     """Maximal runs of lines to delete: id, sum (md5 of the text), first line and line after the last.
 
-    A fingerprint that occurs at one position only is dropped by a count that Spark combines before the
-    shuffle.  Around the others the match is extended both ways through every window that holds the
-    fingerprint; windows are compared by content class, of which the earliest position is kept, so a group of
-    n copies costs n rows and never n * n pairs.  Overlapping later windows grow together to maximal runs.
+    Fingerprints at one position only are dropped by a count that Spark combines before the shuffle.  The
+    positions of the others are joined: around each, every window that chose it is matched with the earliest
+    position that has the same content as far above and below, so a group of n copies costs n rows and never
+    n * n pairs.  Overlapping later windows grow together to maximal runs.  Both joins read stored tables on
+    either side, so adaptive execution may split a fingerprint or a content that very many documents have.
     """
     store = Stored(docs.sparkSession, "lines")
-    cut = store.put(windows(_keyed(docs, id, text), run).distinct(), "windows")
-    place = F.struct("id", "sum", "place")
-    prints = cut.groupBy("print").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("print")
-    matched = cut.join(prints, "print", "left_semi")
+    cut = store.put(fingerprints(_keyed(docs, id, text), run).distinct(), "fingerprints")
+    at = F.struct("id", "sum", "place")
+    prints = cut.groupBy("print").agg(F.min(at).alias("low"), F.max(at).alias("high")).where("low <> high").select("print")
+    matched = cut.join(store.put(prints, "prints"), "print", "left_semi").select("id", "sum", "place", F.inline("around"))
+    matched = store.put(matched.select("id", "sum", "content", (F.col("place") - F.col("above")).alias("start")), "matched")
     where = F.struct("id", "sum", "start")
     classes = matched.groupBy("content").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first <> last").select("content", "first")
-    later = matched.join(classes, "content").where(where > F.col("first")).select("id", "sum", "start")
+    later = matched.join(store.put(classes, "classes"), "content").where(where > F.col("first")).select("id", "sum", "start")
     order = Window.partitionBy("id", "sum").orderBy("start")
     grown = later.withColumn("gap", F.coalesce((F.col("start") > F.lag("start").over(order) + run).cast("int"), F.lit(1)))
     grown = grown.withColumn("island", F.sum("gap").over(order))
