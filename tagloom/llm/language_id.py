@@ -76,7 +76,9 @@ class Model:
 def fit(rows: DataFrame, label: str, text: str = "text", id: str = "doc_id", most: int = SAMPLE_ROWS) -> Model:
     """A model from at most ``most`` labelled rows of usable length, as evenly many of each label as there are.
 
-    Of each label those come first whose ids have the smallest hashes, then by a hash of the text; equal rows count once."""
+    Of each label those come first whose ids have the smallest hashes, then by a hash of the text; equal rows count once.
+    Labels that are null or don't begin with two letters, and null, empty or longer texts, are not usable.  Without
+    usable rows the model knows the unknown language only, and ``identify`` accepts nothing."""
     lang, words = F.lower(F.substring(F.trim(F.col(f"`{label}`").cast("string")), 1, 2)), F.col(f"`{text}`").cast("string")
     usable = rows.select(lang.alias("label"), F.struct(F.xxhash64(F.col(f"`{id}`").cast("string")).alias("h"), F.xxhash64(words).alias("t")).alias("at"), words.alias("text"))
     usable = usable.where(f"label rlike '^[a-z]{{2}}$' and octet_length(text) between 1 and {SAMPLE_BYTES}")
@@ -117,7 +119,9 @@ def identify(docs: DataFrame, model: Model, id: str = "doc_id", text: Column | s
     corpus's, with ``HOST_STRENGTH`` pseudo-counts; a row's own share is taken out first.  The sums are grouped
     aggregations that Spark combines before the shuffle; the rows that meet them hold scores and no texts.
 
-    A row is accepted unless the unknown language wins or no language has ``MIN_CONFIDENCE``.  Null text is
+    A row is accepted unless the unknown language wins or no language has ``MIN_CONFIDENCE``.  Of languages that
+    tie the first by name wins, and any wins over the unknown one.  A very long text is read whole, and weighs
+    no more than one of ``TEXT_WEIGHT`` trigrams.  Columns of any names may come; none but those given are read.  Null text is
     empty, and an empty or blank text has no evidence of its own: it is rejected.  Null evidence of any kind
     is the same as none.  A null id stays null.  Rows that repeat each get their result; no rows give no rows.
     """

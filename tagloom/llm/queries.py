@@ -59,7 +59,8 @@ def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    found = language_id.identify(docs, language_id.fit(docs, "lang"), declared=F.col("lang"), host=F.col("source"))
+    # lang is the label that the model is fitted on, so it is no evidence; plain text declares nothing in markup
+    found = language_id.identify(docs, language_id.fit(docs, "lang"), host=F.col("source"))
     return found.select("doc_id", "lang", "text_lang", F.round("confidence", 6).alias("confidence"), "accepted")
 
 

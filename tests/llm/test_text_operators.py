@@ -259,6 +259,72 @@ def test_language_evidence(spark):
     assert {r.lang for r in both.collect()} == {"fr"}
 
 
+def brute_languages(rows, model):
+    """Ids with language, confidence, acceptance and the text's own guess, from (id, text, declared, suffix, host)."""
+    names, table = model.languages, model.table.astype(float).tolist()
+    kinds, soft = len(names), lambda s: [math.exp(x - max(s)) / sum(math.exp(y - max(s)) for y in s) for x in s]
+    flat = [math.log(0.99 / (kinds - 1))] * (kinds - 1) + [math.log(0.01)]
+    seen = []
+    for i, text, declared, suffix, host in rows:
+        codes = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode()]
+        grams = [codes[k] << 16 | codes[k + 1] << 8 | codes[k + 2] for k in range(len(codes) - 2)]
+        grams = [(g * 0x9E3779B1 % 2**32) >> 16 for g in grams if g != 0x202020]
+        score = [sum(table[g][k] for g in grams) * min(1, 60 / max(len(grams), 1)) for k in range(kinds)]
+        mark = (declared or "").strip(" ")[:2].lower()
+        seen.append((i, score, soft([a + b for a, b in zip(score, flat, strict=True)]), mark if re.fullmatch("[a-z]{2}", mark) else "", suffix or "", host or ""))
+    total = lambda fits: [sum(r[2][k] for r in seen if fits(r)) for k in range(kinds)]
+    whole, out = total(lambda r: True), []
+    sums = {f: total(lambda r: (r[3],) == f[1:] if f[0] == "d" else r[4] == f[1] if f[0] == "s" else (r[4], r[5]) == f[1:]) for f in {x for r in seen for x in (("d", r[3]), ("s", r[4]), ("h", r[4], r[5]))}}  # noqa: B023
+    for i, score, own, mark, suffix, host in seen:
+        less = lambda key: [max(a - b, 0) for a, b in zip(sums[key], own, strict=True)]  # noqa: B023, E731
+        prior = [(w + 1) / (sum(whole) + kinds) for w in whole]
+        for given, key in ((suffix, ("s", suffix)), (host, ("h", suffix, host))):
+            if given:
+                rest = less(key)
+                prior = [(a + 20 * b) / (sum(rest) + 20) for a, b in zip(rest, prior, strict=True)]
+        final = [a + math.log(b) for a, b in zip(score, prior, strict=True)]
+        if mark:
+            final = [f + math.log((a + 0.5) / (max(w - o, 0) + 0.5 * 677)) for f, a, w, o in zip(final, less(("d", mark)), whole, own, strict=True)]
+        post, bare = soft(final), not any(score)
+        best = post.index(max(post))
+        out.append((i, "und" if bare else names[best], 0 if bare else round(max(post), 6), not bare and best < kinds - 1 and max(post) >= 0.5, "und" if bare else names[own.index(max(own))]))
+    return sorted(out, key=str)
+
+
+def test_languages_match_brute_force(spark, docs):
+    rng = np.random.default_rng(5)
+    pick = lambda *x: x[int(rng.integers(len(x)))]
+    texts = [(r.doc_id, r.text[: int(rng.integers(2, 60))]) for r in docs.collect()][:120] + [(None, "de la"), (500, None), (501, " \n"), (502, "12 !"), (503, "ab"), (504, "zzz qqq xxjj"), (504, "zzz qqq xxjj")]
+    rows = [(i, t, pick(None, "fr", "EN-gb", " de", "x1", "", "fr"), pick(None, "fr", "org/en", ""), pick(None, "a.fr", "b.org", "")) for i, t in texts]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, declared string, suffix string, host string").repartition(3)
+    model = language_id.fit(docs, "lang", most=60)
+    for kinds in ((), ("declared",), ("suffix",), ("host",), ("declared", "suffix", "host")):
+        got = language_id.identify(df, model, **{k: F.col(k) for k in kinds}).collect()
+        want = brute_languages([(i, t, *(x if k in kinds else None for k, x in zip(("declared", "suffix", "host"), e, strict=True))) for i, t, *e in rows], model)
+        for a, b in zip(sorted(((r.doc_id, r.lang, r.confidence, r.accepted, r.text_lang) for r in got), key=lambda r: str((r[0], r[1], round(r[2], 5)))), sorted(want, key=lambda r: str((r[0], r[1], round(r[2], 5)))), strict=True):
+            assert a[:2] == b[:2] and a[3:] == b[3:] and abs(a[2] - b[2]) < 1e-5
+
+
+def test_registered_languages_match_brute_force(spark, docs):
+    model = language_id.fit(docs, "lang")
+    key = lambda r: (r[0] is None, r[0])
+    close = lambda got, want: all(a[:2] == b[:2] and a[3:] == b[3:] and abs(a[2] - b[2]) < 1e-5 for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True))
+    got = [(r.doc_id, r.lang, r.confidence, r.accepted, r.text_lang) for r in queries.op8_language_id(spark, DATA).collect()]
+    assert close(got, brute_languages([(r.doc_id, r.text, None, None, r.source) for r in docs.collect()], model))
+    got = [(r.page_id, r.lang, r.confidence, r.accepted, r.text_lang) for r in queries.language_id_pages(spark, DATA).collect()]
+    url, html = F.col("url"), F.col("html")
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", language_id.visible(html), language_id.declared_in(html), language_id.suffix_of(url), language_id.host_of(url)).collect()
+    assert close(got, brute_languages([tuple(r) for r in pages], model))
+
+
+def test_nothing_to_fit(spark, docs):
+    for rows in (docs.limit(0), docs.withColumn("lang", F.lit(None).cast("string"))):
+        model = language_id.fit(rows, "lang")
+        assert model.languages == ["und"]
+        found = language_id.identify(docs, model, declared=F.col("lang"), host=F.col("source")).collect()
+        assert len(found) == docs.count() and not any(r.accepted for r in found) and {r.lang for r in found} == {"und"}
+
+
 def test_language_of_odd_rows(spark, odd):
     model = language_id.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "lang")
     found = language_id.identify(odd, model, declared=F.col("lang"), host=F.col("source"))
