@@ -16,7 +16,7 @@ from tagloom.llm.queries import table, vocabulary
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the evidence supports; those in none of them go."""
     model = language_id.fit(docs, "lang")
-    return language_id.accepted(docs, model, declared=F.col("lang"), host=F.col("source"))
+    return language_id.accepted(docs, model, host=F.col("source"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
