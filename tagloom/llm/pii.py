@@ -2,7 +2,9 @@
 
 Base spans come from fixed patterns with checks.  They seed the bootstrapping: the words beside them are
 lexical patterns, every identifier-like token is an instance, and the two sides of that graph score each other
-for a few rounds.  Instances that trusted patterns surround, and whose shape fits the kind, join the spans.
+for a few rounds.  Instances that trusted patterns surround join the spans if their shape fits the kind: by one
+of a few fixed shapes, or by a form that the data show to be the kind's, as several instances of it and most of
+them stand in trusted contexts.
 """
 
 from __future__ import annotations
@@ -40,11 +42,14 @@ SHAPES = {
     "phone": r"^(?:00[0-9]{8,13}|\(?[0-9]{2,4}[).-]+[0-9]{3,4}[.-]?[0-9]{3,4})$",
 }
 
-CONTEXT_CHARS = 40
+NEAR_CHARS = 40  # where the words beside a match are looked for first, which is quicker than in the whole gap
+WORD_CHARS = 64  # longer words are told apart by their md5
 ROUNDS = 3
 MIN_SUPPORT = 3  # distinct seeds beside a pattern
 MIN_TRUST = 0.8  # of a pattern: share of its instances that are of the kind
 MIN_SCORE = 0.9  # of an instance: 1 less the product of its patterns' doubts
+MIN_FORMS = 3  # distinct instances of a form in trusted contexts of a kind
+MIN_FORM_SHARE = 0.5  # of the distinct instances of a form, those in trusted contexts of the kind
 
 
 def _luhn(digits: Column) -> Column:
@@ -65,6 +70,24 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _word(near: Column, whole_word: str, gap: Column, pattern: str) -> Column:
+    """The word next to a match: in the near part of the gap, if it lies there whole, else in all of it."""
+    return F.coalesce(F.nullif(F.regexp_extract(near, whole_word, 1), F.lit("")), F.regexp_extract(gap, pattern, 1))
+
+
+def _pattern_word(word: Column) -> Column:
+    plain = F.lower(F.regexp_replace(word, DIGITS, "0"))
+    return F.when(F.length(plain) > WORD_CHARS, F.concat(F.lit("#"), F.md5(plain))).otherwise(plain)
+
+
+def form(value: Column) -> Column:
+    """What instances of one make have in common: runs of letters, and of digits by length, between what else there is."""
+    out = F.regexp_replace(value, r"\p{L}+", "a")
+    for digits, mark in (("{5,}", "N"), ("{3,4}", "M"), ("{1,2}", "D")):
+        out = F.regexp_replace(out, DIGITS + digits, mark)
+    return F.when(F.length(out) > WORD_CHARS, F.concat(F.lit("#"), F.md5(out))).otherwise(out)
+
+
 def _found(text: Column, name: str, pattern: str, hint: str | None) -> Column:
     """The matches of a pattern with the length of the gap before each and the words beside it."""
     test = F.contains(text, F.lit(hint)) if hint else F.lit(True)
@@ -79,8 +102,8 @@ def _found(text: Column, name: str, pattern: str, hint: str | None) -> Column:
             F.length(x["gap"]).alias("gap"),
             F.length(x["hit"]).alias("len"),
             x["hit"].alias("value"),
-            F.regexp_extract(F.right(x["gap"], F.lit(CONTEXT_CHARS)), r"(\S+)\s*$", 1).alias("left"),
-            F.regexp_extract(F.left(x["rest"], F.lit(CONTEXT_CHARS)), r"^\s*(\S+)", 1).alias("right"),
+            _word(F.right(x["gap"], F.lit(NEAR_CHARS)), r"\s(\S++)\s*+$", x["gap"], r"(?<!\S)(\S++)\s*+$").alias("left"),
+            _word(F.left(x["rest"], F.lit(NEAR_CHARS)), r"^\s*+(\S++)\s", x["rest"], r"^\s*+(\S++)").alias("right"),
         ),
     )
     return F.when(test, rows)
@@ -95,7 +118,18 @@ def occurrences(keyed: DataFrame) -> DataFrame:
     order = Window.partitionBy("id", "sum", "kind").orderBy("nth")
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(order))
     valid = reduce(lambda a, k: a.when(F.col("kind") == k, _valid(k, F.col("value"))), KINDS, F.when(F.lit(False), F.lit(True))).otherwise(F.lit(True))
-    return rows.select("id", "sum", "kind", (F.col("end") - F.col("len")).alias("start"), "end", "value", *[F.lower(F.regexp_replace(c, DIGITS, "0")).alias(c) for c in ("left", "right")], valid.alias("valid"))
+    return rows.select("id", "sum", "kind", (F.col("end") - F.col("len")).alias("start"), "end", "value", *[_pattern_word(F.col(c)).alias(c) for c in ("left", "right")], valid.alias("valid"))
+
+
+def _uncovered(tokens: DataFrame, base: DataFrame) -> DataFrame:
+    """The tokens that no base span overlaps, by running bounds of the spans before and after each."""
+    cover = base.select("id", "sum", "start", F.col("start").alias("from"), F.col("end").alias("upto")).withColumn("token", F.lit(None).cast(tokens.schema["token"].dataType))
+    rows = tokens.select("id", "sum", "start", F.lit(None).cast("int").alias("from"), F.lit(None).cast("int").alias("upto"), "token").unionByName(cover)
+    place = Window.partitionBy("id", "sum")
+    rows = rows.withColumn("reach", F.max("upto").over(place.orderBy("start").rangeBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("next", F.min("from").over(place.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)))
+    rows = rows.where("token is not null")
+    return rows.where((F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.col("next").isNull() | (F.col("next") >= F.col("token.end")))).select("id", "sum", "token.*")
 
 
 def discovered(seen: DataFrame, store: Stored, rounds: int = ROUNDS) -> DataFrame:
@@ -103,25 +137,30 @@ def discovered(seen: DataFrame, store: Stored, rounds: int = ROUNDS) -> DataFram
 
     A pattern is a word on one side of an instance.  A round scores each pattern for each kind by the share
     of its distinct instances that are known to be of that kind, keeps those with enough support and trust, and
-    scores each unknown instance of a fitting shape by its patterns' doubts.  Instances above ``MIN_SCORE``
-    are known from the next round on.  Scores are sums by key, which Spark combines before the shuffle.
+    scores each unknown instance by its patterns' doubts.  Of instances above ``MIN_SCORE`` those become known
+    whose shape is one of the kind's fixed ones, or whose form is: at least ``MIN_FORMS`` instances of it reach
+    that score, or did in earlier rounds, and they are at least ``MIN_FORM_SHARE`` of all that have the form.  An
+    instance that fits several kinds takes the best score, and of equal ones the first kind of ``KINDS``.
+    Scores are sums by key, which Spark combines before the shuffle; tables that joins read are stored, so
+    adaptive execution may split a word that very many instances stand beside.
     """
     base = seen.where("kind <> 'token' and valid")
-    covers = base.select("id", "sum", F.col("start").alias("from"), F.col("end").alias("upto"))
-    tokens = seen.where("kind = 'token'").select("id", "sum", "start", "end", "value", "left", "right")
-    free = tokens.join(covers, (tokens["id"] == covers["id"]) & (tokens["sum"] == covers["sum"]) & (tokens["start"] < covers["upto"]) & (covers["from"] < tokens["end"]), "left_anti")
+    tokens = seen.where("kind = 'token'").select("id", "sum", "start", F.struct("start", "end", "value", "left", "right").alias("token"))
+    free = _uncovered(tokens, base)
     core = F.regexp_replace("value", r"^[\"'(\[<{]+|[\"')\]>},;:.!?]+$", "")
     lead = F.length(F.regexp_extract("value", r"^[\"'(\[<{]*", 0))
     free = free.select("id", "sum", (F.col("start") + lead).alias("start"), core.alias("value"), "left", "right").withColumn("end", F.col("start") + F.length("value"))
     free = free.where("length(value) > 0").withColumn("shape", reduce(lambda a, k: a.when(F.col("value").rlike(SHAPES[k]), k), KINDS, F.when(F.lit(False), "")))
-    free = store.put(free, "tokens")
+    free = store.put(free.withColumn("form", form(F.col("value"))), "tokens")
+    forms = store.put(free.select("form", "value").distinct().groupBy("form").agg(F.count("*").alias("of")), "forms")
 
     def patterns(df: DataFrame, *keep: str) -> DataFrame:
         sides = F.array(F.struct(F.lit("L").alias("side"), F.col("left").alias("word")), F.struct(F.lit("R").alias("side"), F.col("right").alias("word")))
         return df.select(*keep, F.inline(sides)).where("word <> ''")
 
-    graph = store.put(patterns(free, "value", "shape").distinct(), "graph")
+    graph = store.put(patterns(free, "value", "shape", "form").distinct(), "graph")
     sure = store.put(patterns(base.select("kind", "value", "left", "right"), "kind", "value").distinct(), "seeds")
+    order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     known = None
     for _ in range(rounds):
         more = sure if known is None else sure.unionByName(graph.join(known, "value").select("kind", "value", "side", "word")).distinct()
@@ -129,16 +168,21 @@ def discovered(seen: DataFrame, store: Stored, rounds: int = ROUNDS) -> DataFram
         unknown = graph if known is None else graph.join(known, "value", "left_anti")
         total = more.groupBy("side", "word").agg(F.count("*").alias("k")).join(unknown.groupBy("side", "word").agg(F.count("*").alias("u")), ["side", "word"], "left")
         trust = good.join(total, ["side", "word"]).withColumn("trust", F.col("n") / (F.col("k") + F.coalesce("u", F.lit(0))))
-        trust = trust.where((F.col("n") >= MIN_SUPPORT) & (F.col("trust") >= MIN_TRUST)).select("side", "word", "kind", "trust")
-        voted = unknown.join(trust, ["side", "word"]).where(F.col("shape") == F.col("kind"))
-        scored = voted.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(0.01)))))).alias("score"))
-        fresh = scored.where(F.col("score") >= MIN_SCORE).select("value", "kind")
+        trust = store.put(trust.where((F.col("n") >= MIN_SUPPORT) & (F.col("trust") >= MIN_TRUST)).select("side", "word", "kind", "trust"), "trust")
+        doubt = F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(0.01))))
+        voted = unknown.join(trust, ["side", "word"]).groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score"), F.any_value("shape").alias("shape"), F.any_value("form").alias("form"))
+        voted = store.put(voted.where(F.col("score") >= MIN_SCORE), "voted")
+        same = voted.select("form", "kind") if known is None else voted.select("form", "kind").unionByName(known.select("form", "kind"))
+        fit = same.groupBy("form", "kind").agg(F.count("*").alias("here")).join(forms, "form")
+        fit = fit.where((F.col("here") >= MIN_FORMS) & (F.col("here") >= MIN_FORM_SHARE * F.col("of"))).select("form", "kind", F.lit(True).alias("fits"))
+        fresh = voted.join(store.put(fit, "fit"), ["form", "kind"], "left").where(F.coalesce("fits", F.lit(False)) | F.coalesce(F.col("shape") == F.col("kind"), F.lit(False)))
+        fresh = fresh.groupBy("value", "form").agg(F.max(F.struct(F.round("score", 9), -order, "kind")).alias("best")).select("value", "best.kind", "form")
         after = store.put(fresh if known is None else known.unionByName(fresh), "known")
         if known is not None and after.count() == known.count() or known is None and not after.limit(1).count():
             known = after
             break
         known = after
-    return free.join(known, "value").where(F.col("shape") == F.col("kind")).select("id", "sum", "kind", "start", "end").distinct()
+    return free.drop("form").join(known, "value").select("id", "sum", "kind", "start", "end").distinct()
 
 
 def personal_data(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -147,8 +191,9 @@ def personal_data(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     Columns: ``id`` under its own name, n_email, n_ip, n_card, n_phone (base spans), n_added, base_sha256 and
     spans: kind:start:end in code points, end exclusive, by kind as in ``KINDS``, then start.
 
-    Null text is empty and has no spans.  A null id stays null.  Rows equal in id and text get equal results;
-    no rows give no rows; other columns are not read.  A match that fails its check is dropped and not retried.
+    Null text is empty and has no spans; a very long one is searched whole, and so are the gaps between matches
+    for the words beside them.  A null id stays null.  Rows equal in id and text get equal results; no rows give
+    no rows; other columns are not read.  A match that fails its check is dropped and not retried.
     """
     store = Stored(docs.sparkSession, "pii")
     value = as_text(docs, text)

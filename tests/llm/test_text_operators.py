@@ -493,6 +493,106 @@ def test_spelt_out_addresses_without_digits(spark):
     assert out[300] == out[301] == (0, "")
 
 
+def brute_discovery(rows):
+    """Added spans by document, from texts whose tokens are parted by single spaces and have no marks around them."""
+    seeds, free = set(), []  # (kind, value, side, word); (doc, start, value, words)
+    plain = lambda w: re.sub("[0-9]", "0", w).lower()
+    key = lambda w: "#" + hashlib.md5(plain(w).encode()).hexdigest() if len(w) > pii.WORD_CHARS else plain(w)
+    shape = lambda v: re.sub("[^A-Za-z]+|[A-Za-z]+", lambda m: "a" if m.group().isalpha() else re.sub("[0-9]+", lambda d: "D" if len(d.group()) < 3 else "M" if len(d.group()) < 5 else "N", m.group()), v)
+    fixed = lambda v: next((k for k in pii.KINDS if re.search(pii.SHAPES[k], v)), None)
+    for doc, text in rows:
+        at, words = 0, text.split(" ")
+        spans = brute_pii(text)[1]
+        for k, w in enumerate(words):
+            around = {(side, key(x)) for side, x in (("L", words[k - 1] if k else ""), ("R", words[k + 1] if k + 1 < len(words) else "")) if x}
+            hit = [s.split(":")[0] for s in spans if s.split(":")[1:] == [str(at), str(at + len(w))]]
+            if hit:
+                seeds |= {(hit[0], w, *a) for a in around}
+            elif re.search("[0-9@]|[(]at[)]", w):
+                free.append((doc, at, w, around))
+            at += len(w) + 1
+    graph = {(v, *a) for _, _, v, around in free for a in around}
+    values, known = {v for _, _, v, _ in free}, {}
+    for _ in range(pii.ROUNDS):
+        more = seeds | {(known[v], v, s, w) for v, s, w in graph if v in known}
+        trust = {}
+        for s, w in {x[2:] for x in more}:
+            all_ = sum(x[2:] == (s, w) for x in more) + sum(x[1:] == (s, w) and x[0] not in known for x in graph)
+            for kind in pii.KINDS:
+                n = sum(x[2:] == (s, w) and x[0] == kind for x in more)
+                if n >= pii.MIN_SUPPORT and n / all_ >= pii.MIN_TRUST:
+                    trust[kind, s, w] = n / all_
+        score = {(v, k): 1 - math.prod(max(1 - trust[k, s, w], 0.01) for x, s, w in graph if x == v and (k, s, w) in trust) for v in values - set(known) for k in pii.KINDS}
+        voted = {vk: x for vk, x in score.items() if x >= pii.MIN_SCORE}
+        fresh = {}
+        for (v, k), x in sorted(voted.items(), key=lambda y: (round(y[1], 9), -pii.KINDS.index(y[0][1]))):
+            here = sum(shape(u) == shape(v) and j == k for u, j in [*voted, *known.items()])
+            if fixed(v) == k or here >= pii.MIN_FORMS and here >= pii.MIN_FORM_SHARE * sum(shape(u) == shape(v) for u in values):
+                fresh[v] = k
+        if not fresh:
+            break
+        known |= fresh
+    out = {}
+    for doc, at, v, _ in free:
+        if v in known:
+            out.setdefault(doc, set()).add(f"{known[v]}:{at}:{at + len(v)}")
+    return out
+
+
+def planted(n, seed):
+    """Texts with seeds in telling and in common contexts, and identifiers of other makes beside the same words."""
+    rng = np.random.default_rng(seed)
+    num = lambda k: "".join(rng.choice(list("0123456789"), k))
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    makes = {
+        "email": (lambda: f"{word()}@{word()}.org", lambda: f"{word()}(at){word()}", "mailto"),
+        "phone": (lambda: f"+{num(11)}", lambda: f"tel/{num(3)}/{num(6)}", "dial"),
+        "ip": (lambda: f"10.{num(1)}.{num(2)}.{int(rng.integers(256))}", lambda: f"0x{num(8)}", "host"),
+        "card": (lambda: "4111111111111111", lambda: f"{num(4)}.{num(4)}.{num(4)}.{num(4)}", "visa"),
+    }
+    rows = []
+    for k in range(n):
+        out = [word() for _ in range(4)]
+        for kind in list(makes):
+            seed_, unseen, near = makes[kind]
+            pick = int(rng.integers(20))
+            if pick < 12:
+                out += [near if pick else "see", seed_(), f"{near}end" if pick < 10 else word()]
+            elif pick == 12:
+                out += [near, unseen(), f"{near}end" if rng.random() < 0.7 else word()]
+            elif pick > 15:
+                out += ["see", unseen() if rng.random() < 0.1 else f"item{num(2)}", word()]
+        rows.append((k, " ".join(out)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_discovery_matches_brute_force(spark, seed):
+    rows = planted(320, seed) + [(1000 + k, f"{'x' * 100} u{k}@v.org {'y' * 70}") for k in range(9)] + [(1009, f"{'x' * 100} a(at)b.example {'y' * 70}"), (1010, f"{'x' * 99} c(at)d.example {'y' * 71}")]
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want, base = brute_discovery(rows), {k: set(brute_pii(t)[1]) for k, t in rows}
+    assert {k: set(r.spans.split(",")) - {""} - base[k] for k, r in got.items() if r.n_added} == want
+    assert {s.split(":")[0] for spans in want.values() for s in spans} >= {"email", "ip"} and 1009 in want and 1010 not in want
+
+
+def test_words_beside_matches_are_whole(spark):
+    """The word beside a match counts whole, however long it is or far away."""
+    far = " " * 60
+    rows = [(k, f"contact{far}u{k}@v.org{far}now") for k in range(5)] + [(9, f"contact{far}jo(at)v.example{far}now"), (10, f"{'q' * 50}contact jo(at)w.example {'q' * 50}")]
+    out = {r.doc_id: r.n_added for r in pii.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert out[9] == 1 and out[10] == 0
+
+
+def test_discovery_among_real_texts(spark):
+    """Identifiers of a make that no fixed shape has, planted in all of the texts of sf0.01: all are found, nothing else."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    n = F.col("doc_id")
+    more = F.when(n % 10 < 8, F.concat(F.lit(" kontakt user"), n, F.lit("@mail.example bitte"))).when(n % 20 == 9, F.concat(F.lit(" kontakt acct/"), 10000 + n, F.lit("/x bitte"))).otherwise(F.lit(""))
+    got = pii.personal_data(docs.select("doc_id", F.concat("text", more).alias("text"))).where("n_added > 0").collect()
+    want = {r.doc_id for r in docs.where("doc_id % 20 = 9").collect()}
+    assert {r.doc_id for r in got} == want and all(r.n_added == 1 for r in got)
+
+
 def test_sample_of_sparse_labels(spark, monkeypatch):
     """Few labels among many rows, one language rare: all that is usable is fitted, as evenly as it can be."""
     seen = []
