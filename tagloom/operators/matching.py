@@ -7,21 +7,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.functions.editdistance import distances
+from tagloom.checkpoints import Stored
+from tagloom.functions.editdistance import Bags, Pairs
 from tagloom.functions.text import without_spaces
 
-SERIALS_IN_BLOCK = 512
+SERIALS_IN_BLOCK = 4096
 PREDICTIONS_IN_SLICE = 4096
 LEAST_SLICES = 16
-
-
-def _normalized(a: list[str], b: list[str]) -> np.ndarray:
-    longest = np.maximum(np.array([len(x) for x in a])[:, None], np.array([len(x) for x in b])[None, :])
-    return distances(a, b) / np.maximum(longest, 1)
+ROWS_AT_ONCE = 128
 
 
 def _nearest(k: int, exclude_self: bool):
-    """The k nearest serials of a block for each prediction of a slice."""
+    """The k nearest serials of a block for each prediction of a slice.
+
+    Bags of characters bound every pair's distance from below; the k least bounds are compared exactly, and then
+    all pairs whose bound doesn't exceed the farthest of these.
+    """
 
     def kernel(preds: pa.Table, names: pa.Table) -> pa.Table:
         texts, serials = preds.column("pred").to_pylist(), names.column("serial").to_pylist()
@@ -30,16 +31,31 @@ def _nearest(k: int, exclude_self: bool):
         upper = names.column("su").to_pylist()
         order = sorted(range(len(serials)), key=lambda i: (upper[i].encode(), serials[i].encode()))
         serials, upper, bare = ([col[i] for i in order] for col in (serials, upper, names.column("sn").to_pylist()))
-        far = np.minimum(_normalized(preds.column("pu").to_pylist(), upper), _normalized(preds.column("pn").to_pylist(), bare))
-        if exclude_self:
-            place = {s: j for j, s in enumerate(serials)}
-            own = [(i, place[t]) for i, t in enumerate(texts) if t in place]
-            if own:
-                far[tuple(np.array(own).T)] = np.inf
-        best = np.argsort(far, axis=1, kind="stable")[:, :k]
-        row, col = np.repeat(np.arange(len(texts)), best.shape[1]), best.reshape(-1)
-        near = far[row, col]
-        row, col, near = row[np.isfinite(near)], col[np.isfinite(near)], near[np.isfinite(near)]
+        sides = [(preds.column("pu").to_pylist(), upper), (preds.column("pn").to_pylist(), bare)]
+        bags, pairs = [(Bags(a), Bags(b)) for a, b in sides], [Pairs(a, b) for a, b in sides]
+        place = {s: j for j, s in enumerate(serials)} if exclude_self else {}
+        own = np.array([place.get(t, -1) for t in texts], np.int64)
+
+        def exact(row: np.ndarray, col: np.ndarray) -> np.ndarray:
+            far = [p.distances(row, col) / np.maximum(np.maximum(p.lengths[row], p.size[col]), 1) for p in pairs]
+            return np.where(own[row] == col, np.inf, np.minimum(*far))
+
+        found = []
+        most = min(k + exclude_self, len(serials))
+        for at in range(0, len(texts), ROWS_AT_ONCE):
+            rows = slice(at, min(at + ROWS_AT_ONCE, len(texts)))
+            n = rows.stop - at
+            least = np.minimum(*(a.bounds(rows, b) / np.maximum(np.maximum(a.size[rows, None], b.size[None, :]), 1) for a, b in bags))
+            first = np.argpartition(least, most - 1, axis=1)[:, :most]
+            near = exact(np.repeat(np.arange(at, rows.stop), most), first.reshape(-1)).reshape(n, most)
+            worst = np.sort(near, axis=1)[:, min(k, most) - 1]
+            row, col = np.nonzero(least <= worst[:, None])
+            near = exact(row + at, col)
+            by = np.lexsort((col, near, row))
+            row, col, near = row[by], col[by], near[by]
+            keep = (np.arange(len(row)) - np.searchsorted(row, row) < k) & np.isfinite(near)
+            found.append((row[keep] + at, col[keep], near[keep]))
+        row, col, near = (np.concatenate(x) for x in zip(*found, strict=True))
         return pa.table({"pred": pa.array([texts[i] for i in row], pa.string()), "serial": pa.array([serials[j] for j in col], pa.string()), "su": pa.array([upper[j] for j in col], pa.string()), "distance": pa.array(near, pa.float64())})
 
     return kernel
@@ -49,13 +65,15 @@ def top_k(predictions: DataFrame, serials: DataFrame, k: int = 5, prediction: st
     """(pred, serial, distance, score, rank) of the k nearest serials of each distinct prediction.
 
     The distance is the smaller of those of the upper-cased texts as they are and without spaces; ties go to the
-    serial that comes first in upper case.  Predictions are made distinct first and dealt in slices, the set of
-    serials in blocks; each slice meets each block in one call of a bit-parallel kernel, which keeps the block's k
-    best.  Neither side is broadcast, a call's size is bounded, and k rows a block and prediction is all that is
-    shuffled after it.
+    serial that comes first in upper case.  Both sides are made distinct and stored first.  Predictions are dealt
+    in slices, the set of serials in blocks; each slice meets each block in one call of a kernel that keeps the
+    block's k best and compares only pairs that their characters allow.  A closed set of serials is one block, or
+    a few, so predictions are copied once or a few times.  Neither side is broadcast, a call's size is bounded,
+    and k rows a block and prediction is all that is shuffled after it.
     """
-    preds = predictions.select(F.col(prediction).alias("pred")).where("pred is not null").distinct()
-    names = serials.select(F.col(serial).alias("serial")).where("serial is not null").distinct()
+    store = Stored(predictions.sparkSession, "retrieval")
+    preds = store.put(predictions.select(F.col(prediction).alias("pred")).where("pred is not null").distinct(), "predictions")
+    names = store.put(serials.select(F.col(serial).alias("serial")).where("serial is not null").distinct(), "serials")
     blocks = max(1, -(-names.count() // SERIALS_IN_BLOCK))
     slices = max(LEAST_SLICES, -(-preds.count() // PREDICTIONS_IN_SLICE))
     preds = preds.withColumn("pu", F.upper("pred")).withColumn("pn", without_spaces(F.col("pu")))

@@ -490,8 +490,8 @@ def flip_policy(spark, d):
 
 @query
 def fragment_groups(spark, d):
-    """Groups of fragments in reading order, by links and components within images."""
-    members = grouping.groups(_fragments(spark, d), 1.5, Stored(spark, "groups"))
+    """Groups of fragments in reading order, by a fold over each image's links."""
+    members = grouping.groups(_fragments(spark, d), 1.5)
     return members.groupBy("image", "g").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "frag_index"))), lambda x: x["frag_index"].cast("string")), ",").alias("members"))
 
 
@@ -511,7 +511,7 @@ def group_evaluation(spark, d):
     """Groups without ground truth: their hulls matched to the true boxes, their texts to the serials."""
     truth, store = V.boxes(spark, d), Stored(spark, "evaluation")
     f = store.put(_fragments(spark, d), "fragments")
-    members = store.put(grouping.groups(f, 0.0, store).withColumnRenamed("g", "group_id"), "members")
+    members = store.put(grouping.groups(f, 0.0).withColumnRenamed("g", "group_id"), "members")
     corner = lambda x, y: F.array(F.col(x), F.col(y))
     points = F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1")).alias("points")
     hulls = grouping.group_hulls(members, f.select("image", "frag_index", points))
