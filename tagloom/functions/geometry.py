@@ -20,6 +20,27 @@ def bounds(points: Column) -> tuple[Column, Column, Column, Column]:
     return F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)
 
 
+def centre(points: Column) -> tuple[Column, Column]:
+    """The mean of the corners."""
+    total = lambda k: F.aggregate(points, F.lit(0.0), lambda a, p: a + p[k])
+    return total(0) / F.size(points), total(1) / F.size(points)
+
+
+def principal_axis(points: Column) -> tuple[Column, Column]:
+    """Direction in which the corners spread most, to +x, or to +y where it is vertical."""
+    cx, cy = centre(points)
+    spread = lambda f: F.aggregate(points, F.lit(0.0), lambda a, p: a + f(p[0] - cx, p[1] - cy))
+    xx, yy, xy = spread(lambda x, y: x * x), spread(lambda x, y: y * y), spread(lambda x, y: x * y)
+    angle = 0.5 * F.atan2(2 * xy, xx - yy)
+    return F.cos(angle), F.sin(angle)
+
+
+def crop_size(points: Column) -> Column:
+    """Struct (w, h) of the crop of a box of four corners: the longer of each two opposite sides, cut to whole pixels."""
+    side = lambda i, j: F.sqrt(F.pow(points[i][0] - points[j][0], 2) + F.pow(points[i][1] - points[j][1], 2))
+    return F.struct(F.floor(F.greatest(side(0, 1), side(2, 3))).cast("int").alias("w"), F.floor(F.greatest(side(0, 3), side(1, 2))).cast("int").alias("h"))
+
+
 def box_area(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return (x1 - x0) * (y1 - y0)
 
@@ -64,63 +85,144 @@ def hull(points: np.ndarray) -> np.ndarray:
     return np.array(half(pts) + half(pts[::-1]), float)
 
 
-def _crosses(p: np.ndarray) -> bool:
-    """Whether two edges that don't share a corner cross."""
-    n = len(p)
-    side = lambda a, b, c: np.sign((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0]))
+def _turn(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Twice the signed area of triangles."""
+    return (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])
+
+
+def crossings(p: np.ndarray) -> np.ndarray:
+    """Of polygons of one size (k, n, 2): which have two edges that cross inside both."""
+    n, out = p.shape[1], np.zeros(len(p), bool)
     for i in range(n):
-        for j in range(i + 2, n):
-            if (j + 1) % n == i:
-                continue
-            a, b, c, d = p[i], p[(i + 1) % n], p[j], p[(j + 1) % n]
-            if side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0:
-                return True
-    return False
+        for j in range(i + 2, n - (i == 0)):
+            a, b, c, d = p[:, i], p[:, i + 1], p[:, j], p[:, (j + 1) % n]
+            out |= (np.sign(_turn(a, b, c)) * np.sign(_turn(a, b, d)) < 0) & (np.sign(_turn(c, d, a)) * np.sign(_turn(c, d, b)) < 0)
+    return out
 
 
-def repaired(p: np.ndarray) -> np.ndarray:
-    """The polygon; one that crosses itself is replaced by its convex hull, so that it has an area and no operator fails."""
+def simple_loops(p: np.ndarray) -> list[np.ndarray]:
+    """The simple polygons that stand for one that may cross itself.
+
+    It is cut where edges cross until no loop crosses itself; loops that turn like the whole are kept (where
+    both ways enclose as much, those that turn like its uppermost corner).  A simple polygon stands for itself.
+    """
+    p, loops, todo = np.asarray(p, float).reshape(-1, 2), [], []
+    todo.append(p)
+    while todo:
+        q = todo.pop()
+        n, cut = len(q), None
+        for i in range(n):
+            for j in range(i + 2, n - (i == 0)):
+                a, b, c, d = q[i], q[i + 1], q[j], q[(j + 1) % n]
+                if _turn(a, b, c) * _turn(a, b, d) < 0 and _turn(c, d, a) * _turn(c, d, b) < 0:
+                    t = _turn(c, d, a) / (_turn(c, d, a) - _turn(c, d, b))
+                    cut = (i, j, a + t * (b - a))
+                    break
+            if cut:
+                break
+        if cut is None:
+            loops.append(q)
+            continue
+        i, j, x = cut
+        todo += [np.vstack([x, q[i + 1 : j + 1]]), np.vstack([q[: i + 1], x, q[j + 1 :]])]
+    if len(loops) == 1:
+        return loops
+    whole = sum(map(np_area, loops))
+    if abs(whole) <= 1e-9 * sum(abs(np_area(x)) for x in loops):
+        top = int(np.lexsort((p[:, 0], p[:, 1]))[-1])
+        whole = float(_turn(p[top - 1], p[top], p[(top + 1) % len(p)]))
+    return [x for x in loops if np_area(x) * whole > 0]
+
+
+def fans(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signed triangles whose sum is each polygon: (triangles, signs, the polygon of each, areas of polygons).
+
+    ``points`` are the polygons' corners end to end, ``at`` n + 1 offsets.  Simple polygons are fanned out from
+    their first corner, others from that of each of their loops.
+    """
+    size = np.diff(at)
+    bad = np.zeros(len(size), bool)
+    for n in np.unique(size[size > 3]):
+        rows = np.flatnonzero(size == n)
+        bad[rows] = crossings(points[at[rows, None] + np.arange(n)])
+    good = np.flatnonzero((size >= 3) & ~bad)
+    count = size[good] - 2
+    owner = np.repeat(good, count)
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    first = at[owner]
+    tri = np.stack([points[first], points[first + step + 1], points[first + step + 2]], axis=1) if len(owner) else np.empty((0, 3, 2))
+    for k in np.flatnonzero(bad):
+        for loop in simple_loops(points[at[k] : at[k + 1]]):
+            more = np.stack([np.repeat(loop[:1], len(loop) - 2, axis=0), loop[1:-1], loop[2:]], axis=1)
+            tri, owner = np.concatenate([tri, more]), np.concatenate([owner, np.full(len(more), k)])
+    twice = _turn(tri[:, 0], tri[:, 1], tri[:, 2])
+    total = np.bincount(owner, twice, minlength=len(size)) / 2
+    sign = np.sign(twice) * np.sign(total)[owner]
+    tri = np.where((twice < 0)[:, None, None], tri[:, ::-1], tri)
+    return tri, sign, owner, np.abs(total)
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Areas common to pairs of anticlockwise triangles, clipped at one side of the other after the other."""
+    n = len(a)
+    poly, count = a, np.full(n, 3)
+    for k in range(3):
+        p, q = b[:, None, k], b[:, None, (k + 1) % 3]
+        side = _turn(p, q, poly)
+        slot = np.arange(poly.shape[1])
+        live = slot < count[:, None]
+        following = np.where(slot + 1 < count[:, None], slot + 1, 0)
+        other, after = np.take_along_axis(side, following, 1), np.take_along_axis(poly, following[:, :, None], 1)
+        cut = live & ((side >= 0) != (other >= 0))
+        t = np.divide(side, side - other, out=np.zeros_like(side), where=cut)
+        both = np.stack([poly, poly + t[:, :, None] * (after - poly)], axis=2).reshape(n, -1, 2)
+        mask = np.stack([live & (side >= 0), cut], axis=2).reshape(n, -1)
+        order = np.argsort(~mask, axis=1, kind="stable")[:, : poly.shape[1] + 1]
+        count = mask.sum(axis=1)
+        poly = np.take_along_axis(both, order[:, :, None], 1)
+    poly = np.where((np.arange(poly.shape[1]) < count[:, None])[:, :, None], poly, poly[:, :1])
+    x, y = poly[..., 0] - poly[:, :1, 0], poly[..., 1] - poly[:, :1, 1]
+    return np.abs((x * np.roll(y, -1, axis=1) - np.roll(x, -1, axis=1) * y).sum(axis=1)) / 2
+
+
+def overlaps(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], most: int = 100_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(common area, area of the first, area of the second) of pairs of polygons of any shape, given as in ``fans``.
+
+    Exact: the common area of two polygons is the signed sum over their triangles' common areas.
+    """
+    ta, sa, oa, area_a = fans(*a)
+    tb, sb, ob, area_b = fans(*b)
+    pairs = len(area_a)
+    by_a, by_b = np.argsort(oa, kind="stable"), np.argsort(ob, kind="stable")
+    na, nb = np.bincount(oa, minlength=pairs), np.bincount(ob, minlength=pairs)
+    fa, fb = np.cumsum(na) - na, np.cumsum(nb) - nb
+    inter, total = np.zeros(pairs), na * nb
+    begin = 0
+    while begin < pairs:
+        end = max(begin + 1, int(np.searchsorted(np.cumsum(total[begin:]), most, "right")) + begin)
+        row = np.repeat(np.arange(begin, end), total[begin:end])
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(total[begin:end]) - total[begin:end], total[begin:end])
+        i, j = by_a[fa[row] + nth // np.maximum(nb[row], 1)], by_b[fb[row] + nth % np.maximum(nb[row], 1)]
+        if len(row):
+            inter += np.bincount(row, _common(ta[i], tb[j]) * sa[i] * sb[j], minlength=pairs)
+        begin = end
+    inter[inter <= 1e-12 * np.minimum(area_a, area_b)] = 0.0
+    return inter, area_a, area_b
+
+
+def _one(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     p = np.asarray(p, float).reshape(-1, 2)
-    return hull(p) if len(p) > 3 and _crosses(p) else p
-
-
-def clip(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """The part of a polygon inside a convex one (Sutherland and Hodgman); exact in area."""
-    if np_area(window) < 0:
-        window = window[::-1]
-    out = [tuple(q) for q in subject]
-    for k in range(len(window)):
-        a, b = window[k], window[(k + 1) % len(window)]
-        inside = lambda q: (b[0] - a[0]) * (q[1] - a[1]) - (b[1] - a[1]) * (q[0] - a[0])  # noqa: B023, E731
-        found, before = [], out
-        for i, q in enumerate(before):
-            r = before[i - 1]
-            dq, dr = inside(q), inside(r)
-            if (dq >= 0) != (dr >= 0):
-                t = dr / (dr - dq)
-                found.append((r[0] + t * (q[0] - r[0]), r[1] + t * (q[1] - r[1])))
-            if dq >= 0:
-                found.append(q)
-        out = found
-        if not out:
-            break
-    return np.array(out, float).reshape(-1, 2)
+    return p, np.array([0, len(p)])
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Area common to two polygons, one of which should be convex; else the second's hull is taken."""
-    a, b = repaired(a), repaired(b)
-    if abs(np_area(a)) == 0 or abs(np_area(b)) == 0:
-        return 0.0
-    convex = lambda p: abs(abs(np_area(p)) - abs(np_area(hull(p)))) <= 1e-9 * max(1.0, abs(np_area(p)))
-    if not convex(b) and convex(a):
-        a, b = b, a
-    return abs(np_area(clip(a, b if convex(b) else hull(b))))
+    """Area common to two polygons of any shape."""
+    return float(overlaps(_one(a), _one(b))[0][0])
 
 
 def iou(a: np.ndarray, b: np.ndarray) -> float:
-    common = overlap(a, b)
-    total = abs(np_area(repaired(a))) + abs(np_area(repaired(b))) - common
+    common, area_a, area_b = (float(x[0]) for x in overlaps(_one(a), _one(b)))
+    total = area_a + area_b - common
     return common / total if total > 0 else 0.0
 
 
@@ -153,13 +255,3 @@ def min_area_rect(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, fl
     if u[0] < -1e-9 or (abs(u[0]) <= 1e-9 and u[1] < 0):
         u = -u
     return centre, u, float(w), float(ht)
-
-
-def principal_axis(points: np.ndarray) -> np.ndarray:
-    """Direction in which the corners spread most, to +x, or to +y where it is vertical."""
-    q = np.asarray(points, float).reshape(-1, 2)
-    q = q - q.mean(axis=0)
-    xx, yy, xy = (q[:, 0] ** 2).sum(), (q[:, 1] ** 2).sum(), (q[:, 0] * q[:, 1]).sum()
-    angle = 0.5 * np.arctan2(2 * xy, xx - yy)
-    u = np.array([np.cos(angle), np.sin(angle)])
-    return -u if u[0] < -1e-9 or (abs(u[0]) <= 1e-9 and u[1] < 0) else u

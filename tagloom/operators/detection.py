@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,70 +33,84 @@ def box_pairs(truth: DataFrame, predicted: DataFrame, truth_index: str = "box_in
     return pairs.select("image", "gi", "pi", G.box_intersection(g, p).alias("inter"), G.box_iou(g, p).alias("iou"), (G.box_intersection(g, p) / G.box_area(*p)).alias("inside"))
 
 
-def polygon_pairs(truth: DataFrame, predicted: DataFrame, truth_index: str = "box_index", pred_index: str = "pred_index") -> DataFrame:
-    """The same for polygons (column ``points``), by an Arrow kernel on pairs whose bounds overlap."""
+def polygon_pairs(truth: DataFrame, predicted: DataFrame, truth_index: str = "box_index", pred_index: str = "pred_index", extra: tuple[str, ...] = ()) -> DataFrame:
+    """The same for polygons of any shape (column ``points``), by an Arrow kernel on pairs whose bounds overlap.
 
-    def side(df: DataFrame, name: str, index: str) -> DataFrame:
+    ``extra`` names columns of ``predicted``, such as a sweep's parameters, that are kept.  A polygon without area
+    overlaps nothing; one that crosses itself counts as its loops that turn like the whole.
+    """
+    keys = ["image", "gi", "pi", *extra]
+
+    def side(df: DataFrame, name: str, index: str, *more: str) -> DataFrame:
         x0, y0, x1, y1 = G.bounds(F.col("points"))
-        return df.select("image", F.col(index).alias(f"{name}i"), F.col("points").alias(f"{name}p"), x0.alias(f"{name}_x0"), y0.alias(f"{name}_y0"), x1.alias(f"{name}_x1"), y1.alias(f"{name}_y1"))
+        return df.select("image", *more, F.col(index).alias(f"{name}i"), F.col("points").alias(f"{name}p"), x0.alias(f"{name}_x0"), y0.alias(f"{name}_y0"), x1.alias(f"{name}_x1"), y1.alias(f"{name}_y1"))
 
-    pairs = side(truth, "g", truth_index).join(side(predicted, "p", pred_index), "image")
+    pairs = side(truth, "g", truth_index).join(side(predicted, "p", pred_index, *extra), "image")
     g, p = _box("g"), _box("p")
-    pairs = pairs.where((F.least(g[2], p[2]) > F.greatest(g[0], p[0])) & (F.least(g[3], p[3]) > F.greatest(g[1], p[1]))).select("image", "gi", "pi", "gp", "pp")
+    pairs = pairs.where((F.least(g[2], p[2]) > F.greatest(g[0], p[0])) & (F.least(g[3], p[3]) > F.greatest(g[1], p[1])))
 
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gs = [np.stack([np.asarray(q, float) for q in x]) for x in batch["gp"]]
-            ps = [np.stack([np.asarray(q, float) for q in x]) for x in batch["pp"]]
-            inter = np.array([G.overlap(a, b) for a, b in zip(gs, ps, strict=True)], float)
-            ag = np.array([abs(G.np_area(G.repaired(a))) for a in gs], float)
-            ap = np.array([abs(G.np_area(G.repaired(b))) for b in ps], float)
+            inter, ag, ap = G.overlaps(_corners(batch.column("gp")), _corners(batch.column("pp")))
             total = ag + ap - inter
-            out = batch[["image", "gi", "pi"]].copy()
-            out["inter"] = inter
-            out["iou"] = np.divide(inter, total, out=np.zeros_like(inter), where=total > 0)
-            out["inside"] = np.divide(inter, ap, out=np.zeros_like(inter), where=ap > 0)
-            yield out[inter > 0]
+            iou = np.divide(inter, total, out=np.zeros_like(inter), where=total > 0)
+            inside = np.divide(inter, ap, out=np.zeros_like(inter), where=ap > 0)
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(inter), pa.array(iou), pa.array(inside)], names=[*keys, "inter", "iou", "inside"])
+            yield out.filter(pa.array(inter > 0))
+
+    kinds = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in keys)
+    return pairs.select(*keys, "gp", "pp").mapInArrow(kernel, f"{kinds}, inter double, iou double, inside double")
+
 
-    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
-    return pairs.mapInPandas(kernel, f"image {kinds['image']}, gi {kinds['gi']}, pi {kinds['pi']}, inter double, iou double, inside double")
+def _corners(polygons: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The corners of all polygons end to end, and where each begins."""
+    size = polygons.value_lengths().fill_null(0).to_numpy()
+    flat = polygons.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
+    return flat, np.concatenate([[0], np.cumsum(size)])
 
 
-def greedy_match(pairs: DataFrame, threshold: float = IOU_THRESHOLD) -> DataFrame:
+def greedy_match(pairs: DataFrame, threshold: float = IOU_THRESHOLD, extra: tuple[str, ...] = ()) -> DataFrame:
     """(image, gi, pi, iou): pairs in descending order of (iou, gi, pi) are taken while both ends are free.
 
-    A fold over each image's few candidate pairs inside the JVM.
+    A fold over each image's few candidate pairs inside the JVM; ``extra`` columns part the pairs further.
     """
-    ranked = pairs.where(F.col("iou") >= threshold).groupBy("image").agg(F.sort_array(F.collect_list(F.struct("iou", "gi", "pi")), asc=False).alias("c"))
+    ranked = pairs.where(F.col("iou") >= threshold).groupBy("image", *extra).agg(F.sort_array(F.collect_list(F.struct("iou", "gi", "pi")), asc=False).alias("c"))
     kind = "array<struct<iou:double,gi:bigint,pi:bigint>>"
     ranked = ranked.withColumn("c", F.col("c").cast(kind))
     taken = F.expr(f"""aggregate(c, cast(array() as {kind}),
         (acc, x) -> if(exists(acc, y -> y.gi = x.gi or y.pi = x.pi), acc, concat(acc, array(x))))""")
-    return ranked.select("image", F.inline(taken)).select("image", "gi", "pi", "iou")
+    return ranked.select("image", *extra, F.inline(taken)).select("image", *extra, "gi", "pi", "iou")
 
 
-def containment(pairs: DataFrame, truth: DataFrame, ratio: float = INSIDE_RATIO) -> DataFrame:
-    """(image, gi, pis): predictions inside each true box, in reading order along its longer side.
+def containment(pairs: DataFrame, truth: DataFrame, predicted: DataFrame, ratio: float = INSIDE_RATIO) -> DataFrame:
+    """(image, gi, pis): predictions inside each true box, in reading order along the axis its corners spread on.
 
-    A prediction may lie in several boxes; ``pairs`` needs the predictions' centres cx and cy.
+    A prediction may lie in several boxes.  ``truth`` has image, gi and points, ``predicted`` image, pi and points;
+    a prediction stands where the mean of its corners is, and ties go to the smaller index.
     """
-    held = pairs.where(F.col("inside") >= ratio).join(truth, ["image", "gi"])
-    along = F.when(F.col("x1") - F.col("x0") >= F.col("y1") - F.col("y0"), F.col("cx")).otherwise(F.col("cy"))
+    ux, uy = G.principal_axis(F.col("points"))
+    axis = truth.select("image", "gi", ux.alias("ux"), uy.alias("uy"))
+    cx, cy = G.centre(F.col("points"))
+    place = predicted.select("image", "pi", cx.alias("cx"), cy.alias("cy"))
+    held = pairs.where(F.col("inside") >= ratio).select("image", "gi", "pi").join(axis, ["image", "gi"]).join(place, ["image", "pi"])
+    along = F.round(F.col("cx") * F.col("ux") + F.col("cy") * F.col("uy"), 9)
     return held.groupBy("image", "gi").agg(F.transform(F.sort_array(F.collect_list(F.struct(along.alias("at"), "pi"))), lambda x: x["pi"]).alias("pis"))
 
 
 def metrics(truth: DataFrame, matched: DataFrame, n_predicted: DataFrame) -> DataFrame:
-    """Recall by kind and overall, with precision and their harmonic mean overall.
+    """Recall by kind and overall, precision and their harmonic mean overall, and by kind the precision of what matched.
 
-    ``truth`` needs image, gi and kind; ratios with a zero denominator are 0.0.
+    ``truth`` needs image, gi and kind; ratios with a zero denominator are 0.0.  A prediction has no kind but that of
+    the box it matches, so by kind only matched ones count as predicted.
     """
     hit = truth.join(matched.select("image", "gi").withColumn("hit", F.lit(1)), ["image", "gi"], "left")
-    kinds = hit.groupBy(F.coalesce("kind", F.lit("all")).alias("kind")).agg(F.count("*").alias("gt"), F.coalesce(F.sum("hit"), F.lit(0)).alias("tp"))
-    total = hit.agg(F.count("*").alias("gt"), F.coalesce(F.sum("hit"), F.lit(0)).alias("tp")).select(F.lit("all").alias("kind"), "gt", "tp")
+    kinds = hit.groupBy(F.coalesce("kind", F.lit("all")).alias("kind")).agg(F.count("*").alias("gt"), F.coalesce(F.sum("hit"), F.lit(0)).alias("tp"), F.count("hit").alias("matched"))
+    total = hit.agg(F.count("*").alias("gt"), F.coalesce(F.sum("hit"), F.lit(0)).alias("tp")).select(F.lit("all").alias("kind"), "gt", "tp", F.lit(None).cast("long").alias("matched"))
     rows = kinds.unionByName(total).join(n_predicted.agg(F.count("*").alias("n_pred")))
     precision = F.when(F.col("kind") == "all", safe_ratio(F.col("tp"), F.col("n_pred")))
     recall = safe_ratio(F.col("tp"), F.col("gt"))
-    return rows.select("kind", "gt", "tp", "n_pred", recall.alias("recall"), precision.alias("precision"), hmean(precision, recall).alias("hmean"))
+    own = F.when(F.col("kind") != "all", safe_ratio(F.col("tp"), F.col("matched")))
+    return rows.select("kind", "gt", "tp", "n_pred", recall.alias("recall"), precision.alias("precision"), hmean(precision, recall).alias("hmean"), own.alias("precision_matched"))
 
 
 def failure_taxonomy(truth: DataFrame, pairs: DataFrame, matched: DataFrame) -> DataFrame:

@@ -13,15 +13,17 @@ from tagloom.functions.alignment import confusion_pairs
 SLICES = ("kind", "seen", "tokens", "length")
 
 
-def sliced(items: DataFrame, measures: dict[str, Column], slices: tuple[str, ...] = SLICES) -> DataFrame:
-    """(slice, value, measures...) overall and by each slice column, in one pass.
+def sliced(items: DataFrame, measures: dict[str, Column], slices: tuple[str, ...] = SLICES, by: tuple[str, ...] = (), expected: DataFrame | None = None) -> DataFrame:
+    """(by..., slice, value, measures...) overall and by each slice column, in one pass; a null value belongs to no slice.
 
-    A slice without rows has no row, and a null slice value belongs to no slice.
+    A slice without rows has no row, unless it is among the ``expected`` ones (by..., slice, value), a small table:
+    then its measures are null.
     """
     tags = [F.struct(F.lit("overall").alias("slice"), F.lit("all").alias("value"))]
     tags += [F.struct(F.lit(s).alias("slice"), F.col(s).cast("string").alias("value")) for s in slices]
     rows = items.withColumn("_t", F.explode(F.array(*tags))).where(F.col("_t.value").isNotNull())
-    return rows.groupBy(F.col("_t.slice").alias("slice"), F.col("_t.value").alias("value")).agg(*[c.alias(k) for k, c in measures.items()])
+    out = rows.groupBy(*by, F.col("_t.slice").alias("slice"), F.col("_t.value").alias("value")).agg(*[c.alias(k) for k, c in measures.items()])
+    return out if expected is None else out.join(F.broadcast(expected), [*by, "slice", "value"], "full")
 
 
 def share(flag: Column) -> Column:

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.checkpoints import Stored
-from tagloom.config import CONDITIONAL_RECOGNITION
+from tagloom.config import CANDIDATE_GAP, CONDITIONAL_RECOGNITION
+from tagloom.functions import geometry as G
 from tagloom.functions import text as X
 from tagloom.operators import detection as D
-from tagloom.operators import graph, grouping, matching, merge, metrics, profile, serial_db, split, sweep
+from tagloom.operators import evaluation, graph, grouping, matching, merge, metrics, profile, serial_db, split, sweep
 from tagloom.sources import labels, sinks
 
 from . import views as V
@@ -369,12 +371,18 @@ def space_error_rate(spark, d):
 
 @query
 def confusion_matrix(spark, d):
-    return metrics.confusions(V.predictions(spark, d).where("p_partkey % 4 in (1, 3)"))
+    return metrics.confusions(V.predictions(spark, d))
 
 
 @query
-def confusion_general(spark, d):
-    return metrics.confusions(V.predictions(spark, d))
+def top_confusions(spark, d):
+    """The most common substitutions by recogniser, the first eight of each."""
+    found = None
+    for model in ("small", "medium", "large"):
+        one = metrics.confusions(V.recognisers(spark, d).where(F.col("model") == model)).withColumn("model", F.lit(model))
+        found = one if found is None else found.unionByName(one)
+    rank = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("n"), "gt_char", "pred_char"))
+    return found.withColumn("rank", rank).where("rank <= 8")
 
 
 @query
@@ -440,9 +448,40 @@ def recall_by_width(spark, d):
 @query
 def contain_assign(spark, d):
     truth, predicted, pairs = _pairs(spark, d)
-    centres = pairs.join(predicted.select("image", F.col("pred_index").alias("pi"), ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy")), ["image", "pi"])
-    out = D.containment(centres, truth.select("image", F.col("box_index").alias("gi"), "x0", "y0", "x1", "y1"))
-    return out.select("image", "gi", F.array_join(F.transform("pis", lambda x: x.cast("string")), ",").alias("pis"))
+    sides = V.with_corners(truth).withColumnRenamed("box_index", "gi"), V.with_corners(predicted).withColumnRenamed("pred_index", "pi")
+    return D.containment(pairs, *sides).select("image", "gi", F.array_join(F.transform("pis", lambda x: x.cast("string")), ",").alias("pis"))
+
+
+def _shapes(spark, d):
+    """True and predicted outlines, some not convex, and their pairs by the kernel for polygons of any shape."""
+    truth = V.with_shapes(V.boxes(spark, d))
+    moved = [(F.col(c) + F.col(s)).alias(c) for c, s in (("x0", "dx"), ("y0", "dy"), ("x1", "dx"), ("y1", "dy"))]
+    predicted = V.with_shapes(truth.where("found").select("image", F.col("box_index").alias("pred_index"), "is_curved", *moved))
+    return truth, predicted, D.polygon_pairs(truth, predicted).withColumn("iou", F.round("iou", 9)).withColumn("inside", F.round("inside", 9))
+
+
+@query
+def shape_pairs(spark, d):
+    return _shapes(spark, d)[2].where("iou >= 0.5").select("image", "gi", "pi", "iou", "inside")
+
+
+@query
+def shape_metrics(spark, d):
+    truth, predicted, pairs = _shapes(spark, d)
+    out = D.metrics(_truth(truth), D.greedy_match(pairs), predicted)
+    return out.select("kind", "gt", "tp", r9("recall").alias("recall"), r9("precision").alias("precision"), r9("hmean").alias("hmean"), r9("precision_matched").alias("precision_matched"))
+
+
+@query
+def shape_containment(spark, d):
+    truth, predicted, pairs = _shapes(spark, d)
+    held = D.containment(pairs, truth.withColumnRenamed("box_index", "gi"), predicted.withColumnRenamed("pred_index", "pi"))
+    return held.select("image", "gi", F.array_join(F.transform("pis", lambda x: x.cast("string")), ",").alias("pis"))
+
+
+@query
+def crop_sizes(spark, d):
+    return V.with_corners(V.boxes(spark, d)).select("image", "box_index", G.crop_size(F.col("points")).alias("s")).select("image", "box_index", "s.w", "s.h")
 
 
 @query
@@ -506,23 +545,98 @@ def link_sweep(spark, d):
     return combos.join(links.groupBy("policy", "gap").agg(F.count("*").alias("links")), ["policy", "gap"], "left").select("policy", "gap", F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def _evaluated(items, names, by=(), slices=("kind", "seen", "tokens")):
+    """Coverage and retrieval of what was read, by slice; an empty reading is no hit."""
+    h = matching.hits(items, matching.top_k(items, names, 5), 5, "nonempty")
+    measures = {"n": F.count("*"), "coverage": r9(metrics.share(F.col("detected"))), "top1": r9(metrics.share(F.col("hit1"))), "top5": r9(metrics.share(F.col("hit5")))}
+    return metrics.sliced(h, measures, slices, by)
+
+
+def _read_boxes(spark, d):
+    """True boxes, their serials, and what is read in each region by its index."""
+    boxes = V.with_corners(V.boxes(spark, d))
+    truth = V.truth(boxes)
+    readings = V.fragments(boxes).select("image", F.col("frag_index").alias("pi"), F.when(F.col("cls_flip"), F.col("text_bwd")).otherwise(F.col("text_fwd")).alias("text"), F.col("conf_fwd").alias("conf"))
+    return truth, truth.select(F.col("rep").alias("serial")).distinct(), readings
+
+
 @query
-def group_evaluation(spark, d):
-    """Groups without ground truth: their hulls matched to the true boxes, their texts to the serials."""
-    truth, store = V.boxes(spark, d), Stored(spark, "evaluation")
-    f = store.put(_fragments(spark, d), "fragments")
-    members = store.put(grouping.groups(f, 0.0).withColumnRenamed("g", "group_id"), "members")
-    corner = lambda x, y: F.array(F.col(x), F.col(y))
-    points = F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1")).alias("points")
-    hulls = grouping.group_hulls(members, f.select("image", "frag_index", points))
-    matched = D.greedy_match(D.polygon_pairs(truth.select("image", "box_index", points), hulls, "box_index", "group_id"))
-    reading = truth.where("found").select("image", F.col("box_index").alias("frag_index"), F.col("transcription").alias("text"), F.array(F.lit(0.9)).alias("conf"))
-    texts = grouping.group_texts(members.withColumnRenamed("group_id", "g"), reading)
-    items = truth.select("image", F.col("box_index").alias("gi"), F.upper("transcription").alias("gt"), X.kind(F.col("is_curved")).alias("kind")).join(matched.select("image", "gi", "pi"), ["image", "gi"], "left")
-    items = items.join(texts.withColumnRenamed("g", "pi"), ["image", "pi"], "left").withColumn("pred", F.coalesce("text", F.lit(""))).withColumn("rep", F.col("gt"))
-    names = items.select(F.col("rep").alias("serial")).distinct()
+def end_to_end(spark, d):
+    """Detection, matching, reading and retrieval in one: a box is detected if a region matches it."""
+    truth, names, readings = _read_boxes(spark, d)
+    items = evaluation.matched_items(truth, D.greedy_match(_pairs(spark, d)[2]), readings)
+    h = matching.hits(items, matching.top_k(items, names, 5), 5, "detected")
+    measures = {"n": F.count("*"), "det_recall": r9(metrics.share(F.col("detected"))), "top1": r9(metrics.share(F.col("hit1"))), "top5": r9(metrics.share(F.col("hit5"))), **metrics.failures(F.col("detected"), F.col("hit5"))}
+    return metrics.sliced(h, measures)
+
+
+@query
+def token_merge(spark, d):
+    """Boxes read by the regions inside them, in reading order, and how well that retrieves their serials."""
+    truth, names, readings = _read_boxes(spark, d)
+    _, predicted, pairs = _pairs(spark, d)
+    held = D.containment(pairs, truth, V.with_corners(predicted).withColumnRenamed("pred_index", "pi"))
+    items = evaluation.contained_items(truth, held, readings)
     h = matching.hits(items, matching.top_k(items, names, 5), 5, "nonempty")
-    return metrics.sliced(h, {"n": F.count("*"), "coverage": r9(metrics.share(F.col("pi").isNotNull())), "top1": r9(metrics.share(F.col("hit1"))), "top5": r9(metrics.share(F.col("hit5")))}, ("kind",))
+    measures = {"n": F.count("*"), "coverage": r9(metrics.share(F.col("n_fragments") > 0)), "avg_fragments": r9(F.avg(F.col("n_fragments").cast("double"))), "top1": r9(metrics.share(F.col("hit1"))), "top5": r9(metrics.share(F.col("hit5")))}
+    return metrics.sliced(h, measures)
+
+
+@query
+def model_comparison(spark, d):
+    """Several recognisers on the same crops: accuracy and retrieval of each, by slice."""
+    items = V.recognisers(spark, d)
+    h = _sliceable(matching.hits(items, matching.top_k(items, V.serials(spark, d), 5), 5))
+    measures = {"n": F.count("*"), "car": r9(F.avg(X.car(F.col("pred"), F.col("gt")))), "exact": r9(metrics.share(F.col("pred") == F.col("gt"))), "top1": r9(metrics.share(F.col("hit1"))), "top5": r9(metrics.share(F.col("hit5")))}
+    return metrics.sliced(h, measures, ("kind", "seen"), ("model",))
+
+
+def _grouped(spark, d, combos):
+    """Items of all combinations of a flip policy and a gap, in one plan."""
+    boxes = V.with_corners(V.boxes(spark, d))
+    f, policies = V.fragments(boxes), [r.policy for r in combos.select("policy").distinct().orderBy("policy").collect()]
+    f = reduce(DataFrame.unionByName, [grouping.with_reading(f, p).withColumn("policy", F.lit(p)) for p in policies])
+    f = Stored(spark, "fragments").put(f.join(F.broadcast(combos), "policy"), "fragments")
+    members = grouping.groups(grouping.box_geometry(f), F.col("gap"), ("policy", "gap"))
+    truth = V.truth(boxes)
+    return evaluation.grouped_items(truth, f, members, combos), truth.select(F.col("rep").alias("serial")).distinct()
+
+
+def _combos(spark):
+    return sweep.grid(spark, policy=["none", "classifier", "confidence"], gap=[0.0, 1.5]).select("policy", "gap")
+
+
+@query
+def group_evaluation(spark, d):
+    """Groups without ground truth: their hulls matched to the true boxes, their texts to the serials, for each policy and gap."""
+    items, names = _grouped(spark, d, _combos(spark))
+    return _evaluated(items, names, ("policy", "gap"))
+
+
+@query
+def group_archive(spark, d):
+    """The best policy and gap by retrieval, its predictions archived and read again."""
+    items, names = _grouped(spark, d, _combos(spark))
+    items = Stored(spark, "grouped").put(items, "items")
+    ranked = _evaluated(items, names, ("policy", "gap"), ()).orderBy(F.desc("top5"), "policy", "gap").first()
+    best = items.where((F.col("policy") == ranked.policy) & (F.col("gap") == ranked.gap))
+    path = Stored(spark, "archive").root
+    sinks.archive(best.select(X.crop_name(F.col("image"), F.col("gi")).alias("crop"), "gt", "pred", F.col("conf").alias("char_confidences"), "mean_confidence"), path, "groups")
+    again = labels.read_archive(spark, path, "groups")
+    return again.select("crop", "gt", "pred", F.size("char_confidences").alias("n_conf"), r9("mean_confidence").alias("mean_confidence"))
+
+
+@query
+def merge_evaluation(spark, d):
+    """Grouping by geometry, narrow and wide, against wide groups that the serial set cuts."""
+    boxes = V.with_corners(V.boxes(spark, d))
+    f = Stored(spark, "fragments").put(grouping.with_reading(V.fragments(boxes), "none"), "fragments")
+    truth = V.truth(boxes)
+    names = truth.select(F.col("rep").alias("serial")).distinct()
+    wide = Stored(spark, "members").put(grouping.groups(grouping.box_geometry(f), CANDIDATE_GAP), "wide")
+    ways = {"narrow": grouping.groups(grouping.box_geometry(f), 0.0), "wide": wide, "guided": evaluation.guided_members(wide, f, names)}
+    items = [evaluation.grouped_items(truth, f, m).withColumn("way", F.lit(k)) for k, m in ways.items()]
+    return _evaluated(reduce(DataFrame.unionByName, items), names, ("way",))
 
 
 @query
@@ -574,13 +688,13 @@ def ctc_collapse(spark, d):
 
 @query
 def mean_confidence_char(spark, d):
-    c = V.confidences(spark, d).groupBy((F.col("vec_id") % 50).alias("g")).agg(F.collect_list(F.slice("conf", F.lit(1), (F.col("vec_id") % 8).cast("int"))).alias("c"))
+    c = V.confidences(spark, d).groupBy((F.col("vec_id") % 50).alias("g")).agg(F.collect_list("conf").alias("c"))
     return c.select("g", F.round(X.mean_of_characters(F.col("c")), 6).alias("mean_confidence"))
 
 
 @query
 def mean_confidence_fragment(spark, d):
-    c = V.confidences(spark, d).groupBy((F.col("vec_id") % 50).alias("g")).agg(F.collect_list(F.slice("conf", F.lit(1), (F.col("vec_id") % 8).cast("int"))).alias("c"))
+    c = V.confidences(spark, d).groupBy((F.col("vec_id") % 50).alias("g")).agg(F.collect_list("conf").alias("c"))
     return c.select("g", F.round(X.mean_of_fragments(F.col("c")), 6).alias("mean_confidence"))
 
 
@@ -608,6 +722,12 @@ def sweep_metrics(spark, d):
     return rows.select("combo", "iou_floor", "shift", *[r9(c).alias(c) for c in ("plane_recall", "curved_recall", "recall", "precision", "hmean")], "n_pred")
 
 
+@query
+def sweep_first(spark, d):
+    """The five combinations with the best recall."""
+    return sweep.first_rows(_swept(spark, d), 5).select("rank", "combo", r9("recall").alias("recall"))
+
+
 @query
 def constrained_pick(spark, d):
     return sweep.pick(_swept(spark, d), 0.3).select("combo", "iou_floor", "shift", r9("plane_recall").alias("plane_recall"))
@@ -635,11 +755,11 @@ def hash_sample(spark, d):
 @query
 def archive_roundtrip(spark, d):
     """Predictions written to an archive and one run of it read again."""
-    p = V.predictions(spark, d).join(V.confidences(spark, d), F.col("p_partkey") == F.col("vec_id"))
+    p = V.predictions(spark, d).join(V.confidences(spark, d), F.col("p_partkey") == F.col("vec_id"), "left").withColumn("conf", F.coalesce("conf", F.array().cast("array<double>")))
     rows = p.select(F.col("p_partkey").cast("string").alias("crop"), "gt", "pred", F.col("conf").alias("char_confidences"), X.mean_of_characters(F.array("conf")).alias("mean_confidence"))
     path = Stored(spark, "archive").root
     sinks.archive(rows, path, "run-a")
-    sinks.archive(rows.limit(3), path, "run-b")
+    sinks.archive(rows.withColumn("pred", F.lit("")), path, "run-b")
     return labels.read_archive(spark, path, "run-a").select("crop", "gt", "pred", F.size("char_confidences").alias("n_conf"), F.round("mean_confidence", 6).alias("mean_confidence"))
 
 

@@ -17,7 +17,7 @@ BOXES = """boxes as (select 'img_' || l_orderkey || '.jpg' as image, box_index,
     case when (l_partkey + l_linenumber) % 31 = 0 then ' ' when (l_partkey + l_linenumber) % 7 = 0 then replace(p_brand || ' ' || p_name, ' ', '') else p_brand || ' ' || p_name end as transcription,
     l_quantity * 8 as x0, box_index * 15.0::double as y0, l_quantity * 8 + (40 + l_suppkey % 50) as x1, box_index * 15.0::double + 20.0::double as y1,
     l_partkey % 17 = 0 as is_curved, l_returnflag = 'R' as difficult, (40 + l_suppkey % 50)::int as w, (l_linenumber * 3 - 2)::int as h,
-    l_linenumber <> 7 as found, l_discount * 400 as dx, l_tax * 100 as dy
+    l_linenumber <> 7 as found, l_discount * 400 as dx, l_tax * 100 as dy, l_partkey
     from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as box_index from lineitem) join part on p_partkey = l_partkey),
 predicted as (select image, box_index as pred_index, x0 + dx as x0, y0 + dy as y0, x1 + dx as x1, y1 + dy as y1 from boxes where found)"""
 
@@ -180,7 +180,57 @@ rates as (select combo, iou_floor, shift, coalesce(tpp, 0) / gtp as plane_recall
     from combos left join tp using (combo), gt, (select count(*) as n_pred from predicted))"""
 )
 
-CONF = "conf as (select vec_id % 50 as g, list_transform(embedding[1:vec_id % 8], lambda x: abs(x::double)) as c from embeddings)"
+CONF = "conf as (select vec_id % 50 as g, list_transform(embedding, lambda x: abs(x::double)) as c from embeddings)"
+
+# Outlines: of curved boxes the lower left quarter is cut out, so they are one or two rectangles.
+SHAPES = (
+    BOXES
+    + """,
+outlines as (select image, box_index as i, is_curved, x0, y0, x1, y1 from boxes),
+moved as (select image, box_index as i, is_curved, x0 + dx as x0, y0 + dy as y0, x1 + dx as x1, y1 + dy as y1 from boxes where found),
+gq as (select image, i, x0 as a, y0 as b, x1 as c, case when is_curved then (y0 + y1) / 2 else y1 end as d from outlines union all select image, i, (x0 + x1) / 2, (y0 + y1) / 2, x1, y1 from outlines where is_curved),
+pq as (select image, i, x0 as a, y0 as b, x1 as c, case when is_curved then (y0 + y1) / 2 else y1 end as d from moved union all select image, i, (x0 + x1) / 2, (y0 + y1) / 2, x1, y1 from moved where is_curved),
+crossings as (select g.image, g.i as gi, p.i as pi, sum((least(g.c, p.c) - greatest(g.a, p.a)) * (least(g.d, p.d) - greatest(g.b, p.b))) as inter
+    from gq g join pq p on g.image = p.image and least(g.c, p.c) > greatest(g.a, p.a) and least(g.d, p.d) > greatest(g.b, p.b) group by all),
+ga as (select image, i, sum((c - a) * (d - b)) as area from gq group by all),
+pa as (select image, i, sum((c - a) * (d - b)) as area from pq group by all),
+pairs as (select c.image, gi, pi, inter, round(inter / (g.area + p.area - inter), 9) as iou, round(inter / p.area, 9) as inside
+    from crossings c join ga g on g.image = c.image and g.i = c.gi join pa p on p.image = c.image and p.i = c.pi)"""
+)
+
+CORNERS = """case when is_curved then [{'x': x0, 'y': y0}, {'x': x1, 'y': y0}, {'x': x1, 'y': y1}, {'x': (x0 + x1) / 2, 'y': y1}, {'x': (x0 + x1) / 2, 'y': (y0 + y1) / 2}, {'x': x0, 'y': (y0 + y1) / 2}]
+    else [{'x': x0, 'y': y0}, {'x': x1, 'y': y0}, {'x': x1, 'y': y1}, {'x': x0, 'y': y1}] end"""
+
+MIDDLES = f"""gc as (select *, list_avg(list_transform(c, lambda q: q.x)) as cx, list_avg(list_transform(c, lambda q: q.y)) as cy from (select image, i, {CORNERS} as c from outlines)),
+axes as (select image, i, cos(angle) as ux, sin(angle) as uy from (select image, i, 0.5 * atan2(2 * list_sum(list_transform(c, lambda q: (q.x - cx) * (q.y - cy))),
+    list_sum(list_transform(c, lambda q: (q.x - cx) * (q.x - cx))) - list_sum(list_transform(c, lambda q: (q.y - cy) * (q.y - cy)))) as angle from gc)),
+pc as (select image, i, list_avg(list_transform(c, lambda q: q.x)) as cx, list_avg(list_transform(c, lambda q: q.y)) as cy from (select image, i, {CORNERS} as c from moved))"""
+
+# What is read in the regions, and the boxes with their serials.
+READINGS = f"""readings as (select image, box_index as pi, case when k % 11 <> 0 and k % 13 = 0 then reverse(t) else t end as text
+    from (select image, box_index, l_partkey + box_index as k, upper(case when (l_partkey + box_index) % 5 = 0 then substr(transcription, 2) else transcription end) as t from boxes where found)),
+items as (select image, box_index as gi, upper(transcription) as gt, upper(transcription) as rep, is_curved, l_partkey % 3 = 0 as seen from boxes),
+serials as (select distinct rep as serial from items)"""
+
+
+def cuts(margins: str) -> str:
+    """The best cut of each chain by its segments' scores: best sums and last cuts by end, then back from the last end."""
+    return f"""{SEGMENTS}, {near('segments', 'text', 1)},
+scored as (select chain_id, margin, i, j, text, (score - case when j - i > 1 then margin else 0 end) * length(replace(text, ' ', '')) as worth from segments join near on pred = text, (select unnest({margins})::double as margin)),
+ends as (select chain_id, margin, j, list(worth order by i) as w from scored group by all),
+walk as (select chain_id, margin, 0 as j, [0.0::double] as best, [0] as cut from (select distinct chain_id, margin from scored)
+    union all select e.chain_id, e.margin, e.j, list_append(best, r.g), list_append(cut, r.i::int) from walk v join ends e on e.chain_id = v.chain_id and e.margin = v.margin and e.j = v.j + 1,
+    lateral (select list_reduce(list_transform(range(e.j), lambda i: {{'g': best[i + 1] + w[i + 1], 'i': i}}), lambda a, x: case when x.g >= a.g - 1e-9 then x else a end) as r)),
+back as (select chain_id, margin, cut, j, cut[j + 1] as i from walk where len(cut) = j + 1 and not exists (select 1 from ends e where e.chain_id = walk.chain_id and e.j > walk.j)
+    union all select chain_id, margin, cut, i, cut[i + 1] from back where i > 0),
+parts as (select b.chain_id, b.margin, (row_number() over (partition by b.chain_id, b.margin order by b.i) - 1)::int as seg, b.i, b.j, s.text from back b join scored s using (chain_id, margin, i, j) where b.j > 0)"""
+
+
+RECOGNISERS = PREDICTIONS + """,
+recognisers as (select p_partkey, gt, rep, is_curved, seen, model, case model when 'small' then pred when 'medium' then case when p_partkey % 8 < 3 then pred else gt end else case when p_partkey % 16 = 1 then pred else gt end end as pred
+    from predictions, (select unnest(['small', 'medium', 'large']) as model))"""
+
+LOOK_ALIKES = "('8', 'B', '5', 'S', '0', 'O', '1', 'I', '2', 'Z')"
 
 
 def ablation() -> str:
@@ -198,8 +248,45 @@ HITS = f"{TOP5}, {hit('predictions')}"
 HITS_DETECTED = f"{TOP5}, {hit('predictions', 'detected')}"
 
 
+def models() -> str:
+    """Metrics by slice of each recogniser."""
+    each = [sliced(f"(select * from hits where model = '{m}')", f"'{m}' as model, {METRIC_TOP}", {"kind": KIND, "seen": SEEN}) for m in ("small", "medium", "large")]
+    return f"with {RECOGNISERS}, {near('recognisers', 'pred', 5)}, {hit('recognisers')} {' union all '.join(each)}"
+
+
+def end_to_end() -> str:
+    source = f"{PAIRS}, {READINGS}, {greedy('(select * from pairs where iou >= 0.5)')}, found as (select i.*, coalesce(r.text, '') as pred, m.pi is not null as detected from items i left join matched m using (image, gi) left join readings r on r.image = i.image and r.pi = m.pi)"
+    top = f"count(*) as n, {SHARE.format('detected')} as det_recall, {SHARE.format('hit1')} as top1, {SHARE.format('hit5')} as top5, count(*) filter (not detected) as fail_detection, count(*) filter (detected and not hit5) as fail_recognition, count(*) filter (detected and hit5) as hits"
+    return f"with recursive {source}, {near('found', 'pred', 5)}, {hit('found', 'detected')} {sliced('hits', top, {'kind': KIND, 'seen': SEEN, 'tokens': TOKENS, 'length': BIN.format('gt')})}"
+
+
+def token_merge() -> str:
+    source = f"""{PAIRS}, {READINGS}, held as (select p.image, p.gi, count(*) as n, upper(trim(string_agg(r.text, ' ' order by round(case when g.x1 - g.x0 >= g.y1 - g.y0 then (q.x0 + q.x1) / 2 else (q.y0 + q.y1) / 2 end, 9), p.pi))) as text
+        from pairs p join predicted q on q.image = p.image and q.pred_index = p.pi join boxes g on g.image = p.image and g.box_index = p.gi join readings r on r.image = p.image and r.pi = p.pi where p.inside >= 0.5 group by p.image, p.gi),
+found as (select i.*, coalesce(n, 0) as n, coalesce(text, '') as pred from items i left join held using (image, gi))"""
+    top = f"count(*) as n, {SHARE.format('n > 0')} as coverage, round(avg(n::double), 9) as avg_fragments, {SHARE.format('hit1')} as top1, {SHARE.format('hit5')} as top5"
+    return f"with {source}, {near('found', 'pred', 5)}, {hit('found', "s.pred <> ''")} {sliced('hits', top, {'kind': KIND, 'seen': SEEN, 'tokens': TOKENS, 'length': BIN.format('gt')})}"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "shape_pairs": f"with {SHAPES} select image, gi, pi, iou, inside from pairs where iou >= 0.5",
+        "shape_metrics": f"""with recursive {SHAPES}, {TRUTH}, {greedy('(select * from pairs where iou >= 0.5)')}, h as (select kind, m.gi is not null as hit from truth t left join matched m on m.image = t.image and m.gi = t.gi),
+            k as (select kind, count(*) as gt, count(*) filter (hit) as tp from h group by kind), a as (select 'all' as kind, count(*) as gt, count(*) filter (hit) as tp, (select count(*) from moved) as n from h)
+            select kind, gt, tp, round(tp / gt, 9) as recall, null::double as precision, null::double as hmean, case when tp > 0 then 1.0::double else 0.0::double end as precision_matched from k
+            union all select kind, gt, tp, round(tp / gt, 9), round(tp / n, 9), round(2 * (tp / n) * (tp / gt) / (tp / n + tp / gt), 9), null from a""",
+        "shape_containment": f"""with {SHAPES}, {MIDDLES} select p.image, p.gi, string_agg(p.pi::varchar, ',' order by round(q.cx * u.ux + q.cy * u.uy, 9), p.pi) as pis
+            from pairs p join axes u on u.image = p.image and u.i = p.gi join pc q on q.image = p.image and q.i = p.pi where p.inside >= 0.5 group by p.image, p.gi""",
+        "crop_sizes": f"with {BOXES} select image, box_index::int as box_index, floor(x1 - x0)::int as w, floor(y1 - y0)::int as h from boxes",
+        "end_to_end": end_to_end(),
+        "token_merge": token_merge(),
+        "model_comparison": models(),
+        "top_confusions": f"""with {RECOGNISERS}, c as (select model, substr(gt, i, 1) as g, substr(pred, i, 1) as p from (select model, gt, pred, unnest(range(1, length(gt) + 1)) as i from recognisers where length(gt) = length(pred))),
+            n as (select model, g as gt_char, p as pred_char, count(*) as n from c where g <> p and g in {LOOK_ALIKES} and p in {LOOK_ALIKES} group by all)
+            select *, (row_number() over (partition by model order by n desc, gt_char, pred_char))::int as rank from n qualify rank <= 8""",
+        "db_guided_merge": f"with recursive {cuts('[0.0]')} select chain_id, seg, i, j, text from parts",
+        "margin_sweep": f"with recursive {cuts('[0.0, 0.02, 0.05, 0.1, 0.2, 0.5, 0.9]')} select margin, count(*) as parts, count(distinct chain_id) as chains from parts group by margin",
+        "sweep_first": f"with recursive {SWEPT} select (row_number() over (order by rates.recall desc, combo))::int as rank, combo, round(rates.recall, 9) as recall from rates qualify rank <= 5",
         "label_scan_flatten": f"with {BOXES} select image, box_index::int as box_index, transcription, difficult, case when is_curved then 6 else 4 end as n_points, is_curved, round(x0, 9) as x0 from boxes",
         "detection_lines_round_trip": f"with {BOXES} select image, count(*) as boxes, sum(length(transcription))::bigint as chars, count(*) filter (difficult) as difficult from boxes group by image",
         "normalize_labels": f"with {PARTS} select p_partkey, label_original, label, key as space_key from parts",
@@ -261,8 +348,9 @@ def oracle_sql() -> dict[str, str]:
         "open_set_threshold": f"with {PREDICTIONS}, {near('predictions', 'pred', 1)} select pred, case when score >= 0.95::double then serial end as serial, score < 0.95::double as unregistered from near",
         "confidence_tiebreak": f"{TOP5}, f as (select gt as serial, count(*) as freq from predictions group by gt) select pred, serial, freq from near join f using (serial) qualify row_number() over (partition by pred order by distance, freq desc, serial) = 1",
         "space_error_rate": f"with {PREDICTIONS}, w as (select replace(upper(pred), ' ', '') = replace(upper(gt), ' ', '') and pred <> gt as wrong from predictions) select count(*) as n, count(*) filter (wrong) as space_errors, {SHARE.format('wrong')} as rate from w",
-        "confusion_matrix": f"""with {PREDICTIONS}, c as (select substr(gt, i, 1) as g, substr(pred, i, 1) as p from (select gt, pred, unnest(range(1, length(gt) + 1)) as i from predictions where p_partkey % 4 in (1, 3)))
-            select g as gt_char, p as pred_char, count(*) as n from c where g <> p and g in ('8', 'B', '5', 'S', '0', 'O', '1', 'I', '2', 'Z') and p in ('8', 'B', '5', 'S', '0', 'O', '1', 'I', '2', 'Z') group by all""",
+        # Predictions of another length lack characters and have no substitutions.
+        "confusion_matrix": f"""with {PREDICTIONS}, c as (select substr(gt, i, 1) as g, substr(pred, i, 1) as p from (select gt, pred, unnest(range(1, length(gt) + 1)) as i from predictions where length(gt) = length(pred)))
+            select g as gt_char, p as pred_char, count(*) as n from c where g <> p and g in {LOOK_ALIKES} and p in {LOOK_ALIKES} group by all""",
         "overlap_counts": f"with {BOXES}, m as (select is_curved as c, {BUCKET.format('transcription')} > 1 as m, length(transcription) > 15 as l from boxes) select count(*) filter (c and m and l) as all_three, count(*) filter (c and m) as curved_multi, count(*) filter (m and l) as multi_long from m",
         "token_alone_or_inside": f"with {PARTS}, t as (select label, unnest(string_split(label, ' ')) as token from parts) select token, count(*) filter (label = token) as alone, count(*) filter (label <> token) as inside from t where token <> '' group by token",
         "iou_pairs": f"with {PAIRS} select image, gi, pi, round(iou, 9) as iou from pairs where iou >= 0.5",
@@ -305,5 +393,5 @@ def oracle_sql() -> dict[str, str]:
             select round(s.det, 9) as det, round(s.cond, 9) as cond, round((s.det + 0.1) * s.cond, 9) as more_det, round(s.det * (s.cond + 0.1), 9) as more_cond, round(s.det * 0.856, 9) as estimate from s""",
         "exact_requirement": f"{HITS}, s as (select avg(hit5::int::double) as t from hits) select round(case when 1 - t = 0 then 0.0 else (0.95 - t) / (1 - t) end, 9) as required_exact from s",
         "hash_sample": f"with {LINES} select image from (select distinct image from lines) order by md5('0' || image) limit 60",
-        "archive_roundtrip": f"with {PREDICTIONS} select p_partkey::varchar as crop, gt, pred, len(embedding)::int as n_conf, round(list_avg(list_transform(embedding, lambda x: abs(x::double))), 6) as mean_confidence from predictions join embeddings on vec_id = p_partkey",
+        "archive_roundtrip": f"with {PREDICTIONS} select p_partkey::varchar as crop, gt, pred, coalesce(len(embedding), 0)::int as n_conf, coalesce(round(list_avg(list_transform(embedding, lambda x: abs(x::double))), 6), 0) as mean_confidence from predictions left join embeddings on vec_id = p_partkey",
     }

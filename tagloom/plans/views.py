@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tagloom.functions import text as X
 from tagloom.functions.text import normalize_text
 
 
@@ -55,6 +56,7 @@ def boxes(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("l_linenumber") != 7).alias("found"),
         (F.col("l_discount") * 400).alias("dx"),
         (F.col("l_tax") * 100).alias("dy"),
+        "l_partkey",
     )
 
 
@@ -63,6 +65,50 @@ def predicted_boxes(truth: DataFrame) -> DataFrame:
     return truth.where("found").select("image", F.col("box_index").alias("pred_index"), (F.col("x0") + F.col("dx")).alias("x0"), (F.col("y0") + F.col("dy")).alias("y0"), (F.col("x1") + F.col("dx")).alias("x1"), (F.col("y1") + F.col("dy")).alias("y1"))
 
 
+def with_corners(boxes: DataFrame) -> DataFrame:
+    """``boxes`` with their four corners as ``points``."""
+    corner = lambda x, y: F.array(F.col(x).cast("double"), F.col(y).cast("double"))
+    return boxes.withColumn("points", F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1")))
+
+
+def with_shapes(boxes: DataFrame) -> DataFrame:
+    """``boxes`` with their outlines as ``points``: of curved ones the lower left quarter is cut out."""
+    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    cut = F.array(F.array(x, F.col("y1")), F.array(x, y), F.array(F.col("x0").cast("double"), y))
+    return with_corners(boxes).withColumn("points", F.when(F.col("is_curved"), F.concat(F.slice("points", 1, 3), cut)).otherwise(F.col("points")))
+
+
+def truth(boxes: DataFrame) -> DataFrame:
+    """(image, gi, points, gt, rep, kind, seen, tokens, length) of the true boxes."""
+    text = F.upper("transcription")
+    return boxes.select("image", F.col("box_index").alias("gi"), "points", text.alias("gt"), text.alias("rep"), X.kind(F.col("is_curved")).alias("kind"), F.when(F.col("l_partkey") % 3 == 0, "seen").otherwise("unseen").alias("seen"), F.concat(F.lit("tok"), X.token_bucket(text).cast("string")).alias("tokens"), X.length_bin(text).alias("length"))
+
+
+def fragments(boxes: DataFrame) -> DataFrame:
+    """Detections of ``boxes`` as fragments, read both ways: every eleventh is upside down, every fifth is spoilt."""
+    k = F.col("l_partkey") + F.col("box_index")
+    text = F.when(k % 5 == 0, F.substring("transcription", 2, 1000)).otherwise(F.col("transcription"))
+    rows = predicted_boxes(boxes).withColumnRenamed("pred_index", "frag_index")
+    readings = boxes.where("found").select("image", F.col("box_index").alias("frag_index"), F.upper(text).alias("text"), k.alias("k"), (k % 11 == 0).alias("turned"))
+    rows = with_corners(rows).join(readings, ["image", "frag_index"])
+    back, sure = F.reverse("text"), (F.col("k") % 7 + 3) / 10
+    return rows.select(
+        "image", "frag_index", "x0", "y0", "x1", "y1", "points",
+        F.when(F.col("turned"), back).otherwise(F.col("text")).alias("text_fwd"), F.when(F.col("turned"), F.col("text")).otherwise(back).alias("text_bwd"),
+        F.array_repeat(sure, F.length("text")).alias("conf_fwd"), F.array_repeat(sure / 2, F.length("text")).alias("conf_bwd"),
+        sure.alias("score_fwd"), F.when(F.col("turned"), sure + 0.1).otherwise(sure / 2).alias("score_bwd"), (F.col("turned") | (F.col("k") % 13 == 0)).alias("cls_flip"),
+    )
+
+
+def recognisers(spark: SparkSession, folder: str) -> DataFrame:
+    """(model, p_partkey, gt, rep, pred, is_curved, seen): the codes as three recognisers read them."""
+    p = predictions(spark, folder).withColumn("rep", F.col("gt"))
+    k = F.col("p_partkey")
+    readings = {"small": F.col("pred"), "medium": F.when(k % 8 < 3, F.col("pred")).otherwise(F.col("gt")), "large": F.when(k % 16 == 1, F.col("pred")).otherwise(F.col("gt"))}
+    rows = p.select("p_partkey", "gt", "rep", "is_curved", "seen", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), c.alias("pred")) for m, c in readings.items()])).alias("r"))
+    return rows.select("r.model", "p_partkey", "gt", "rep", "r.pred", "is_curved", "seen")
+
+
 def label_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of a label file: image, tab, JSON."""
     b = boxes(spark, folder)

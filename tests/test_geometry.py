@@ -1,79 +1,139 @@
+"""Polygons of any shape against areas known by construction or by sampling, and grouping by geometry."""
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tagloom.functions import geometry as G
 from tagloom.operators import detection as D
-from tagloom.operators.grouping import group_kernel
+from tagloom.operators import grouping
+
+
+def box(x, y, w, h):
+    return [[x, y], [x + w, y], [x + w, y + h], [x, y + h]]
+
+
+def spun(points, degrees, about=(0.0, 0.0)):
+    c, s = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+    return ((np.array(points, float) - about) @ np.array([[c, s], [-s, c]]) + about).tolist()
+
+
+ELL = [[0, 0], [6, 0], [6, 2], [2, 2], [2, 6], [0, 6]]
+COMB = [[0, 0], [9, 0], [9, 5], [7, 5], [7, 1], [5, 1], [5, 5], [4, 5], [4, 1], [2, 1], [2, 5], [0, 5]]
+
+
+def rows(spark, polygons, index):
+    return spark.createDataFrame([("p", k, [[float(x), float(y)] for x, y in q]) for k, q in enumerate(polygons)], f"image string, {index} int, points array<array<double>>")
+
+
+@pytest.mark.parametrize("degrees", [0, 17, 90, 203])
+def test_common_areas(degrees):
+    pairs = [(ELL, box(1, 1, 4, 4), 7.0), (ELL, [[6, 6], [0, 6], [0, 4], [4, 4], [4, 0], [6, 0]], 8.0), (COMB, box(0, 2, 9, 1), 5.0), (COMB, COMB, 29.0), (ELL, box(3, 3, 2, 2), 0.0), (box(0, 0, 4, 4), box(1, 1, 1, 1), 1.0)]
+    for a, b, want in pairs:
+        for p, q in ((a, b), (b, a), (a[::-1], b)):
+            assert abs(G.overlap(np.array(spun(p, degrees)), np.array(spun(q, degrees))) - want) < 1e-9
+
+
+def test_common_areas_of_random_shapes():
+    """Stars around a point, many at once, against a grid of points."""
+    rng = np.random.default_rng(3)
+    star = lambda: [[float(r * np.cos(t) + x), float(r * np.sin(t) + y)] for x, y in [rng.uniform(-0.4, 0.4, 2)] for t, r in zip(np.arange(9) * 2 * np.pi / 9, rng.uniform(0.3, 1.2, 9), strict=True)]
+    a, b = [star() for _ in range(12)], [star() for _ in range(12)]
+    at = np.arange(13) * 9
+    common, area, _ = G.overlaps((np.array(a).reshape(-1, 2), at), (np.array(b).reshape(-1, 2), at), most=60)
+    g = np.linspace(-2, 2, 801)
+    px, py = np.meshgrid(g, g)
 
+    def inside(p):
+        out = np.zeros(px.shape, bool)
+        for (x0, y0), (x1, y1) in zip(p, p[1:] + p[:1], strict=True):
+            cut = (y0 > py) != (y1 > py)
+            out ^= cut & (px < (x1 - x0) * (py - y0) / (y1 - y0 + 1e-300) + x0)
+        return out
 
-def q(x0, y0, x1, y1):
-    return [[x0, y0], [x1, y0], [x1, y1], [x0, y1]]
+    for k in range(12):
+        assert abs(common[k] - (inside(a[k]) & inside(b[k])).mean() * 16.04) < 0.02 and abs(area[k] - abs(G.np_area(np.array(a[k])))) < 1e-9
 
 
-def turned(box, degrees, about):
-    a = np.radians(degrees)
-    r = np.array([[np.cos(a), -np.sin(a)], [np.sin(a), np.cos(a)]])
-    return ((np.array(box, float) - about) @ r.T + about).tolist()
+def test_crossing_outlines():
+    """Of a bow tie the loop that turns like the whole counts; degenerate outlines have no area."""
+    tie = [[0, 0], [6, 6], [6, 0], [0, 4]]
+    loops = G.simple_loops(np.array(tie, float))
+    assert len(loops) == 1 and abs(G.overlap(np.array(tie), np.array(box(-9, -9, 99, 99))) - abs(G.np_area(loops[0]))) < 1e-9
+    assert abs(abs(G.np_area(loops[0])) - 10.8) < 1e-9
+    assert G.simple_loops(np.array(ELL))[0].tolist() == ELL
+    assert G.overlap(np.array([[0, 0], [5, 5]]), np.array(ELL)) == G.overlap(np.array([[1, 1]] * 4), np.array(ELL)) == 0
+    assert G.iou(np.array([[1, 1]] * 4), np.array([[1, 1]] * 4)) == 0
 
 
-def test_kernels():
-    assert abs(G.iou(np.array(q(0, 0, 10, 10)), np.array(q(0, 0, 10, 10))) - 1) < 1e-12
-    assert G.iou(np.array(q(0, 0, 10, 10)), np.array(q(7, 0, 17, 10))) < 0.5
-    assert abs(G.overlap(np.array(turned(q(0, 0, 10, 10), 30, (5, 5))), np.array(turned(q(5, 0, 15, 10), 30, (5, 5)))) - 50) < 1e-9
-    G.iou(np.array([[0, 0], [10, 10], [10, 0], [0, 10]]), np.array(q(0, 0, 10, 10)))
-    centre, u, length, height = G.min_area_rect(np.array(turned(q(0, 0, 40, 10), 45, (0, 0))))
-    assert abs(length - 40) < 1e-9 and abs(height - 10) < 1e-9 and u[0] > 0
-    assert abs(G.principal_axis(np.array(q(0, 0, 50, 300)))[1] - 1) < 1e-9
+def test_rectangles_around_points():
+    centre, u, length, height = G.min_area_rect(np.array(spun(box(2, 3, 50, 8), 30, (27, 7))))
+    assert np.allclose(centre, (27, 7)) and abs(length - 50) < 1e-9 and abs(height - 8) < 1e-9 and abs(u[0] - np.cos(np.pi / 6)) < 1e-9
 
 
-def matches(spark, truth, predicted):
-    rows = lambda ps, index: spark.createDataFrame([("a", k, p) for k, p in enumerate(ps)], f"image string, {index} int, points array<array<double>>")
-    f = lambda ps: [[[float(x), float(y)] for x, y in p] for p in ps]
-    pairs = D.polygon_pairs(rows(f(truth), "box_index"), rows(f(predicted), "pred_index"))
-    return {r.gi: r.pi for r in D.greedy_match(pairs).collect()}
+def test_axes_and_sizes(spark):
+    df = rows(spark, [box(0, 0, 9, 2), box(0, 0, 2, 9), spun(box(0, 0, 20, 3), 25), [[0, 0], [7.9, 0], [7.9, 3.2], [0, 3.2]]], "box_index")
+    ux, uy = G.principal_axis(F.col("points"))
+    got = {r.box_index: r for r in df.select("box_index", ux.alias("x"), uy.alias("y"), G.crop_size(F.col("points")).alias("s")).collect()}
+    assert got[0].x == 1 and abs(got[1].y - 1) < 1e-12 and abs(got[2].y - np.sin(np.radians(25))) < 1e-9
+    assert (got[3].s.w, got[3].s.h) == (7, 3) and (got[1].s.w, got[1].s.h) == (2, 9)
 
 
-def test_greedy_matching(spark):
-    assert matches(spark, [q(0, 0, 10, 10)], [q(0, 0, 10, 10)]) == {0: 0}
-    assert matches(spark, [q(0, 0, 10, 10)], [q(7, 0, 17, 10)]) == {}
-    assert len(matches(spark, [q(0, 0, 10, 10), q(0, 0, 11, 11)], [q(0, 0, 10, 10)])) == 1
-    assert matches(spark, [q(0, 0, 10, 10)], [q(0, 0, 8, 10), q(0, 0, 10, 10)]) == {0: 1}
-    assert matches(spark, [[[0, 0], [10, 10], [10, 0], [0, 10]]], [q(0, 0, 10, 10)]) is not None
+def test_pairs_and_matches(spark):
+    """Overlaps of outlines as joins: shares of both sides, and nothing where only the bounds meet."""
+    truth, found = [ELL, box(20, 0, 10, 4), box(40, 0, 4, 4)], [box(3, 3, 2, 2), box(0, 0, 2, 6), box(21, 0, 10, 4), box(20, 0, 8, 4), [[40, 0], [44, 4], [44, 0], [40, 4]]]
+    pairs = D.polygon_pairs(rows(spark, truth, "box_index"), rows(spark, found, "pred_index"))
+    got = {(r.gi, r.pi): (round(r.inter, 9), round(r.inside, 9)) for r in pairs.collect()}
+    assert got[0, 1] == (12.0, 1.0) and got[1, 2] == (36.0, 0.9) and got[1, 3] == (32.0, 1.0) and (0, 0) not in got and 0 < got[2, 4][0] <= 4
+    matched = D.greedy_match(pairs).collect()
+    assert {(r.gi, r.pi) for r in matched} >= {(0, 1), (1, 2)} and all(r.gi != 1 or r.pi == 2 for r in matched)
+    assert D.polygon_pairs(rows(spark, [], "box_index"), rows(spark, found, "pred_index")).count() == 0
 
 
-def test_polygons_agree_with_boxes(spark):
-    boxes = spark.range(40).select(F.lit("a").alias("image"), F.col("id").cast("int").alias("box_index"), (F.col("id") * 7 % 23).cast("double").alias("x0"), (F.col("id") * 5 % 19).cast("double").alias("y0"))
-    boxes = boxes.withColumn("x1", F.col("x0") + 9).withColumn("y1", F.col("y0") + 6)
-    shifted = boxes.select("image", F.col("box_index").alias("pred_index"), *[(F.col(c) + 1.5).alias(c) for c in ("x0", "y0", "x1", "y1")])
+def test_upright_boxes_agree(spark):
+    df = spark.range(60).select(F.lit("p").alias("image"), F.col("id").cast("int").alias("box_index"), (F.col("id") * 11 % 31).cast("double").alias("x0"), (F.col("id") * 13 % 29).cast("double").alias("y0"))
+    df = df.withColumn("x1", F.col("x0") + 6 + F.col("box_index") % 5).withColumn("y1", F.col("y0") + 4)
+    other = df.select("image", F.col("box_index").alias("pred_index"), *[(F.col(c) + 0.75).alias(c) for c in ("x0", "y0", "x1", "y1")])
     corner = lambda x, y: F.array(F.col(x), F.col(y))
     points = F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1")).alias("points")
-    a = {(r.gi, r.pi): round(r.iou, 9) for r in D.box_pairs(boxes, shifted).collect()}
-    b = {(r.gi, r.pi): round(r.iou, 9) for r in D.polygon_pairs(boxes.select("image", "box_index", points), shifted.select("image", "pred_index", points)).collect()}
-    assert a == b and a
-
-
-def test_grouping():
-    assert group_kernel([q(0, 0, 100, 40), q(120, 0, 220, 40)], 0.6) == [[0, 1]]
-    assert group_kernel([q(0, 0, 100, 40), q(120, 0, 220, 40)], 0.0) == [[0], [1]]
-    assert group_kernel([q(0, 0, 100, 40), q(0, 100, 100, 140)], 3.0) == [[0], [1]]
-    assert group_kernel([q(120, 0, 220, 40), q(0, 0, 100, 40)], 1.0) == [[1, 0]]
-    assert len(group_kernel([turned(q(0, 90, 100, 130), 45, (100, 100)), turned(q(120, 90, 220, 130), 45, (100, 100))], 0.6)) == 1
-    assert len(group_kernel([q(0, 0, 100, 40), turned(q(110, 0, 210, 40), 90, (160, 20))], 1.0)) == 2
-    assert group_kernel([], 1.0) == []
-    assert group_kernel([q(0, 0, 100, 40), q(120, 0, 220, 40)], 0.6, [True, True]) == [[1, 0]]
-    assert group_kernel([q(0, 0, 100, 40), q(120, 0, 220, 40)], 3.0, [False, True]) == [[0], [1]]
-
-
-def test_containment(spark):
-    def inside(truth, predicted):
-        g = spark.createDataFrame([("a", 0, *map(float, truth))], "image string, box_index int, x0 double, y0 double, x1 double, y1 double")
-        p = spark.createDataFrame([("a", k, *map(float, b)) for k, b in enumerate(predicted)], "image string, pred_index int, x0 double, y0 double, x1 double, y1 double")
-        pairs = D.box_pairs(g, p).join(p.select(F.col("pred_index").alias("pi"), ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy")), "pi")
-        rows = D.containment(pairs, g.withColumnRenamed("box_index", "gi")).collect()
-        return rows[0].pis if rows else []
-
-    wide = (0, 0, 300, 50)
-    assert inside(wide, [(210, 5, 290, 45), (10, 5, 90, 45), (110, 5, 190, 45)]) == [1, 2, 0]
-    assert inside(wide, [(400, 5, 480, 45)]) == [] and inside(wide, [(280, 5, 380, 45)]) == []
-    assert inside(wide, [(10, 20, 40, 30)]) == [0]
-    assert inside((0, 0, 50, 300), [(5, 210, 45, 290), (5, 10, 45, 90)]) == [1, 0]
+    key = lambda r: (r.gi, r.pi, round(r.inter, 9), round(r.iou, 9), round(r.inside, 9))
+    assert sorted(map(key, D.box_pairs(df, other).collect())) == sorted(map(key, D.polygon_pairs(df.select("image", "box_index", points), other.select("image", "pred_index", points)).collect()))
+
+
+def held(spark, truth, found):
+    g, p = rows(spark, [truth], "gi"), rows(spark, found, "pi")
+    out = D.containment(D.polygon_pairs(g, p, "gi", "pi"), g, p).collect()
+    return out[0].pis if out else []
+
+
+@pytest.mark.parametrize("degrees", [0, 35, 90])
+def test_regions_inside(spark, degrees):
+    """Regions inside a line come in the order of its axis, whatever way it lies."""
+    line = spun(box(0, 0, 60, 8), degrees)
+    assert held(spark, line, [spun(box(x, 1, 9, 6), degrees) for x in (44, 2, 23)]) == [1, 2, 0]
+    assert held(spark, line, [spun(box(55, 1, 9, 6), degrees), spun(box(57, 1, 9, 6), degrees), spun(box(90, 1, 9, 6), degrees)]) == [0]
+
+
+def test_groups_of_polygons():
+    three = [box(0, 0, 30, 10), box(33, 1, 20, 10), box(58, 0, 30, 10)]
+    assert grouping.group_kernel(three, 0.6) == [[0, 1, 2]] and grouping.group_kernel(three, 0.4) == [[0, 1], [2]] and grouping.group_kernel(three, 0.1) == [[0], [1], [2]]
+    assert grouping.group_kernel(three[::-1], 0.6) == [[2, 1, 0]]
+    assert grouping.group_kernel([spun(p, 60) for p in three], 0.6) == [[0, 1, 2]]
+    assert grouping.group_kernel(three, 0.6, [True] * 3) == [[2, 1, 0]] and grouping.group_kernel(three, 9.0, [False, True, False]) == [[0, 2], [1]]
+    assert grouping.group_kernel([box(0, 0, 30, 10), box(0, 8, 30, 10)], 9.0) == [[0], [1]] and grouping.group_kernel([], 1.0) == []
+
+
+def test_folded_groups_agree_with_the_kernel(spark):
+    rng = np.random.default_rng(8)
+    boxes = [(f"i{k % 7}", k, float(rng.integers(0, 300)), float(rng.integers(0, 40)), float(rng.integers(5, 60)), float(rng.integers(4, 14))) for k in range(140)]
+    df = spark.createDataFrame([(i, k, x, y, x + w, y + h, False) for i, k, x, y, w, h in boxes], "image string, frag_index int, x0 double, y0 double, x1 double, y1 double, flipped boolean")
+    got = {}
+    for r in grouping.groups(grouping.box_geometry(df), 0.5).collect():
+        got.setdefault((r.image, r.g), []).append((r.pos, r.frag_index))
+    want = {}
+    for image in {b[0] for b in boxes}:
+        own = [b for b in boxes if b[0] == image]
+        for members in grouping.group_kernel([box(*b[2:]) for b in own], 0.5):
+            names = [own[m][1] for m in members]
+            want[image, min(names)] = list(enumerate(names))
+    assert {k: sorted(v) for k, v in got.items()} == want and any(len(v) > 2 for v in want.values())
