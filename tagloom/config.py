@@ -1,9 +1,6 @@
 """Named constants of the label-recognition domain."""
 
 # Fixed values.
-REC_IMAGE_SHAPE = (3, 64, 256)
-REC_SEQ_LEN = 64
-MAX_TEXT_LENGTH = 40
 CONFUSABLE_PAIRS = ("8B", "5S", "0O", "1I", "2Z")
 IDENTIFYING_MIN_LEN = 5
 SPLIT_SEED = 42
@@ -16,7 +13,6 @@ ANGLE_TOLERANCE_DEGREES = 20.0
 OFFSET_RATIO = 0.7
 CANDIDATE_GAP = 1.5
 FLIP_POLICIES = ("none", "classifier", "confidence")
-PRECISION_FLOOR = 0.565
 CONDITIONAL_RECOGNITION = 0.856
 EXTRA_CHANNELS = 2  # the space and the blank
 EPSILON = 1e-9

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.checkpoints import Stored
 from tagloom.functions.text import has_digit, has_lowercase, normalize_text, token_spans
 
 
@@ -62,22 +63,54 @@ def records(boxes: DataFrame, text: str = "transcription") -> DataFrame:
     return boxes.withColumn("label_original", F.col(text)).withColumn("label", label).withColumn("tokens", token_spans(label)).drop(text)
 
 
+def percentiles(rows: DataFrame, value: Column, points: dict[str, float]) -> DataFrame:
+    """One row of exact percentiles by name, interpolated between neighbours; null over no rows.
+
+    Values are counted by key and dealt by range; only one total a partition meets in one place, so that each
+    partition knows the rank of its first value.
+    """
+    store = Stored(rows.sparkSession, "percentiles")
+    counts = rows.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("c"))
+    counts = store.put(counts.repartitionByRange("v").select("v", "c", F.spark_partition_id().alias("part")), "counts")
+    parts = counts.groupBy("part").agg(F.sum("c").alias("n"))
+    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    placed = counts.join(F.broadcast(parts), "part")  # one row a partition
+    placed = placed.withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("part").orderBy("v")))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("upto") - F.col("c") <= rank) & (rank < F.col("upto")), F.col("v")))
+
+    out = []
+    for name, p in points.items():
+        place = F.lit(p) * (F.col("total") - 1)
+        low, high, share = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+        out.append((low + share * (high - low)).alias(name))
+    return placed.agg(*out)
+
+
 def build_stats(rows: DataFrame) -> DataFrame:
     """Totals of the kept boxes, with exact percentiles of the crops' aspect ratios."""
     aspect = F.col("crop_size.w") / F.col("crop_size.h")
-    points = F.percentile(aspect, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return rows.agg(
+    totals = rows.agg(
         F.count_distinct("image").alias("images"),
         F.count("*").alias("boxes"),
         F.count_if("is_curved").alias("curved"),
         F.count_if(F.size("tokens") > 1).alias("multi_token"),
         F.max(F.length("label")).alias("max_length"),
         F.avg(aspect).alias("aspect_mean"),
-        points[0].alias("aspect_p05"),
-        points[1].alias("aspect_p50"),
-        points[2].alias("aspect_p95"),
         F.max(aspect).alias("aspect_max"),
     )
+    return totals.join(percentiles(rows, aspect, {"aspect_p05": 0.05, "aspect_p50": 0.5, "aspect_p95": 0.95}))
+
+
+def sorted_list(rows: DataFrame, column: str) -> DataFrame:
+    """Distinct values in ascending order."""
+    return rows.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
+
+
+def most_common(counts: DataFrame, key: str, n: int) -> DataFrame:
+    """The ``n`` keys with the largest counts, most common first; equal counts by key."""
+    return counts.orderBy(F.desc("n"), key).limit(n)
 
 
 def resolution_histogram(rows: DataFrame) -> DataFrame:

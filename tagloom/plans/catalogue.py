@@ -84,6 +84,17 @@ def char_histogram(spark, d):
     return profile.char_histogram(V.boxes(spark, d))
 
 
+@query
+def common_chars(spark, d):
+    """The twelve most common characters, most common first."""
+    return profile.most_common(profile.char_histogram(V.boxes(spark, d)), "char", 12)
+
+
+@query
+def serial_list(spark, d):
+    return profile.sorted_list(V.serials(spark, d), "serial")
+
+
 @query
 def length_histogram(spark, d):
     return profile.length_histogram(V.boxes(spark, d))
@@ -620,8 +631,10 @@ def group_archive(spark, d):
     items = Stored(spark, "grouped").put(items, "items")
     ranked = _evaluated(items, names, ("policy", "gap"), ()).orderBy(F.desc("top5"), "policy", "gap").first()
     best = items.where((F.col("policy") == ranked.policy) & (F.col("gap") == ranked.gap))
-    path = Stored(spark, "archive").root
+    store = Stored(spark, "archive")
+    path = store.root
     sinks.archive(best.select(X.crop_name(F.col("image"), F.col("gi")).alias("crop"), "gt", "pred", F.col("conf").alias("char_confidences"), "mean_confidence"), path, "groups")
+    store.until_exit()
     again = labels.read_archive(spark, path, "groups")
     return again.select("crop", "gt", "pred", F.size("char_confidences").alias("n_conf"), r9("mean_confidence").alias("mean_confidence"))
 
@@ -757,9 +770,11 @@ def archive_roundtrip(spark, d):
     """Predictions written to an archive and one run of it read again."""
     p = V.predictions(spark, d).join(V.confidences(spark, d), F.col("p_partkey") == F.col("vec_id"), "left").withColumn("conf", F.coalesce("conf", F.array().cast("array<double>")))
     rows = p.select(F.col("p_partkey").cast("string").alias("crop"), "gt", "pred", F.col("conf").alias("char_confidences"), X.mean_of_characters(F.array("conf")).alias("mean_confidence"))
-    path = Stored(spark, "archive").root
+    store = Stored(spark, "archive")
+    path = store.root
     sinks.archive(rows, path, "run-a")
     sinks.archive(rows.withColumn("pred", F.lit("")), path, "run-b")
+    store.until_exit()
     return labels.read_archive(spark, path, "run-a").select("crop", "gt", "pred", F.size("char_confidences").alias("n_conf"), F.round("mean_confidence", 6).alias("mean_confidence"))
 
 

@@ -296,6 +296,8 @@ def oracle_sql() -> dict[str, str]:
         "charset": f"with {BOXES} select distinct char from (select unnest(string_split(upper(transcription), '')) as char from boxes) where char not in ('', ' ')",
         "dictionary_size": f"with {BOXES} select count(*) as chars, count(*) + 2 as out_channels from (select distinct char from (select unnest(string_split(upper(transcription), '')) as char from boxes) where char not in ('', ' '))",
         "char_histogram": f"with {BOXES} select char, count(*) as n from (select unnest(string_split(transcription, '')) as char from boxes) where char <> '' group by char",
+        "common_chars": f"with {BOXES} select char, count(*) as n from (select unnest(string_split(transcription, '')) as char from boxes) where char <> '' group by char order by n desc, char limit 12",
+        "serial_list": f"with {PREDICTIONS} select serial from serials",
         "length_histogram": f"with {BOXES} select length(transcription)::int as length, count(*) as n from boxes group by 1",
         "box_profile": f"""with {BOXES} select count(distinct image) as images, count(*) as boxes, round(count(*) / count(distinct image), 9) as boxes_per_image, count(distinct transcription) as unique_texts,
             count(*) filter (is_curved) as curved_boxes, count(distinct image) filter (is_curved) as curved_images, count(*) filter (contains(trim(transcription), ' ')) as multi_token, count(*) filter (transcription = '') as empty,

@@ -61,14 +61,14 @@ def read_archive(spark: SparkSession, path: str, run_id: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str, pattern: str = "*.jpg") -> DataFrame:
-    """(image, sha256, size, width, height, corrupt) of the image files in a folder."""
+    """(image, sha256, size, width, height, corrupt) of the image files in a folder; one of no bytes counts as missing, as Spark lists none."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     found = files.select(F.element_at(F.split("path", "/"), -1).alias("image"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), jpeg_size(F.col("content")).alias("shape"))
     return found.select("image", "sha256", "size", F.col("shape")[0].alias("width"), F.col("shape")[1].alias("height"), F.col("shape").isNull().alias("corrupt"))
 
 
 def jpeg_size(content: Column) -> Column:
-    """[width, height] from the first frame header of a JPEG, null if there is none, by an Arrow kernel."""
+    """[width, height] of a whole JPEG, null where it lacks a frame header or its end, by an Arrow kernel."""
     @F.pandas_udf("array<int>")
     def size(bodies: pd.Series) -> pd.Series:
         return bodies.map(_frame)
@@ -77,17 +77,31 @@ def jpeg_size(content: Column) -> Column:
 
 
 def _frame(body: bytes | None) -> list[int] | None:
-    if not body or body[:2] != b"\xff\xd8":
+    """The size in the first frame header, if segments lead from it to a scan and the file ends with the end marker."""
+    if not body or body[:2] != b"\xff\xd8" or not body.rstrip(b"\x00").endswith(b"\xff\xd9"):
         return None
-    at = 2
-    while at + 9 < len(body) and body[at] == 0xFF:
-        mark = body[at + 1]
-        if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
-            return [int.from_bytes(body[at + 7 : at + 9], "big"), int.from_bytes(body[at + 5 : at + 7], "big")]
-        at += 2 + int.from_bytes(body[at + 2 : at + 4], "big")
+    at, size = 2, None
+    while at + 4 <= len(body) and body[at] == 0xFF:
+        mark, length = body[at + 1], int.from_bytes(body[at + 2 : at + 4], "big")
+        if mark == 0xFF:  # a fill byte
+            at += 1
+            continue
+        if length < 2 or at + 2 + length > len(body):
+            return None
+        if mark == 0xDA:
+            return size
+        if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC) and size is None and length >= 8:
+            size = [int.from_bytes(body[at + 7 : at + 9], "big"), int.from_bytes(body[at + 5 : at + 7], "big")]
+        at += 2 + length
     return None
 
 
+def read_serials(spark: SparkSession, path: str) -> DataFrame:
+    """(label, key, freq, rep) of a serial set that ``sinks.write_tables`` stored as ``serials``; one without metadata isn't whole."""
+    spark.read.parquet(f"{path}/metadata")  # an error where there is none
+    return spark.read.parquet(f"{path}/serials")
+
+
 def fragments(cache: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """One row a fragment of a detection cache; a cache that lacks an image asked for is no use and gives an error."""
     if images is not None:

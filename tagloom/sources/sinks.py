@@ -34,16 +34,36 @@ def write_recognition_labels(records: DataFrame, path: str) -> None:
 
 
 def write_split_files(boxes: DataFrame, records: DataFrame, assignment: DataFrame, path: str) -> None:
-    """Detection and recognition labels by split, under det/split=... and rec/split=...."""
-    detection_lines(boxes).join(assignment, "image").select("split", "value").write.mode("overwrite").partitionBy("split").text(f"{path}/det")
-    rows = records.join(assignment, "image").select("split", F.concat(F.col("crop"), F.lit("\t"), F.col("label")).alias("value"))
-    rows.write.mode("overwrite").partitionBy("split").text(f"{path}/rec")
+    """Detection and recognition labels by split, under det/split=... and rec/split=....
 
+    Detection lines come in the order of the split's list, which is that of image names, and recognition lines in that
+    of crops: files are sorted, and their names ascend by range, so no task sorts more than a range.
+    """
+    det = detection_lines(boxes).join(assignment, "image")
+    rec = records.join(assignment, "image").withColumn("value", F.concat(F.col("crop"), F.lit("\t"), F.col("label")))
+    for name, rows, order in (("det", det, "image"), ("rec", rec, "crop")):
+        dealt = rows.select("split", order, "value").repartitionByRange("split", order).sortWithinPartitions("split", order)
+        dealt.select("split", "value").write.mode("overwrite").partitionBy("split").text(f"{path}/{name}")
 
-def write_tables(path: str, **tables: DataFrame) -> None:
-    """A snapshot, split or serial set: each of its relations as Parquet under its name."""
+
+def write_tables(path: str, metadata: dict[str, str] | None = None, **tables: DataFrame) -> None:
+    """A snapshot, split or serial set: each of its relations as Parquet under its name, and ``metadata`` as one row.
+
+    The metadata is written last, so a set that has it is whole.
+    """
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
+    if metadata is not None:
+        spark = next(iter(tables.values())).sparkSession
+        spark.createDataFrame([(metadata,)], "metadata map<string,string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
+
+
+def write_detections(fragments: DataFrame, path: str) -> None:
+    """A detection cache as ``labels.DETECTIONS``: one row an image, its fragments in their order."""
+    cols = ["points", "text_fwd", "conf_fwd", "score_fwd", "text_bwd", "conf_bwd", "score_bwd", "cls_flip"]
+    rows = fragments.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("frag_index", F.struct(*cols).alias("f")))).alias("e"))
+    named = {"polys": "points", **{c: c for c in cols[1:]}}
+    rows.select("image", *[F.col(f"e.f.{c}").alias(k) for k, c in named.items()]).write.mode("overwrite").parquet(path)
 
 
 def archive(predictions: DataFrame, path: str, run_id: str) -> None:
@@ -65,3 +85,11 @@ def markdown(metrics: DataFrame, most: int = 1000) -> str:
         raise ValueError("too many rows for a report")
     lines = ["| " + " | ".join(metrics.columns) + " |", "|" + " --- |" * len(metrics.columns)]
     return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows])
+
+
+def report(title: str, metrics: DataFrame, gate: DataFrame) -> str:
+    """A Markdown report: whether the gate (one row with ``passed``) holds, what it counted, and the metrics' table."""
+    row = gate.first().asDict()
+    passed = bool(row.pop("passed"))
+    counts = "\n".join(f"- {k}: {v}" for k, v in row.items())
+    return f"# {title}\n\n**{'PASS' if passed else 'FAIL'}**\n\n{counts}\n\n{markdown(metrics)}\n"

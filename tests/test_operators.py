@@ -1,10 +1,13 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tagloom.checkpoints import Stored
-from tagloom.operators import graph, grouping, matching, merge, metrics, serial_db, split, sweep
+from tagloom.operators import graph, grouping, matching, merge, metrics, profile, serial_db, split, sweep
 from tagloom.sources import config_tree, labels, sinks
 
+from .test_evaluation import distance
+
 
 def serials(spark, *names):
     return spark.createDataFrame([(n,) for n in names], "serial string")
@@ -15,10 +18,23 @@ def texts(spark, *names):
 
 
 def test_space_loss_costs_nothing(spark):
-    best = matching.top_k(texts(spark, "ABC123"), serials(spark, "ABC 123", "ABC 124"), 1).first()
-    assert best.serial == "ABC 123" and best.score == 1.0
-    two = matching.top_k(texts(spark, "ABC123"), serials(spark, "ABC 123", "ABD 123"), 2).orderBy("rank").collect()
-    assert two[0].score > two[1].score
+    names = serials(spark, "QR 7 T", "QR 8 T", "Q R7T9")
+    got = matching.top_k(texts(spark, "QR7T", "qr8 t"), names, 3).orderBy("pred", "rank").collect()
+    assert [(r.pred, r.serial) for r in got if r.rank == 1] == [("QR7T", "QR 7 T"), ("qr8 t", "QR 8 T")] and got[0].score == 1.0 > got[1].score
+
+
+@pytest.mark.parametrize("k", [1, 4])
+def test_top_k_of_odd_texts(spark, k):
+    """Empty, long, repeated and wide characters, against a plain table of distances."""
+    rng = np.random.default_rng(6)
+    words = ["", " ", "ß", "a" * 90, "A" * 70 + " b", "ééé", "x y z"] + ["".join(rng.choice(list("ab1 "), int(rng.integers(1, 14)))) for _ in range(60)]
+    names = sorted({w for w in words[::2]})
+    got = {}
+    for r in matching.top_k(texts(spark, *words, *words[:5]), serials(spark, *names), k).collect():
+        got.setdefault(r.pred, []).append((r.rank, r.serial, round(r.distance, 9)))
+    for w in set(words):
+        order = sorted((round(distance(w, n), 9), n.upper().encode(), n) for n in names)[:k]
+        assert [(s, d) for _, s, d in sorted(got[w])] == [(n, d) for d, _, n in order]
 
 
 def test_top_k_ties_and_self_lookup(spark):
@@ -74,19 +90,21 @@ def test_split_laws(spark):
     assert split.assign(sizes).orderBy("component").collect() == split.assign(sizes).orderBy("component").collect()
 
 
-def partition(spark, score, margin=0.0, chain=("8196", "P32", "C6B")):
+def cuts(spark, score, margin=0.0, chain=("KX", "70", "LR5", "9")):
     parts = merge.segments(spark.createDataFrame([(1, list(chain))], "chain_id int, texts array<string>"))
-    rows = merge.best_partition(parts.withColumn("score", score), margin).orderBy("seg").collect()
-    return [list(range(r.i, r.j)) for r in rows]
+    return [(r.i, r.j) for r in merge.best_partition(parts.withColumn("score", score), margin).orderBy("seg").collect()]
 
 
 def test_best_partition(spark):
-    t = F.col("text")
-    assert partition(spark, F.when(t == "8196 P32", 1.0).otherwise(0.5)) == [[0, 1], [2]]
-    assert partition(spark, F.lit(0.5)) == [[0], [1], [2]] and partition(spark, F.lit(0.7)) == [[0], [1], [2]]
-    assert partition(spark, F.when(t == "8196 P32 C6B", 1.0).otherwise(0.3)) == [[0, 1, 2]]
-    spaced = F.when(F.contains(t, F.lit(" ")), 0.6).otherwise(0.5)
-    assert partition(spark, spaced) == [[0, 1, 2]] and partition(spark, spaced, 0.2) == [[0], [1], [2]]
+    """The cut whose segments the evidence supports best, by length; equal evidence joins nothing."""
+    t, alone = F.col("text"), [(0, 1), (1, 2), (2, 3), (3, 4)]
+    for equal in (0.0, 0.35, 1.0):
+        assert cuts(spark, F.lit(equal)) == alone
+    assert cuts(spark, F.when(t == "70 LR5", 0.9).otherwise(0.4)) == [(0, 1), (1, 3), (3, 4)]
+    assert cuts(spark, F.when(t.isin("KX 70", "70 LR5 9"), 0.9).otherwise(0.4)) == [(0, 1), (1, 4)]
+    assert cuts(spark, F.when(t == "KX 70 LR5 9", 0.8).otherwise(0.7)) == [(0, 4)]
+    assert cuts(spark, F.when(t == "KX 70 LR5 9", 0.8).otherwise(0.7), 0.15) == alone
+    assert cuts(spark, F.lit(0.5), chain=("A",)) == [(0, 1)] and cuts(spark, F.lit(0.5), chain=()) == []
 
 
 def test_slices_and_failures(spark):
@@ -95,6 +113,9 @@ def test_slices_and_failures(spark):
     r = rows["overall", "all"]
     assert (r.fail_detection, r.fail_recognition, r.hits) == (1, 1, 1) and r.n == 3
     assert ("kind", "curved") not in rows
+    wanted = spark.createDataFrame([("overall", "all"), ("kind", "plane"), ("kind", "curved")], "slice string, value string")
+    every = {(r.slice, r.value): r.n for r in metrics.sliced(items, {"n": F.count("*")}, ("kind",), expected=wanted).collect()}
+    assert every == {("overall", "all"): 3, ("kind", "plane"): 3, ("kind", "curved"): None}
 
 
 def test_ctc(spark):
@@ -117,29 +138,100 @@ def test_flips(spark):
         grouping.resolve_flips("other")
 
 
-def test_sources_and_sinks(spark, tmp_path):
+def test_label_files(spark, tmp_path):
     path = str(tmp_path)
-    (tmp_path / "labels.txt").write_text('a.jpg\t[{"transcription": "X\\tY", "points": [[0,0],[1,0],[1,1],[0,1]]}]\n\nb.jpg\t[]\n')
-    box = labels.read_labels(spark, f"{path}/labels.txt").collect()
-    assert [(b.image, b.transcription, b.difficult, b.is_curved) for b in box] == [("a.jpg", "X\tY", False, False)]
-    (tmp_path / "broken.txt").write_text("a.jpg\t[{]\n")
-    with pytest.raises(Exception):
-        labels.read_labels(spark, f"{path}/broken.txt").collect()
-    (tmp_path / "rec.txt").write_text("c1.jpg\t A'B\n")
-    assert labels.read_recognition_labels(spark, f"{path}/rec.txt").first().label == " A'B"
-    assert sinks.write_dictionary(spark.createDataFrame([("B",), ("A",)], "char string"), f"{path}/dict") == 2
-    assert [r.char for r in labels.read_dictionary(spark, f"{path}/dict").collect()] == ["A", "B"]
-    row = spark.createDataFrame([("c", "8135", "8I35", [0.99, 0.42, 0.97, 0.95], 0.83)], "crop string, gt string, pred string, char_confidences array<double>, mean_confidence double")
-    sinks.archive(row, f"{path}/archive", "r1")
-    assert labels.read_archive(spark, f"{path}/archive", "r1").first().char_confidences == [0.99, 0.42, 0.97, 0.95]
-    with pytest.raises(ValueError):
-        sinks.archive(row.drop("char_confidences"), f"{path}/archive", "r2")
+    (tmp_path / "labels.txt").write_text('p/q 1.jpg\t[{"transcription": "one\\ttwo", "points": [[1,1],[5,1],[6,3],[5,4],[1,4]], "difficult": true}, {"transcription": "", "points": []}]\n \nr.jpg\t[]\n')
+    box = labels.read_labels(spark, f"{path}/labels.txt").orderBy("box_index").collect()
+    assert [(b.image, b.transcription, b.difficult, b.is_curved, b.n_points) for b in box] == [("p/q 1.jpg", "one\ttwo", True, True, 5), ("p/q 1.jpg", "", False, False, 0)]
+    for broken in ("r.jpg\t[{]\n", "no tab here\n"):
+        (tmp_path / "broken.txt").write_text(broken)
+        with pytest.raises(Exception):
+            labels.read_labels(spark, f"{path}/broken.txt").collect()
+    (tmp_path / "rec.txt").write_text("k.jpg\t \"two  words\"\n")
+    assert labels.read_recognition_labels(spark, f"{path}/rec.txt").first().label == ' "two  words"'
+    assert sinks.write_dictionary(spark.createDataFrame([("z",), ("ß",), (" ",)], "char string"), f"{path}/dict") == 3
+    assert [r.char for r in labels.read_dictionary(spark, f"{path}/dict").collect()] == [" ", "z", "ß"]
+
+
+def test_archive(spark, tmp_path):
+    row = spark.createDataFrame([("k", "T-4", "7-4", [0.25, 0.5], 0.375)], "crop string, gt string, pred string, char_confidences array<double>, mean_confidence double")
+    for run in ("one", "two"):
+        sinks.archive(row.withColumn("pred", F.lit(run)), f"{tmp_path}/a", run)
+    assert [(r.pred, r.char_confidences) for r in labels.read_archive(spark, f"{tmp_path}/a", "two").collect()] == [("two", [0.25, 0.5])]
+    for missing in sinks.REQUIRED:
+        with pytest.raises(ValueError, match=missing):
+            sinks.archive(row.drop(missing), f"{tmp_path}/a", "three")
+
+
+def jpeg(width, height, end=b"\xff\xd9"):
+    frame = b"\xff\xc0\x00\x11\x08" + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes(10)
+    return b"\xff\xd8\xff\xe0\x00\x04ab" + frame + b"\xff\xda\x00\x04ab" + b"scan" * 5 + end
+
+
+def test_images(spark, tmp_path):
+    """A file is sound if its segments lead to a scan and it ends as it should; its hash is taken anyway."""
+    whole = jpeg(640, 480)
+    files = {"a.jpg": whole, "cut.jpg": whole[:-12], "open.jpg": jpeg(8, 8, b""), "text.jpg": b"none", "bad.jpg": whole.replace(b"\xff\xe0\x00\x04", b"\xff\xe0\xff\xff")}
     (tmp_path / "img").mkdir()
-    (tmp_path / "img" / "x.jpg").write_bytes(b"\xff\xd8\xff\xc0\x00\x11\x08\x00\x40\x01\x00" + bytes(8))
-    (tmp_path / "img" / "y.jpg").write_bytes(b"no image")
-    found = {r.image: (r.width, r.height, r.corrupt) for r in labels.read_images(spark, f"{path}/img").collect()}
-    assert found == {"x.jpg": (256, 64, False), "y.jpg": (None, None, True)}
-    assert "| a |" in sinks.markdown(spark.createDataFrame([(1,)], "a int"))
+    for name, body in files.items():
+        (tmp_path / "img" / name).write_bytes(body)
+    found = {r.image: (r.width, r.height, r.corrupt) for r in labels.read_images(spark, f"{tmp_path}/img").collect()}
+    assert found == {n: (640, 480, False) if n == "a.jpg" else (None, None, True) for n in files}
+
+
+def test_split_files(spark, tmp_path):
+    """Files of each split in the order of its list, however the rows came."""
+    boxes = spark.createDataFrame([(f"{k:02d}.jpg", j, f"t{j}", [[0.0, 0.0]], False) for k in range(30) for j in (1, 0)], "image string, box_index int, transcription string, points array<array<double>>, difficult boolean").repartition(7)
+    records = boxes.select("image", F.concat("image", F.col("box_index")).alias("crop"), F.col("transcription").alias("label"))
+    assignment = boxes.select("image").distinct().withColumn("split", F.when(F.substring("image", 2, 1) < "7", "train").otherwise("test"))
+    sinks.write_split_files(boxes, records, assignment, str(tmp_path / "s"))
+    for split in ("train", "test"):
+        det = [line for f in sorted((tmp_path / "s" / "det" / f"split={split}").glob("part*")) for line in f.read_text().splitlines()]
+        rec = [line for f in sorted((tmp_path / "s" / "rec" / f"split={split}").glob("part*")) for line in f.read_text().splitlines()]
+        names = [line.split("\t")[0] for line in det]
+        assert names == sorted(r.image for r in assignment.where(F.col("split") == split).collect())
+        assert [line.split("\t")[0] for line in rec] == [f"{n}{j}" for n in names for j in (0, 1)] and all('"t0"' in line.split('"t1"')[0] for line in det)
+
+
+def test_stored_serials_and_reports(spark, tmp_path):
+    named = serial_db.canonical(spark.createDataFrame([("x 1",), ("x1",), ("x1",)], "label string"))
+    with pytest.raises(Exception):
+        labels.read_serials(spark, f"{tmp_path}/db")
+    sinks.write_tables(f"{tmp_path}/db", {"tag": "t"}, serials=named)
+    assert {(r.label, r.rep) for r in labels.read_serials(spark, f"{tmp_path}/db").collect()} == {("x 1", "x1"), ("x1", "x1")}
+    assert spark.read.parquet(f"{tmp_path}/db/metadata").first().metadata == {"tag": "t"}
+    gate = spark.createDataFrame([(3, False)], "missing int, passed boolean")
+    text = sinks.report("Assets", spark.createDataFrame([(1, None)], "a int, b string"), gate)
+    assert "**FAIL**" in text and "- missing: 3" in text and "| 1 |  |" in text
+
+
+def test_sorted_and_most_common(spark):
+    rows = spark.createDataFrame([(x,) for x in "banana"] + [(None,)], "char string").repartition(3)
+    assert [r.char for r in profile.sorted_list(rows, "char").collect()] == ["a", "b", "n"]
+    counts = rows.where("char is not null").groupBy("char").agg(F.count("*").alias("n"))
+    assert [r.char for r in profile.most_common(counts, "char", 2).collect()] == ["a", "n"]
+    assert [(r["rank"], r.combo) for r in sweep.first_rows(spark.createDataFrame([(0, 0.2), (1, 0.9), (2, 0.9)], "combo int, recall double"), 2).orderBy("rank").collect()] == [(1, 1), (2, 2)]
+
+
+def test_percentiles(spark):
+    values = [float(v) for v in np.random.default_rng(2).integers(0, 40, 301)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(5)
+    got = profile.percentiles(df, F.col("v"), {"a": 0.05, "b": 0.5, "c": 0.95, "d": 0.333, "e": 1.0}).first()
+    assert np.allclose(list(got), np.quantile(values, [0.05, 0.5, 0.95, 0.333, 1.0]))
+    assert profile.percentiles(df.limit(0), F.col("v"), {"a": 0.5}).first().a is None
+
+
+def test_shared_folder():
+    from tagloom import checkpoints
+
+    class Conf(dict):
+        pass
+
+    assert checkpoints.shared_dir(type("S", (), {"conf": Conf({"spark.master": "local[2]"})})()) == checkpoints.LOCAL_DIR
+    assert checkpoints.shared_dir(type("S", (), {"conf": Conf({"spark.master": "spark://h:1", "spark.checkpoint.dir": "hdfs:///c/"})})()) == "hdfs:///c"
+    for master in ("spark://h:1", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            checkpoints.shared_dir(type("S", (), {"conf": Conf({"spark.master": master})})())
 
 
 def test_detection_cache(spark):
@@ -149,13 +241,21 @@ def test_detection_cache(spark):
         labels.fragments(cache, cache)
 
 
+def test_cache_round_trip(spark, tmp_path):
+    rows = [("a", k, [[0.0, float(k)]], f"f{k}", [0.5], 0.5, f"b{k}", [0.25], 0.25, k == 1) for k in (1, 0, 2)]
+    pieces = spark.createDataFrame(rows, "image string, frag_index int, points array<array<double>>, text_fwd string, conf_fwd array<double>, score_fwd double, text_bwd string, conf_bwd array<double>, score_bwd double, cls_flip boolean")
+    sinks.write_detections(pieces, f"{tmp_path}/cache")
+    again = labels.fragments(spark.read.schema(labels.DETECTIONS).parquet(f"{tmp_path}/cache"))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, pieces.collect()))
+
+
 def test_config_tree():
-    base = {"Global": {"a": 1, "b": 2}, "Other": {"x": 1}}
-    assert config_tree.deep_merge(base, {"Global": {"b": 9}}) == {"Global": {"a": 1, "b": 9}, "Other": {"x": 1}}
-    assert base["Global"]["b"] == 2
-    assert config_tree.detection_overrides("/d/", "val")["label_file_list"] == ["/d/labels/det_val.txt"]
-    with pytest.raises(ValueError):
-        config_tree.detection_overrides("/d", "test")
+    template = {"Global": {"use_gpu": False, "seed": 3}, "Optimizer": {"lr": 0.1}, "Other": {"x": 1}}
+    tree = config_tree.overlaid(template, config_tree.detection_settings("/d/", "w", "out", epochs=7))
+    assert tree["Global"] | {"seed": 3, "epoch_num": 7, "use_gpu": True} == tree["Global"] and tree["Other"] == {"x": 1}
+    assert tree["Optimizer"] == {"lr": {"learning_rate": 1e-4}} and tree["Eval"]["dataset"]["label_file_list"] == ["/d/labels/det_val.txt"]
+    assert template == {"Global": {"use_gpu": False, "seed": 3}, "Optimizer": {"lr": 0.1}, "Other": {"x": 1}}
+    assert "test" not in str(tree["Train"]) + str(tree["Eval"])
 
 
 def test_streaming_rescore(spark, tmp_path):
