@@ -59,7 +59,9 @@ def formatted(log: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
 
     Rows without a conversation's name are left out; a null turn number counts as -1; a null role or text
     renders as empty but differs from an empty one when prefixes are compared.  A marker inside a text gets a
-    space after its bar.  Empty conversations don't exist; an empty table gives no rows.  Other columns are not read.
+    space after its bar.  A very long text is rendered whole, and a conversation of any length in pieces; only
+    turns that share a number, or have none, are never parted.  Repeated rows count once.  Empty conversations
+    don't exist; an empty table gives no rows.  Other columns are not read.
     """
     turns = _turns(log, conv, turn, role, text)
     kept = turns.join(maximal(turns).select("conv"), "conv", "left_semi")

@@ -12,14 +12,19 @@ from pyspark.sql import types as T
 
 from tagloom.checkpoints import Stored, shared_dir
 
-__all__ = ["Rolling", "Stored", "arrow", "as_text", "ints", "mix64", "packed", "raw", "shared_dir", "slices"]
+__all__ = ["Rolling", "Stored", "arrow", "as_text", "ints", "mix64", "packed", "raw", "shared_dir", "slices", "with_row"]
 
 BATCH_BYTES = 2 << 20
 
 
 def packed(df: DataFrame, **extra: Column) -> DataFrame:
-    """All columns of ``df`` as one struct ``row`` beside ``extra``: no name of theirs can clash."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(k) for k, c in extra.items()])
+    """All columns of ``df``, whatever their names, as one struct ``row`` beside ``extra``: no name of theirs can clash."""
+    return df.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in extra.items()])
+
+
+def with_row(source: DataFrame, rest: str) -> T.StructType:
+    """The field ``row`` of ``source`` and those of ``rest``, a DDL string."""
+    return T.StructType([source.schema["row"], *T.StructType.fromDDL(rest).fields])
 
 
 def as_text(df: DataFrame, name: str) -> Column:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, arrow, as_text, packed, slices
+from .common import Stored, arrow, as_text, packed, slices, with_row
 
 WINDOW_WORDS = 10
 SHARD_BYTES = 2 << 20  # of item words in one automaton, which takes about 100 times that; larger benchmarks take several passes
@@ -164,7 +164,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     shards = max(1, -(-total // shard_bytes))
     of = F.pmod(F.xxhash64("words"), F.lit(shards))
     source = packed(docs, text=as_text(docs, text))
-    kind = source.schema["row"].dataType.simpleString()
+    result = with_row(source, RESULT)
 
     def send(k: int):
         return context.broadcast([(r.item, bytes(r.words)) for r in pieces.where(of == k).collect()]), uuid.uuid4().hex
@@ -181,7 +181,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                     out.append(_result(value, len(words), *own.scan(words)))
                 yield _batch(batch.column("row"), out)
 
-        return arrow(source, kernel, f"row {kind}, {RESULT}")
+        return arrow(source, kernel, result)
 
     def hits(k: int) -> DataFrame:
         sent, name = send(k)
@@ -214,7 +214,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                 out.append(_result(value, len(normal_words(value)), np.array(at or [], np.int64).reshape(-1, 2), own))
             yield _batch(batch.column("row"), out)
 
-    return arrow(joined, gather, f"row {kind}, {RESULT}")
+    return arrow(joined, gather, result)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:

@@ -367,7 +367,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", sim
 
     A text that is null or has no words has an empty set, which links with nothing.  A null id counts as the
     smallest and stays null.  Rows that share an id are one document of the component, each with its own
-    n_shingles; repeated rows repeat their result.  No rows give no rows.  Other columns are not read.
+    n_shingles; repeated rows repeat their result, and similarities that tie with the bound link.  A very long
+    text gives one set of all its shingles, one batch of a task at a time.  No rows give no rows.  Other columns
+    are not read.
     """
     num, den = similarity
     store = Stored(docs.sparkSession, "minhash")

@@ -1,7 +1,7 @@
 """Sampled SentencePiece segmentations: forward filtering, backward sampling over the piece lattice; lossless decoding.
 
 A text gets one leading space, and its spaces become U+2581, as the model expects.  Pieces hold that sign only
-at their start, so the lattice falls apart at every space that follows a visible character; each such unit is
+at their start (another model is refused), so the lattice falls apart at every space that follows a visible character; each such unit is
 filtered once (log sums of all segmentations up to each character) and sampled backwards for every occurrence.
 Characters that no piece covers, and U+2581 itself where a text has it, are spelt in byte pieces.
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, as_text, ints, mix64, packed, slices
+from .common import arrow, as_text, ints, mix64, packed, slices, with_row
 
 SHARPNESS = 1.0
 SEED = 17
@@ -52,6 +52,8 @@ class Vocabulary:
                 self.bytes.append(b"")
             else:
                 piece = model.id_to_piece(k)
+                if "▁" in piece.lstrip("▁"):
+                    raise ValueError("this model has pieces that span words")
                 plain.append((piece, k))
                 self.bytes.append(piece.replace("▁", " ").encode())
         order = sorted(plain, key=lambda x: -model.get_score(x[1]))
@@ -259,7 +261,7 @@ def sampled(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
     """
     source = packed(docs, key=F.col(f"`{key}`").cast("string"), text=as_text(docs, text))
     if keep is not None:  # so that texts aren't sent twice
-        source = source.select(F.struct(*[F.col(f"row.`{c}`").alias(c) for c in keep]).alias("row"), "key", "text")
+        source = source.select(F.struct(*[F.col("row").getField(c).alias(c) for c in keep]).alias("row"), "key", "text")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(model, sharpness)
@@ -281,5 +283,4 @@ def sampled(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
         own.clear()  # workers live on; what other stages need isn't held
 
-    kind = source.schema["row"].dataType.simpleString()
-    return arrow(source, kernel, f"row {kind}, n_pieces bigint, ids_crc32 bigint, decoded_sha256 string, lossless boolean" + ", ids array<int>" * with_ids)
+    return arrow(source, kernel, with_row(source, "n_pieces bigint, ids_crc32 bigint, decoded_sha256 string, lossless boolean" + ", ids array<int>" * with_ids))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Stored, arrow, as_text, mix64, packed, raw, slices
+from .common import Rolling, Stored, arrow, as_text, mix64, packed, raw, slices, with_row
 
 LENGTH = 100
 SEED_BYTES = 32
@@ -458,5 +458,4 @@ def removal(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    kind = joined.schema["row"].dataType.simpleString()
-    return arrow(joined, cut, f"row {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return arrow(joined, cut, with_row(joined, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"))

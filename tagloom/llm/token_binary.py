@@ -326,6 +326,8 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
 
 def round_trip(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
     """Writes ``docs`` to the shared folder and reads the files back, without the ids themselves."""
-    path = f"{Stored(docs.sparkSession, 'tokens').root}/segments"
+    store = Stored(docs.sparkSession, "tokens")
+    path = f"{store.root}/segments"
     write(docs, path, tokenizer, **options)
+    store.until_exit()
     return read(docs.sparkSession, path, with_ids=False)

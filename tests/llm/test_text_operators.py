@@ -213,6 +213,18 @@ def test_pieces_are_lossless_and_reproducible(spark, odd):
     assert sentencepiece_sampling.sampled(odd.limit(0), PIECES).count() == 0
 
 
+def test_pieces_across_words_are_refused(monkeypatch):
+    import sentencepiece
+
+    class Model(sentencepiece.SentencePieceProcessor):
+        def id_to_piece(self, k):
+            return "a▁b" if k == 500 else super().id_to_piece(k)
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Model)
+    with pytest.raises(ValueError, match="span words"):
+        sentencepiece_sampling.Vocabulary(PIECES, 1.0)
+
+
 def test_samples_follow_the_lattice():
     import sentencepiece
 
@@ -421,6 +433,18 @@ def test_two_stage_order():
             assert a[:k] == b[:k] and (k == min(len(a), len(b)) or a[k] != b[k])
 
 
+def test_columns_of_any_name(spark):
+    """Names with dots, spaces, marks and backticks pass through; names of the operators' own don't clash."""
+    df = spark.createDataFrame([(1, "some text of a few words", 1, 2, 3, 4)], "doc_id bigint, text string, `a.b` int, `c d;e:f` int, `g``h` int, `row` int")
+    bench = spark.createDataFrame([(1, "few words")], "item_id bigint, text string")
+    for rows in (line_dedup.deduplicated(df), suffix_dedup.removal(df), decontaminate.contamination(df, bench), decontaminate.contamination(df, bench, shard_bytes=4), sentencepiece_sampling.sampled(df, PIECES)):
+        assert list(rows.first().row.asDict()) == df.columns
+    assert decontaminate.decontaminated(df, bench.limit(0)).columns == df.columns
+    model = language_id.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "lang")
+    assert language_id.accepted(df, model).columns == df.columns
+    assert language_id.identify(df, model).count() == 1
+
+
 # 10: personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
