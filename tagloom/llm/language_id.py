@@ -82,10 +82,15 @@ def fit(rows: DataFrame, label: str, text: str = "text", id: str = "doc_id", mos
     lang, words = F.lower(F.substring(F.trim(F.col(f"`{label}`").cast("string")), 1, 2)), F.col(f"`{text}`").cast("string")
     usable = rows.select(lang.alias("label"), F.struct(F.xxhash64(F.col(f"`{id}`").cast("string")).alias("h"), F.xxhash64(words).alias("t")).alias("at"), words.alias("text"))
     usable = usable.where(f"label rlike '^[a-z]{{2}}$' and octet_length(text) between 1 and {SAMPLE_BYTES}")
-    # The rank is cut within each task before the shuffle, and texts are read for the chosen rows only.
-    ranked = usable.select("label", "at").withColumn("rank", F.dense_rank().over(Window.partitionBy("label").orderBy("at")))
-    chosen = ranked.where(F.col("rank") <= most).distinct().orderBy("rank", "at", "label").limit(most)
-    last = chosen.groupBy("label").agg(F.max("at").alias("last"))  # 676 labels at most
+    # Counted by label and leading bits of the hash, so that only about ``most`` rows of each label meet to be ranked.
+    keys = Stored(rows.sparkSession, "labelled").put(usable.select("label", "at").distinct().withColumn("lead", F.shiftright("at.h", 52)), "keys")
+    upto = keys.groupBy("label", "lead").agg(F.count("*").alias("n")).withColumn("n", F.sum("n").over(Window.partitionBy("label").orderBy("lead")))
+    upto = upto.groupBy("label").agg(F.coalesce(F.min(F.when(F.col("n") >= most, F.col("lead"))), F.max("lead")).alias("upto"))  # 676 labels at most
+    few = keys.join(F.broadcast(upto), "label").where("lead <= upto").select("label", "at")
+    chosen = few.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("at"))).where(F.col("rank") <= most)
+    chosen = chosen.orderBy("rank", "at", "label").limit(most)
+    last = chosen.groupBy("label").agg(F.max("at").alias("last"))
+    # Texts are read for the chosen rows only.
     sample = usable.join(F.broadcast(last), "label").where(F.col("at") <= F.col("last")).groupBy("label", "at").agg(F.any_value("text").alias("text"))
     sample = sample.orderBy("at", "label").limit(most).collect()
     return Model.fit([r.text for r in sample], [r.label for r in sample])
