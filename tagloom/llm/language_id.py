@@ -160,8 +160,9 @@ def identify(docs: DataFrame, model: Model, id: str = "doc_id", text: Column | s
     if declared is not None:  # two letters or none: at most 677 rows
         joined = joined.join(F.broadcast(scored.groupBy("declared").agg(F.array(*sums).alias("d_sum"))), "declared")
     if suffix is not None or host is not None:
-        joined = joined.join(scored.groupBy("suffix").agg(F.array(*sums).alias("s_sum")), "suffix") if suffix is not None else joined
-        joined = joined.join(scored.groupBy("suffix", "host").agg(F.array(*sums).alias("h_sum")), ["suffix", "host"]) if host is not None else joined
+        # Stored, so that adaptive execution may split the rows of a host that very many have.
+        joined = joined.join(store.put(scored.groupBy("suffix").agg(F.array(*sums).alias("s_sum")), "suffixes"), "suffix") if suffix is not None else joined
+        joined = joined.join(store.put(scored.groupBy("suffix", "host").agg(F.array(*sums).alias("h_sum")), "hosts"), ["suffix", "host"]) if host is not None else joined
     has = [c for c in ("d_sum", "s_sum", "h_sum") if c in joined.columns]
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
