@@ -28,10 +28,14 @@ def centre(points: Column) -> tuple[Column, Column]:
 
 def principal_axis(points: Column) -> tuple[Column, Column]:
     """Direction in which the corners spread most, to +x, or to +y where it is vertical."""
-    cx, cy = centre(points)
-    spread = lambda f: F.aggregate(points, F.lit(0.0), lambda a, p: a + f(p[0] - cx, p[1] - cy))
-    xx, yy, xy = spread(lambda x, y: x * x), spread(lambda x, y: y * y), spread(lambda x, y: x * y)
-    angle = 0.5 * F.atan2(2 * xy, xx - yy)
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("x", "y", "xx", "yy", "xy")])
+
+    def add(a: Column, p: Column) -> Column:
+        x, y = p[0] - points[0][0], p[1] - points[0][1]
+        return F.struct((a["x"] + x).alias("x"), (a["y"] + y).alias("y"), (a["xx"] + x * x).alias("xx"), (a["yy"] + y * y).alias("yy"), (a["xy"] + x * y).alias("xy"))
+
+    turn = lambda s: 0.5 * F.atan2(2 * (s["xy"] - s["x"] * s["y"] / F.size(points)), s["xx"] - s["x"] * s["x"] / F.size(points) - (s["yy"] - s["y"] * s["y"] / F.size(points)))
+    angle = F.aggregate(points, zero, add, turn)
     return F.cos(angle), F.sin(angle)
 
 

@@ -13,7 +13,7 @@ from tagloom.functions.text import without_spaces
 
 SERIALS_IN_BLOCK = 4096
 PREDICTIONS_IN_SLICE = 4096
-LEAST_SLICES = 16
+SLICES_A_PARTITION = 2  # at least, so that partitions are about as large
 ROWS_AT_ONCE = 128
 
 
@@ -75,11 +75,14 @@ def top_k(predictions: DataFrame, serials: DataFrame, k: int = 5, prediction: st
     preds = store.put(predictions.select(F.col(prediction).alias("pred")).where("pred is not null").distinct(), "predictions")
     names = store.put(serials.select(F.col(serial).alias("serial")).where("serial is not null").distinct(), "serials")
     blocks = max(1, -(-names.count() // SERIALS_IN_BLOCK))
-    slices = max(LEAST_SLICES, -(-preds.count() // PREDICTIONS_IN_SLICE))
+    parts = int(predictions.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    slices = max(SLICES_A_PARTITION * parts, -(-preds.count() // PREDICTIONS_IN_SLICE))
     preds = preds.withColumn("pu", F.upper("pred")).withColumn("pn", without_spaces(F.col("pu")))
     names = names.withColumn("su", F.upper("serial")).withColumn("sn", without_spaces(F.col("su")))
     preds = preds.withColumn("slice", F.pmod(F.xxhash64("pred"), F.lit(slices)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     names = names.withColumn("block", F.pmod(F.xxhash64("serial"), F.lit(blocks)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    # An explicit number of partitions stays: the texts are few bytes and much work, and would be coalesced to one task.
+    preds, names = (df.repartition(parts, "block", "slice") for df in (preds, names))
     near = preds.groupBy("block", "slice").cogroup(names.groupBy("block", "slice")).applyInArrow(_nearest(k, exclude_self), "pred string, serial string, su string, distance double")
     whole = Window.partitionBy("pred").orderBy("distance", "su", "serial")
     best = near.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k)

@@ -558,6 +558,7 @@ def link_sweep(spark, d):
 
 def _evaluated(items, names, by=(), slices=("kind", "seen", "tokens")):
     """Coverage and retrieval of what was read, by slice; an empty reading is no hit."""
+    items = Stored(names.sparkSession, "items").put(items.drop("points", "conf"), "items")
     h = matching.hits(items, matching.top_k(items, names, 5), 5, "nonempty")
     measures = {"n": F.count("*"), "coverage": r9(metrics.share(F.col("detected"))), "top1": r9(metrics.share(F.col("hit1"))), "top5": r9(metrics.share(F.col("hit5")))}
     return metrics.sliced(h, measures, slices, by)
@@ -575,7 +576,7 @@ def _read_boxes(spark, d):
 def end_to_end(spark, d):
     """Detection, matching, reading and retrieval in one: a box is detected if a region matches it."""
     truth, names, readings = _read_boxes(spark, d)
-    items = evaluation.matched_items(truth, D.greedy_match(_pairs(spark, d)[2]), readings)
+    items = Stored(spark, "items").put(evaluation.matched_items(truth.drop("points"), D.greedy_match(_pairs(spark, d)[2]), readings), "items")
     h = matching.hits(items, matching.top_k(items, names, 5), 5, "detected")
     measures = {"n": F.count("*"), "det_recall": r9(metrics.share(F.col("detected"))), "top1": r9(metrics.share(F.col("hit1"))), "top5": r9(metrics.share(F.col("hit5"))), **metrics.failures(F.col("detected"), F.col("hit5"))}
     return metrics.sliced(h, measures)
@@ -587,7 +588,7 @@ def token_merge(spark, d):
     truth, names, readings = _read_boxes(spark, d)
     _, predicted, pairs = _pairs(spark, d)
     held = D.containment(pairs, truth, V.with_corners(predicted).withColumnRenamed("pred_index", "pi"))
-    items = evaluation.contained_items(truth, held, readings)
+    items = Stored(spark, "items").put(evaluation.contained_items(truth.drop("points"), held, readings), "items")
     h = matching.hits(items, matching.top_k(items, names, 5), 5, "nonempty")
     measures = {"n": F.count("*"), "coverage": r9(metrics.share(F.col("n_fragments") > 0)), "avg_fragments": r9(F.avg(F.col("n_fragments").cast("double"))), "top1": r9(metrics.share(F.col("hit1"))), "top5": r9(metrics.share(F.col("hit5")))}
     return metrics.sliced(h, measures)
@@ -628,7 +629,7 @@ def group_evaluation(spark, d):
 def group_archive(spark, d):
     """The best policy and gap by retrieval, its predictions archived and read again."""
     items, names = _grouped(spark, d, _combos(spark))
-    items = Stored(spark, "grouped").put(items, "items")
+    items = Stored(spark, "grouped").put(items.drop("points"), "items")
     ranked = _evaluated(items, names, ("policy", "gap"), ()).orderBy(F.desc("top5"), "policy", "gap").first()
     best = items.where((F.col("policy") == ranked.policy) & (F.col("gap") == ranked.gap))
     store = Stored(spark, "archive")

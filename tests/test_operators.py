@@ -50,24 +50,28 @@ def test_top_k_over_many_blocks(spark, monkeypatch):
     preds = spark.range(30).select(F.concat(F.lit("P"), F.col("id") * 41).alias("pred"))
     one = {(r.pred, r.rank): (r.serial, r.distance) for r in matching.top_k(preds, names, 4).collect()}
     monkeypatch.setattr(matching, "SERIALS_IN_BLOCK", 7)
+    monkeypatch.setattr(matching, "PREDICTIONS_IN_SLICE", 3)
     assert one == {(r.pred, r.rank): (r.serial, r.distance) for r in matching.top_k(preds, names, 4).collect()}
 
 
 def test_gates(spark):
-    items = spark.createDataFrame([("", "AA", False), ("AA", "AA", True), ("AA", "AA", False)], "pred string, rep string, detected boolean")
-    best = matching.top_k(items, serials(spark, "AA", "BB"), 5)
-    counts = {g: matching.hits(items, best, 5, g).where("hit5").count() for g in ("none", "nonempty", "detected")}
-    assert counts == {"none": 3, "nonempty": 2, "detected": 1}
+    """What a hit needs: nothing, some text, or a detection; an empty reading is as near to a blank serial as can be."""
+    items = spark.createDataFrame([("", " ", False), ("", " ", True), ("MU 3", "MU 3", True), ("MU3", "MU 3", False), ("NU", "MU 3", True)], "pred string, rep string, detected boolean")
+    best = matching.top_k(items, serials(spark, " ", "MU 3", "NU 44"), 1)
+    counts = {g: matching.hits(items, best, 1, g).where("hit1").count() for g in ("none", "nonempty", "detected")}
+    assert counts == {"none": 4, "nonempty": 2, "detected": 2}
     with pytest.raises(ValueError):
-        matching.hits(items, best, 5, "other")
+        matching.hits(items, best, 1, "read")
 
 
 def test_canonical(spark):
-    rows = spark.createDataFrame([("A 1",), ("A1",), ("A1",), ("B 2",), ("B2",)], "label string")
-    assert {r.label: r.rep for r in serial_db.canonical(rows).collect()} == {"A 1": "A1", "A1": "A1", "B 2": "B 2", "B2": "B 2"}
+    """The most frequent spelling of a key stands for it; of equally frequent ones the first."""
+    rows = spark.createDataFrame([(x,) for x in ["V 9", "V9", "V 9", "v9", "W W", "WW", "Q"]], "label string")
     named = serial_db.canonical(rows)
+    assert {r.label: (r.rep, r.freq) for r in named.collect()} == {"V 9": ("V 9", 2), "V9": ("V 9", 1), "v9": ("V 9", 1), "W W": ("W W", 1), "WW": ("W W", 1), "Q": ("Q", 1)}
+    assert {r.key: r.spellings for r in serial_db.variants(rows).collect()} == {"V9": ["V 9", "V9", "v9"], "WW": ["W W", "WW"]}
     with pytest.raises(Exception, match="no canonical spelling"):
-        serial_db.require_canonical(spark.createDataFrame([("ZZ",)], "gt string"), named, "gt").collect()
+        serial_db.require_canonical(spark.createDataFrame([("unknown",)], "gt string"), named, "gt").collect()
 
 
 def test_components(spark):
@@ -124,9 +128,9 @@ def test_ctc(spark):
 
 
 def test_pick(spark):
-    rows = spark.createDataFrame([(0, 0.80, 0.52), (1, 0.70, 0.61), (2, 0.60, 0.90)], "combo int, plane_recall double, precision double")
-    assert sweep.pick(rows, 0.5).first().plane_recall == 0.80 and sweep.pick(rows, 0.6).first().plane_recall == 0.70
-    assert sweep.pick(rows, 0.95).count() == 0
+    """The best row above the floor, the first of equal ones."""
+    rows = spark.createDataFrame([(0, 0.31, 0.2), (1, 0.44, 0.5), (2, 0.44, 0.7), (3, 0.12, 1.0)], "combo int, plane_recall double, precision double")
+    assert [sweep.pick(rows, floor).first().combo for floor in (0.0, 0.5, 0.6, 0.71)] == [1, 1, 2, 3] and sweep.pick(rows, 1.01).count() == 0
     assert [tuple(r) for r in sweep.grid(spark, a=[1, 2], b=["x", "y"]).collect()] == [(0, 1, "x"), (1, 1, "y"), (2, 2, "x"), (3, 2, "y")]
 
 
@@ -261,11 +265,11 @@ def test_config_tree():
 def test_streaming_rescore(spark, tmp_path):
     from tagloom.streaming.rescore import rescore
 
-    rows = spark.createDataFrame([("c1", "ABC123"), ("c1", "ABC123"), ("c2", "ABD 12")], "crop string, pred string").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    rows = spark.createDataFrame([("c1", "OM77"), ("c1", "OM77"), ("c2", "ON 7")], "crop string, pred string").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    rescore(stream, serials(spark, "ABC 123", "ABD 123"), str(tmp_path / "out"), str(tmp_path / "ck"), 1).awaitTermination()
-    assert {(r.crop, r.serial) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("c1", "ABC 123"), ("c2", "ABD 123")}
+    rescore(stream, serials(spark, "OM 77", "ON 77"), str(tmp_path / "out"), str(tmp_path / "ck"), 1).awaitTermination()
+    assert {(r.crop, r.serial) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("c1", "OM 77"), ("c2", "ON 77")}
 
 
 def test_outputs_are_attached_by_crop(spark):
