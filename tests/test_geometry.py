@@ -137,3 +137,17 @@ def test_folded_groups_agree_with_the_kernel(spark):
             names = [own[m][1] for m in members]
             want[image, min(names)] = list(enumerate(names))
     assert {k: sorted(v) for k, v in got.items()} == want and any(len(v) > 2 for v in want.values())
+
+
+def test_groups_of_polygons_by_image(spark):
+    row = [box(0, 0, 30, 10), box(35, 0, 30, 10), box(0, 40, 30, 10)]
+    images = {"a": [spun(p, 25) for p in row], "b": [spun(p, 70) for p in row[::-1]], None: row[:1]}
+    rows = [(k, 10 * n, [[float(x), float(y)] for x, y in p], n == 1) for k, ps in images.items() for n, p in enumerate(ps)]
+    schema = "image string, frag_index int, points array<array<double>>, flipped boolean"
+    out: dict = {}
+    for r in grouping.group_fragments(spark.createDataFrame(rows[::-1], schema), 0.6).collect():
+        out.setdefault(r.image, {}).setdefault(r.group_id, {})[r.pos] = r.frag_index // 10
+    for k, ps in images.items():
+        found = grouping.group_kernel(ps, 0.6, [n == 1 for n in range(len(ps))])
+        assert [[g[p] for p in sorted(g)] for _, g in sorted(out[k].items())] == found
+    assert grouping.group_fragments(spark.createDataFrame([], schema), 0.6).collect() == []
