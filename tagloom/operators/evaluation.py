@@ -7,12 +7,17 @@ nothing was found, nothing was read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.config import IOU_THRESHOLD
 from tagloom.functions.text import joined_text, mean_of_characters, normalize_text
 
-from . import detection, grouping, merge
+from . import detection, grouping, merge, regions
 
 
 def _read(joined: DataFrame, found: str) -> DataFrame:
@@ -62,3 +67,65 @@ def guided_members(members: DataFrame, fragments: DataFrame, serials: DataFrame,
     cuts = merge.best_partition(merge.segment_scores(merge.segments(chains), serials), margin)
     rows = cuts.join(chains.select("chain_id", "names"), "chain_id").withColumn("own", F.slice("names", F.col("i") + 1, F.col("j") - F.col("i")))
     return rows.select("chain_id.image", F.array_min("own").alias("g"), F.posexplode("own").alias("pos", "frag_index"))
+
+
+def read_groups(images: DataFrame, combos: list[tuple[str, float]], keep: tuple[str, ...], cuts: DataFrame | None = None, conf: bool = False) -> DataFrame:
+    """What ``grouped_items`` gives for axis-aligned boxes, all ``combos`` (policy, gap) in one pass over whole images.
+
+    ``images`` has key, image, t (true boxes: gi, x0, y0, x1, y1 and the columns to ``keep``) and f (fragments:
+    frag_index, x0, y0, x1, y1, text_fwd, text_bwd, a flip_<policy> for each policy and, for ``conf``, conf_fwd and
+    conf_bwd).  The outcome is (image, gi, keep..., mask, detected, pred): combinations that read the same fragments
+    the same way share a row, and bit k of ``mask`` is set for the k-th one.  With ``cuts`` (key, g, ends) the groups
+    of the last combination are cut at these places in their order, and that is one more combination.
+    """
+    kinds = images.schema["t"].dataType.elementType
+    named = {"image": images.schema["image"].dataType, **{c: kinds[c].dataType for c in ("gi", *keep)}}
+    rows, guided = images, cuts is not None
+    if guided:
+        rows = images.join(cuts.groupBy("key").agg(F.collect_list(F.struct("g", "ends")).alias("cuts")), "key", "left")
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = regions.Images(batch.column("t"), batch.column("f"))
+            found = [whole.groups(policy, gap) for policy, gap in combos]
+            if guided:
+                found.append(whole.cut(found[-1], batch.column("cuts").to_pylist()))
+            row, mask, detected, size, member, flip = whole.outcomes(found, IOU_THRESHOLD)
+            columns = [batch.column("image").take(pa.array(whole.image_of[row])), *(whole.truth.field(c).take(pa.array(row)) for c in ("gi", *keep))]
+            at = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+            parts = [pa.ListArray.from_arrays(at, whole.reading(c, member, flip)) for c in ("text", *(["conf"] if conf else []))]
+            columns += [pa.array(mask, pa.int32()), pa.array(detected), *parts]
+            yield pa.RecordBatch.from_arrays(columns, names=["image", "gi", *keep, "mask", "detected", "texts", *(["confs"] if conf else [])])
+
+    kind = ", ".join(f"`{c}` {t.simpleString()}" for c, t in named.items()) + ", mask int, detected boolean, texts array<string>"
+    rows = rows.select("image", "t", "f", *(["cuts"] if guided else []))
+    out = rows.mapInArrow(kernel, kind + (", confs array<array<double>>" if conf else ""))
+    out = out.withColumn("pred", F.when(F.col("detected"), F.coalesce(normalize_text(joined_text(F.col("texts"))), F.lit(""))).otherwise(F.lit(""))).drop("texts")
+    if conf:
+        out = out.withColumn("conf", F.coalesce(F.flatten("confs"), F.array().cast("array<double>"))).withColumn("mean_confidence", mean_of_characters(F.array("conf"))).drop("confs")
+    return out
+
+
+def chains(images: DataFrame, policy: str, gap: float) -> DataFrame:
+    """(key, g, texts) of the groups of several fragments, in reading order; ``images`` as in ``read_groups``."""
+    kind = images.schema["key"].dataType.simpleString()
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = regions.Images(batch.column("t"), batch.column("f"))
+            own = whole.groups(policy, gap)
+            several = np.flatnonzero(own.size > 1)
+            member = own.members(several)
+            at = pa.array(np.concatenate([[0], np.cumsum(own.size[several])]), pa.int32())
+            columns = [batch.column("key").take(pa.array(whole.holder[own.name[several]])), pa.array(whole.index[own.name[several]]), pa.ListArray.from_arrays(at, whole.reading("text", member, own.flip[member]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "g", "texts"])
+
+    return images.select("key", "t", "f").mapInArrow(kernel, f"key {kind}, g bigint, texts array<string>")
+
+
+def guided_cuts(found: DataFrame, serials: DataFrame, margin: float = 0.0) -> DataFrame:
+    """(key, g, ends): where ``chains`` are cut, as ``guided_members`` cuts them; equal chains are scored once."""
+    texts = found.select(F.col("texts").alias("chain_id")).distinct()
+    scored = merge.segment_scores(merge.segments(texts.withColumn("texts", F.col("chain_id"))), serials)
+    cut = merge.best_partition(scored, margin).where("i > 0").groupBy(F.col("chain_id").alias("texts")).agg(F.sort_array(F.collect_list("i")).alias("ends"))
+    return found.join(cut, "texts").select("key", "g", "ends")

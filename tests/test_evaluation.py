@@ -123,3 +123,32 @@ def test_registered_evaluations(spark):
     assert {r.way for r in catalogue.merge_evaluation(spark, DATA).where("slice = 'overall'").collect()} == {"narrow", "wide", "guided"}
     archived = catalogue.group_archive(spark, DATA).collect()
     assert len(archived) == n and best >= sum(r.pred != "" and r.pred == r.gt for r in archived) / n
+
+
+def test_whole_images(spark, world):
+    """Whole images read at once give what the walk gives, for each combination, and no row is dealt again for it."""
+    _, _, boxes, fragments = world
+    own = spark.createDataFrame([(f"img_{k}.jpg",) for k in range(1, 400)], "image string")
+    images = V.images(spark, DATA, ["classifier", "confidence", "none"]).join(own, "image", "left_semi")
+    combos = [("none", 0.0), ("confidence", 1.5), ("classifier", 1.5), ("confidence", 0.3)]
+    items = evaluation.read_groups(images, combos, ("rep",))
+    assert items._jdf.queryExecution().executedPlan().toString().count("Exchange") == images._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    rows = items.collect()
+    for k, (policy, gap) in enumerate(combos):
+        got = [((r.image, r.gi), (r.detected, r.pred)) for r in rows if r.mask >> k & 1]
+        assert len(got) == len(boxes) and dict(got) == brute_items(boxes, fragments, policy, gap)
+
+
+def test_whole_images_guided(spark, world):
+    """Cut chains are read as the groups that ``guided_members`` cuts."""
+    truth, pieces, boxes, _ = world
+    names = spark.createDataFrame([(n,) for n in sorted({t.rep for t in boxes})[::6]], "serial string")
+    own = spark.createDataFrame([(f"img_{k}.jpg",) for k in range(1, 400)], "image string")
+    images = V.images(spark, DATA, ["none"]).join(own, "image", "left_semi")
+    chains = evaluation.chains(images, "none", 1.5)
+    rows = evaluation.read_groups(images, [("none", 1.5)], (), evaluation.guided_cuts(chains, names)).collect()
+    f = grouping.with_reading(pieces, "none").cache()
+    cut = evaluation.guided_members(grouping.groups(grouping.box_geometry(f), 1.5), f, names).localCheckpoint()
+    expected = {(r.image, r.gi): (r.detected, r.pred) for r in evaluation.grouped_items(truth, f, cut).collect()}
+    assert {(r.image, r.gi): (r.detected, r.pred) for r in rows if r.mask & 2} == expected
+    assert any(r.mask == 2 and r.detected for r in rows)
