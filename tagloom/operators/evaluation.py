@@ -82,7 +82,7 @@ def read_groups(images: DataFrame, combos: list[tuple[str, float]], keep: tuple[
     named = {"image": images.schema["image"].dataType, **{c: kinds[c].dataType for c in ("gi", *keep)}}
     rows, guided = images, cuts is not None
     if guided:
-        rows = images.join(cuts.groupBy("key").agg(F.collect_list(F.struct("g", "ends")).alias("cuts")), "key", "left")
+        rows = images.join(cuts.groupBy("key").agg(F.collect_list(F.struct("g", "ends")).alias("cuts")).hint("merge"), "key", "left")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,4 +128,4 @@ def guided_cuts(found: DataFrame, serials: DataFrame, margin: float = 0.0) -> Da
     texts = found.select(F.col("texts").alias("chain_id")).distinct()
     scored = merge.segment_scores(merge.segments(texts.withColumn("texts", F.col("chain_id"))), serials)
     cut = merge.best_partition(scored, margin).where("i > 0").groupBy(F.col("chain_id").alias("texts")).agg(F.sort_array(F.collect_list("i")).alias("ends"))
-    return found.join(cut, "texts").select("key", "g", "ends")
+    return found.hint("merge").join(cut.hint("merge"), "texts").select("key", "g", "ends")  # small files may hold very many rows
