@@ -36,6 +36,10 @@ GROUP_BYTES = 16 << 20
 TEXT_BYTES = 1 << 20  # shingled at a time
 PAIRS = 8192  # compared at a time
 ROWS = 256  # of a table of pairs at a time
+FIRST_ROWS = 8  # of a group at first, then twice as many each time: what they link meets no more
+FEW = 8  # sets that a value's pairs are listed for, among more than SMALL
+SMALL = 64
+TASK_EDGES = 1 << 20  # that one task joins; more are joined by star rounds
 _FIRST = -(1 << 63)
 
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -108,15 +112,22 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _counts(values: np.ndarray, owner: np.ndarray, n: int, columns: int = 2048) -> np.ndarray:
-    """How many values each two of n sets share (each set's values are distinct)."""
+    """How many values each two different ones of n sets share (each set's values are distinct)."""
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
     head = np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.empty(0, bool)
-    at = np.flatnonzero(head)
-    size = np.diff(np.append(at, len(values)))
-    keep = np.repeat(size > 1, size)
-    owner, column = owner[keep], (np.cumsum(head[keep]) - 1 if keep.any() else np.empty(0, np.int64))
+    size = np.diff(np.append(np.flatnonzero(head), len(values)))
     out = np.zeros((n, n), np.float32)
+    # Values of few sets: their pairs one by one, else a product of matrices.
+    most = FEW if n > SMALL else 1
+    few = np.repeat((size > 1) & (size <= most), size)
+    column, own = np.cumsum(head[few]), owner[few]
+    for k in range(1, most):
+        at = np.flatnonzero(column[k:] == column[:-k])
+        for x, y in ((own[at], own[at + k]), (own[at + k], own[at])):
+            np.add.at(out.reshape(-1), x * n + y, np.float32(1))
+    keep = np.repeat(size > most, size)
+    owner, column = owner[keep], (np.cumsum(head[keep]) - 1 if keep.any() else np.empty(0, np.int64))
     for c in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
         a, b = np.searchsorted(column, [c, c + columns])
         has = np.zeros((n, min(columns, int(column[-1]) + 1 - c)), np.float32)
@@ -135,47 +146,58 @@ def _needed(rows: np.ndarray, cols: np.ndarray, num: int, den: int, need: int) -
 
 
 def _linked(sets: list[np.ndarray], label: np.ndarray, num: int, den: int, against: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets with different labels that are similar enough, by exact intersection.
+    """Pairs of sets, similar enough by exact intersection, that join all labels which such pairs join.
 
-    ``against`` marks sets that need not meet each other, only the unmarked ones.
+    Sets of one label do not meet, nor do those whose labels pairs before them have joined.  ``against`` marks sets that
+    need not meet each other, only the unmarked ones.
     """
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
+    top, owner = np.minimum(size, SKETCH), np.arange(n)
+    label = np.unique(label, return_inverse=True)[1]
     # Union sketch: of the k smallest values of the union, the share that both hold; five deviations of doubt.
-    doubt = 5 * sqrt(num / den * (1 - num / den) / SKETCH)
-    first, second = [], []
-    for k in range(0, n, ROWS):
-        rows, part = np.arange(k, min(k + ROWS, n)), size[k : k + ROWS, None]
-        ok = (np.arange(n) > rows[:, None]) & (label[rows][:, None] != label) & (np.minimum(part, size) * den >= num * np.maximum(part, size)) & (part > 0)
+    least = num / den - 5 * sqrt(num / den * (1 - num / den) / SKETCH)
+    heads = [s[:SKETCH] for s in sets]
+    met = _counts(np.concatenate(heads), np.repeat(owner, top), n).astype(np.uint8)
+    sketch = np.full((n, SKETCH), np.iinfo(np.uint64).max, np.uint64)
+    for k, s in enumerate(heads):
+        sketch[k, : len(s)] = s
+    whole = None
+    first, second = [owner[:0]], [owner[:0]]
+    k, step = 0, FIRST_ROWS
+    while k < n:
+        rows = owner[k : k + step]
+        part = size[rows][:, None]
+        ok = (owner > rows[:, None]) & (label[rows][:, None] != label) & (np.minimum(part, size) * den >= num * np.maximum(part, size)) & (part > 0)
+        # Both hold no more of the union's smallest values than of their own, and it is as large as the larger set at least.
+        ok &= (part + size <= SKETCH) | (met[rows] >= least * np.maximum(top[rows][:, None], top))
         if against is not None:
             ok &= ~(against[rows][:, None] & against)
-        x, y = np.nonzero(ok)
-        first.append((x + k).astype(np.int32))
-        second.append(y.astype(np.int32))
-    a, b = np.concatenate(first), np.concatenate(second)
-    if not len(a):
-        return a, b
-    sketch = np.full((n, SKETCH), np.iinfo(np.uint64).max, np.uint64)
-    for k, s in enumerate(sets):
-        sketch[k, : min(SKETCH, len(s))] = s[:SKETCH]
-    keep = np.zeros(len(a), bool)
-    for k in range(0, len(a), PAIRS):
-        x, y = a[k : k + PAIRS], b[k : k + PAIRS]
-        union = np.sort(np.concatenate([sketch[x], sketch[y]], axis=1), axis=1)
-        double = np.concatenate([union[:, 1:] == union[:, :-1], np.zeros((len(x), 1), bool)], axis=1) & (union != np.iinfo(np.uint64).max)
-        single = np.concatenate([np.ones((len(x), 1), bool), union[:, 1:] != union[:, :-1]], axis=1) & (union != np.iinfo(np.uint64).max)
-        rank = np.cumsum(single, axis=1)
-        within = np.minimum(rank[:, -1], SKETCH)
-        both = (double & (rank <= within[:, None])).sum(axis=1)
-        exact = size[x] + size[y] <= SKETCH
-        keep[k : k + PAIRS] = both >= np.where(exact, 0, (num / den - doubt) * within)
-    a, b = a[keep], b[keep]
-    if len(a) > 64:
-        shared = _counts(np.concatenate(sets), np.repeat(np.arange(n), size), n)[a, b].astype(np.int64)
-    else:
-        shared = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b, strict=True)], np.int64)
-    ok = den * shared >= num * (size[a] + size[b] - shared)
-    return a[ok], b[ok]
+        a, b = np.nonzero(ok)
+        a += k
+        k, step = k + step, min(2 * step, ROWS)
+        keep = np.zeros(len(a), bool)
+        for c in range(0, len(a), PAIRS):
+            x, y = a[c : c + PAIRS], b[c : c + PAIRS]
+            union = np.sort(np.concatenate([sketch[x], sketch[y]], axis=1), axis=1)
+            double = np.concatenate([union[:, 1:] == union[:, :-1], np.zeros((len(x), 1), bool)], axis=1) & (union != np.iinfo(np.uint64).max)
+            single = np.concatenate([np.ones((len(x), 1), bool), union[:, 1:] != union[:, :-1]], axis=1) & (union != np.iinfo(np.uint64).max)
+            rank = np.cumsum(single, axis=1)
+            within = np.minimum(rank[:, -1], SKETCH)
+            both = (double & (rank <= within[:, None])).sum(axis=1)
+            keep[c : c + PAIRS] = both >= np.where(size[x] + size[y] <= SKETCH, 0, least * within)
+        a, b = a[keep], b[keep]
+        if len(a) > 64:
+            whole = _counts(np.concatenate(sets), np.repeat(owner, size), n) if whole is None else whole
+            shared = whole[a, b].astype(np.int64)
+        else:
+            shared = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b, strict=True)], np.int64)
+        ok = den * shared >= num * (size[a] + size[b] - shared)
+        if ok.any():
+            first.append(a[ok])
+            second.append(b[ok])
+            label = _roots(n, label[a[ok]], label[b[ok]])[label]
+    return np.concatenate(first), np.concatenate(second)
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
@@ -196,6 +218,25 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return arrow(docs, kernel, "id bigint, n bigint, s1 bigint, s2 bigint, sketch binary")
 
 
+def joined(edges: DataFrame, store: Stored) -> DataFrame:
+    """(node, component) of stored edges (a, b), as ``components`` gives it.
+
+    Its rounds are some ten shuffles each, however few the edges; up to ``TASK_EDGES`` are joined by one task instead.
+    """
+    if edges.count() > TASK_EDGES:
+        return components(edges, store)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = [(batch.column("a").to_numpy(), batch.column("b").to_numpy()) for batch in batches if batch.num_rows]
+        if pairs:
+            a, b = map(np.concatenate, zip(*pairs, strict=True))
+            ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            root = _roots(len(ids), at[: len(a)], at[len(a) :])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], names=["node", "component"])
+
+    return store.put(arrow(edges.select("a", "b").coalesce(1), kernel, "node bigint, component bigint"), "components")
+
+
 def candidate_groups(reps: DataFrame, store: Stored, num: int, den: int) -> DataFrame:
     """(id, group) of the representatives (id, n, sketch) that share enough of their sketches with another one."""
     spark, need = reps.sparkSession, overlap_needed(num / den)
@@ -270,7 +311,7 @@ def candidate_groups(reps: DataFrame, store: Stored, num: int, den: int) -> Data
     many = listed.where("blocks > 1")
     if many.limit(1).count():
         # What that leaves apart from the list's largest component then meets all blocks.
-        many = many.join(components(found, store), F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "id"))
+        many = many.join(joined(found, store), F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "id"))
         main = many.groupBy("value", "label").agg(F.count("*").alias("c")).groupBy("value").agg(F.max(F.struct("c", "label")).alias("m")).select("value", F.col("m.label").alias("main"))
         many = many.join(main, "value")
         rest = many.where("label <> main").groupBy("value").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("outer"))
@@ -278,7 +319,7 @@ def candidate_groups(reps: DataFrame, store: Stored, num: int, den: int) -> Data
         outer = many.where("label <> main").select("value", (F.pmod(F.xxhash64("id"), "outer") + 1).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), "id", "n", "sketch")
         inner = many.select("value", F.explode(F.sequence(F.lit(1), F.col("outer"))).alias("x"), F.col("own").alias("y"), "id", "n", "sketch")
         found = found.unionByName(run(outer.unionByName(inner).distinct()))
-    return components(found, store).select(F.col("node").alias("id"), F.col("component").alias("group"))
+    return joined(found, store).select(F.col("node").alias("id"), F.col("component").alias("group"))
 
 
 def _edges(pairs) -> pa.RecordBatch:
@@ -345,7 +386,7 @@ def links(docs: DataFrame, reps: DataFrame, groups: DataFrame, store: Stored, wo
     found = run(fetched.select("group", F.lit(0).alias("x"), F.explode(at).alias("y"), "id", F.col("id").alias("label"), F.lit(False).alias("against"), "set"))
     if members.where("blocks > 1").limit(1).count():
         # Then what isn't in a large group's largest component against all its blocks.
-        label = components(found, store)
+        label = joined(found, store)
         many = fetched.where("blocks > 1").join(label, F.col("id") == F.col("node"), "left").select("group", "blocks", "own", "id", F.coalesce("component", "id").alias("label"), "set")
         main = many.groupBy("group", "label").agg(F.count("*").alias("c")).groupBy("group").agg(F.max(F.struct("c", "label")).alias("m")).select("group", F.col("m.label").alias("main"))
         many = many.join(main, "group")
@@ -376,14 +417,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", sim
     plain = docs.select(F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_FIRST)).alias("id"), as_text(docs, text).alias("text"))
     table = store.put(sketches(plain, words), "sketches")
     kinds = ["n", "s1", "s2"]
-    classes = table.where("n > 0").groupBy(*kinds).agg(F.min("id").alias("rep"))
-    firsts = table.where("n > 0").join(classes, kinds).where("id = rep").dropDuplicates(["id", *kinds])
-    reps = store.put(firsts.select("id", "n", "sketch"), "classes")
+    # Equal sets have equal sketches, so any of the class will do.
+    reps = store.put(table.where("n > 0").groupBy(*kinds).agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")), "classes")
     groups = store.put(candidate_groups(reps, store, num, den), "groups")
     found = links(plain, reps, groups, store, words, num, den)
     # Rows of one id with different sets are joined through the id.
-    alike = table.where("n > 0").join(classes, kinds).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    label = components(found.unionByName(alike), store)
+    classes = reps.select(*kinds, F.col("id").alias("rep"))
+    alike = store.put(table.where("n > 0").join(classes, kinds).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")), "alike")
+    label = joined(found.unionByName(alike), store)
     out = table.select("id", "n").join(label, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
     shown = lambda c: F.when(F.col(c) != _FIRST, F.col(c))
     return out.select(shown("id").alias(id), F.col("n").alias("n_shingles"), shown("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))

@@ -103,6 +103,55 @@ def test_blocks_lose_no_link(spark, monkeypatch):
     check(spark.createDataFrame(rows + [(100 + i, t) for i, t in corpus(60)], "doc_id int, text string"), 85, 100)
 
 
+def test_few_edges_need_no_rounds(spark, docs, monkeypatch):
+    """One task joins what it can hold; with more edges than that, star rounds give the same."""
+
+    def refused(*_):
+        raise AssertionError("star rounds for few edges")
+
+    with monkeypatch.context() as m:
+        m.setattr(minhash, "components", refused)
+        check(docs, 85, 100)
+    monkeypatch.setattr(minhash, "TASK_EDGES", 3)
+    check(docs, 85, 100)
+    rng = np.random.default_rng(7)
+    for a in (np.arange(1, 3000), rng.permutation(3000)[:-1], rng.integers(0, 3000, 1500)):
+        b = np.arange(2999)[: len(a)]
+        want = roots(range(3000), zip(a.tolist(), b.tolist(), strict=True))
+        assert minhash._roots(3000, a, b).tolist() == [want[k] for k in range(3000)]
+
+
+@pytest.mark.parametrize("some", [False, True])
+def test_a_group_is_joined_by_few_pairs(some):
+    """Sets in one component don't all meet; what is joined is what all pairs would join."""
+    rng = np.random.default_rng(3)
+    sets = []
+    for k in range(400):
+        base = np.arange(1000 * (k % 3), 1000 * (k % 3) + 100) if k % 4 else np.arange(k * 5000, k * 5000 + int(rng.integers(0, 60)))
+        gone = rng.integers(0, 100, int(rng.integers(0, 12)))
+        sets.append(np.sort(minhash.mix64(np.union1d(np.delete(base, gone[gone < len(base)]), rng.integers(1 << 40, 1 << 41, len(gone) * (k % 5 == 0))).astype(np.uint64))))
+    label = np.where(rng.random(400) < 0.1, 7, 1000 + np.arange(400))
+    against = rng.random(400) < 0.5 if some else None
+    share = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+    size = np.diag(share)
+    ok = (share * 100 >= 85 * (size[:, None] + size - share)) & (share > 0)
+    ok &= ~(against[:, None] & against) if some else True
+    same = [(int(np.flatnonzero(label == 7)[0]), int(k)) for k in np.flatnonzero(label == 7)]
+    want = roots(range(400), [*same, *np.argwhere(ok).tolist()])
+    a, b = minhash._linked(sets, label, 85, 100, against)
+    assert all(ok[a, b]) and roots(range(400), [*same, *zip(a.tolist(), b.tolist(), strict=True)]) == want
+    assert len(a) < np.triu(ok, 1).sum() / 4
+
+
+@pytest.mark.parametrize("n", [30, 90])
+def test_shared_values_are_counted(n):
+    rng = np.random.default_rng(4)
+    sets = [np.unique(np.where(rng.random(60) < 0.3, rng.integers(0, 20, 60), rng.integers(0, 2000, 60))).astype(np.uint64) for _ in range(n)]
+    got = minhash._counts(np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets]), n, columns=7)
+    want = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+    assert (got == want)[~np.eye(n, dtype=bool)].all()
+
+
 def test_overlap_bound():
     for share in (0.8, 0.85):
         need = minhash.overlap_needed(share)
