@@ -126,6 +126,6 @@ def chains(images: DataFrame, policy: str, gap: float) -> DataFrame:
 def guided_cuts(found: DataFrame, serials: DataFrame, margin: float = 0.0) -> DataFrame:
     """(key, g, ends): where ``chains`` are cut, as ``guided_members`` cuts them; equal chains are scored once."""
     texts = found.select(F.col("texts").alias("chain_id")).distinct()
-    scored = merge.segment_scores(merge.segments(texts.withColumn("texts", F.col("chain_id"))), serials)
+    scored = merge.deciding_scores(texts.withColumn("texts", F.col("chain_id")), serials, margin)
     cut = merge.best_partition(scored, margin).where("i > 0").groupBy(F.col("chain_id").alias("texts")).agg(F.sort_array(F.collect_list("i")).alias("ends"))
     return found.hint("merge").join(cut.hint("merge"), "texts").select("key", "g", "ends")  # small files may hold very many rows

@@ -13,6 +13,7 @@ from tagloom.functions.text import without_spaces
 
 SERIALS_IN_BLOCK = 4096
 PREDICTIONS_IN_SLICE = 4096
+FEW_PREDICTIONS = 256  # that are not dealt in smaller slices, as each slice takes up the block of serials anew
 SLICES_A_PARTITION = 2  # at least, so that partitions are about as large
 ROWS_AT_ONCE = 128
 
@@ -21,7 +22,7 @@ def _nearest(k: int, exclude_self: bool):
     """The k nearest serials of a block for each prediction of a slice.
 
     Bags of characters bound every pair's distance from below; the k least bounds are compared exactly, and then
-    all pairs whose bound doesn't exceed the farthest of these.
+    all pairs whose bound doesn't exceed the farthest of these.  Serials farther than a prediction's ``far`` don't count.
     """
 
     def kernel(preds: pa.Table, names: pa.Table) -> pa.Table:
@@ -35,35 +36,39 @@ def _nearest(k: int, exclude_self: bool):
         bags, pairs = [(Bags(a), Bags(b)) for a, b in sides], [Pairs(a, b) for a, b in sides]
         place = {s: j for j, s in enumerate(serials)} if exclude_self else {}
         own = np.array([place.get(t, -1) for t in texts], np.int64)
+        far = preds.column("far").to_numpy()
 
         def exact(row: np.ndarray, col: np.ndarray) -> np.ndarray:
-            far = [p.distances(row, col) / np.maximum(np.maximum(p.lengths[row], p.size[col]), 1) for p in pairs]
-            return np.where(own[row] == col, np.inf, np.minimum(*far))
+            both = [p.distances(row, col) / np.maximum(np.maximum(p.lengths[row], p.size[col]), 1) for p in pairs]
+            return np.where(own[row] == col, np.inf, np.minimum(*both))
 
         found = []
         most = min(k + exclude_self, len(serials))
         for at in range(0, len(texts), ROWS_AT_ONCE):
             rows = slice(at, min(at + ROWS_AT_ONCE, len(texts)))
-            n = rows.stop - at
             least = np.minimum(*(a.bounds(rows, b) / np.maximum(np.maximum(a.size[rows, None], b.size[None, :]), 1) for a, b in bags))
+            open_ = np.flatnonzero(least.min(axis=1) <= far[rows])
+            least, place_of = least[open_], open_ + at
             first = np.argpartition(least, most - 1, axis=1)[:, :most]
-            near = exact(np.repeat(np.arange(at, rows.stop), most), first.reshape(-1)).reshape(n, most)
-            worst = np.sort(near, axis=1)[:, min(k, most) - 1]
+            near = exact(np.repeat(place_of, most), first.reshape(-1)).reshape(len(open_), most)
+            worst = np.minimum(np.sort(near, axis=1)[:, min(k, most) - 1], far[place_of])
             row, col = np.nonzero(least <= worst[:, None])
-            near = exact(row + at, col)
+            near = exact(place_of[row], col)
             by = np.lexsort((col, near, row))
             row, col, near = row[by], col[by], near[by]
-            keep = (np.arange(len(row)) - np.searchsorted(row, row) < k) & np.isfinite(near)
-            found.append((row[keep] + at, col[keep], near[keep]))
+            keep = (np.arange(len(row)) - np.searchsorted(row, row) < k) & np.isfinite(near) & (near <= far[place_of[row]])
+            found.append((place_of[row[keep]], col[keep], near[keep]))
         row, col, near = (np.concatenate(x) for x in zip(*found, strict=True))
         return pa.table({"pred": pa.array([texts[i] for i in row], pa.string()), "serial": pa.array([serials[j] for j in col], pa.string()), "su": pa.array([upper[j] for j in col], pa.string()), "distance": pa.array(near, pa.float64())})
 
     return kernel
 
 
-def top_k(predictions: DataFrame, serials: DataFrame, k: int = 5, prediction: str = "pred", serial: str = "serial", exclude_self: bool = False) -> DataFrame:
+def top_k(predictions: DataFrame, serials: DataFrame, k: int = 5, prediction: str = "pred", serial: str = "serial", exclude_self: bool = False, far: str | None = None) -> DataFrame:
     """(pred, serial, distance, score, rank) of the k nearest serials of each distinct prediction.
 
+    With ``far``, a column of ``predictions``, no serial is given that is farther than the largest of a prediction's rows.
+
     The distance is the smaller of those of the upper-cased texts as they are and without spaces; ties go to the
     serial that comes first in upper case.  Both sides are made distinct and stored first.  Predictions are dealt
     in slices, the set of serials in blocks; each slice meets each block in one call of a kernel that keeps the
@@ -72,11 +77,13 @@ def top_k(predictions: DataFrame, serials: DataFrame, k: int = 5, prediction: st
     and k rows a block and prediction is all that is shuffled after it.
     """
     store = Stored(predictions.sparkSession, "retrieval")
-    preds = store.put(predictions.select(F.col(prediction).alias("pred")).where("pred is not null").distinct(), "predictions")
+    limit = F.lit(float("inf")) if far is None else F.max(far)
+    preds = store.put(predictions.where(F.col(prediction).isNotNull()).groupBy(F.col(prediction).alias("pred")).agg(limit.alias("far")), "predictions")
     names = store.put(serials.select(F.col(serial).alias("serial")).where("serial is not null").distinct(), "serials")
     blocks = max(1, -(-names.count() // SERIALS_IN_BLOCK))
     parts = int(predictions.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    slices = max(SLICES_A_PARTITION * parts, -(-preds.count() // PREDICTIONS_IN_SLICE))
+    n = preds.count()
+    slices = max(1, min(SLICES_A_PARTITION * parts, -(-n // FEW_PREDICTIONS)), -(-n // PREDICTIONS_IN_SLICE))
     preds = preds.withColumn("pu", F.upper("pred")).withColumn("pn", without_spaces(F.col("pu")))
     names = names.withColumn("su", F.upper("serial")).withColumn("sn", without_spaces(F.col("su")))
     preds = preds.withColumn("slice", F.pmod(F.xxhash64("pred"), F.lit(slices)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.functions import geometry as G
-from tagloom.operators import evaluation, grouping
+from tagloom.operators import evaluation, grouping, matching, merge
 from tagloom.plans import catalogue
 from tagloom.plans import views as V
 
@@ -152,3 +152,41 @@ def test_whole_images_guided(spark, world):
     expected = {(r.image, r.gi): (r.detected, r.pred) for r in evaluation.grouped_items(truth, f, cut).collect()}
     assert {(r.image, r.gi): (r.detected, r.pred) for r in rows if r.mask & 2} == expected
     assert any(r.mask == 2 and r.detected for r in rows)
+
+
+@pytest.mark.parametrize("margin", [0.0, 0.05])
+def test_guided_cuts_compare_few(spark, monkeypatch, margin):
+    """Cuts are those that all segments' scores give, though few joined segments are compared with the serials."""
+    names = [f"Brand#{k} {a} {b}" for k in range(1, 9) for a, b in (("large", "ring"), ("hot", "bolt"), ("cold", "gizmo"))]
+    whole = [[n.upper(), m.upper()[k % 2 :]] for k, n in enumerate(names) for m in names[k::5]]
+    broken = [[n.upper()[:k], n.upper()[k:], *more] for k, n in enumerate(names, 3) for more in ([], [" "], ["gnir", n], [n.replace(" ", "")])]
+    odd = [["", ""], [" ", names[0]], [names[0], ""], ["x", "y", "z"], [names[0]], ["Brand#1", "large", "ring", "Brand#2", "hot", "bolt"], [names[3], names[3]], ["ab" * 40, names[2]]]
+    found = spark.createDataFrame([(k, 0, t) for k, t in enumerate(whole + broken + odd)], "key int, g int, texts array<string>")
+    serials = spark.createDataFrame([(n,) for n in names], "serial string")
+    chains = found.select(F.col("key").alias("chain_id"), "texts")
+    scored = merge.segment_scores(merge.segments(chains), serials).localCheckpoint()
+    expected = {}
+    for r in merge.best_partition(scored, margin).where("i > 0").collect():
+        expected.setdefault(r.chain_id, []).append(r.i)
+    compared, top_k = [], merge.top_k
+
+    def counted(rows, *args, **kwargs):
+        compared.append(rows.select("text").distinct().count())
+        return top_k(rows, *args, **kwargs)
+
+    monkeypatch.setattr(merge, "top_k", counted)
+    got = {r.key: list(r.ends) for r in evaluation.guided_cuts(found, serials, margin).collect()}
+    assert got == {k: sorted(v) for k, v in expected.items()}
+    assert {len(t) for k, t in enumerate(whole + broken + odd) if k not in got} > {1, 2}  # some chains stay whole
+    assert sum(compared) < scored.select("text").distinct().count() * 0.75
+
+
+def test_far_serials(spark):
+    """With ``far`` the nearest serials are those among all that are near enough, for the largest of a text's limits."""
+    names = spark.createDataFrame([(f"Brand#{k} {a} ring",) for k in range(40) for a in ("red", "new", "large")], "serial string")
+    texts = [f"BRAND#{k}{a}RING"[k % 3 :] for k in range(0, 40, 3) for a in (" RED ", "OLD", " ")] + [""]
+    preds = spark.createDataFrame([(t, far) for k, t in enumerate(texts) for far in (0.0, k % 7 / 10)], "pred string, far double")
+    near = lambda df: {(r.pred, r.serial, r.distance, r["rank"]) for r in df.collect()}
+    limit = {t: max(0.0, k % 7 / 10) for k, t in enumerate(texts)}
+    expected = {r for r in near(matching.top_k(preds, names, 3)) if r[2] <= limit[r[0]]}
+    assert near(matching.top_k(preds, names, 3, far="far")) == expected and expected
