@@ -89,7 +89,7 @@ def read_groups(images: DataFrame, combos: list[tuple[str, float]], keep: tuple[
             whole = regions.Images(batch.column("t"), batch.column("f"))
             found = [whole.groups(policy, gap) for policy, gap in combos]
             if guided:
-                found.append(whole.cut(found[-1], batch.column("cuts").to_pylist()))
+                found.append(whole.cut(found[-1], batch.column("cuts")))
             row, mask, detected, size, member, flip = whole.outcomes(found, IOU_THRESHOLD)
             columns = [batch.column("image").take(pa.array(whole.image_of[row])), *(whole.truth.field(c).take(pa.array(row)) for c in ("gi", *keep))]
             at = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
@@ -109,10 +109,11 @@ def read_groups(images: DataFrame, combos: list[tuple[str, float]], keep: tuple[
 def chains(images: DataFrame, policy: str, gap: float) -> DataFrame:
     """(key, g, texts) of the groups of several fragments, in reading order; ``images`` as in ``read_groups``."""
     kind = images.schema["key"].dataType.simpleString()
+    none = pa.StructArray.from_arrays([pa.array([], pa.float64())] * 5, names=["gi", "x0", "y0", "x1", "y1"])  # true boxes have no part in it
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = regions.Images(batch.column("t"), batch.column("f"))
+            whole = regions.Images(pa.ListArray.from_arrays(pa.array(np.zeros(len(batch) + 1), pa.int32()), none), batch.column("f"))
             own = whole.groups(policy, gap)
             several = np.flatnonzero(own.size > 1)
             member = own.members(several)
@@ -120,7 +121,7 @@ def chains(images: DataFrame, policy: str, gap: float) -> DataFrame:
             columns = [batch.column("key").take(pa.array(whole.holder[own.name[several]])), pa.array(whole.index[own.name[several]]), pa.ListArray.from_arrays(at, whole.reading("text", member, own.flip[member]))]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "g", "texts"])
 
-    return images.select("key", "t", "f").mapInArrow(kernel, f"key {kind}, g bigint, texts array<string>")
+    return images.select("key", "f").mapInArrow(kernel, f"key {kind}, g bigint, texts array<string>")
 
 
 def guided_cuts(found: DataFrame, serials: DataFrame, margin: float = 0.0) -> DataFrame:

@@ -3,11 +3,12 @@
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tagloom.functions import geometry as G
-from tagloom.operators import evaluation, grouping, matching, merge
+from tagloom.operators import evaluation, grouping, matching, merge, regions
 from tagloom.plans import catalogue
 from tagloom.plans import views as V
 
@@ -190,3 +191,16 @@ def test_far_serials(spark):
     limit = {t: max(0.0, k % 7 / 10) for k, t in enumerate(texts)}
     expected = {r for r in near(matching.top_k(preds, names, 3)) if r[2] <= limit[r[0]]}
     assert near(matching.top_k(preds, names, 3, far="far")) == expected and expected
+
+
+def test_spanned_areas():
+    """The area of two boxes by their bounds and corners is that of their hull."""
+    rng = np.random.default_rng(5)
+    box = rng.integers(0, 12, (200, 4)).astype(float)
+    fields = {"frag_index": list(range(200)), **{c: box[:, k].tolist() for k, c in enumerate(("x0", "y0", "x1", "y1"))}}
+    rows = pa.StructArray.from_arrays([pa.array(v) for v in fields.values()], names=list(fields))
+    none = pa.StructArray.from_arrays([pa.array([], pa.float64())] * 5, names=["gi", "x0", "y0", "x1", "y1"])
+    whole = regions.Images(pa.ListArray.from_arrays(pa.array([0, 0], pa.int32()), none), pa.ListArray.from_arrays(pa.array([0, 200], pa.int32()), rows))
+    a, b = np.arange(0, 200, 2), np.arange(1, 200, 2)
+    corners = lambda r: box[r][[0, 1, 2, 1, 2, 3, 0, 3]].reshape(4, 2)
+    assert np.allclose(whole._spanned(a, b), [abs(G.np_area(G.hull(np.concatenate([corners(i), corners(j)])))) for i, j in zip(a, b)])
